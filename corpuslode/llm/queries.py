@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, quality_model, quality_rules, token_counts
+from corpuslode.llm import language, mixing, quality_model, quality_rules, tiff, token_counts
 from corpuslode.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_model.score(docs, model)
     predicted = (F.col("score") >= quality_model.THRESHOLD).cast("int")
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op3_tiff")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(documents(spark, sf_dir))
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(documents(spark, sf_dir))
+    taken = plan.rows.groupBy("doc_id").agg(F.sum("size").alias("taken"))
+    return plan.sizes.join(taken, "doc_id", "left").fillna(0, ["taken"])
