@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, mixing, quality_model, quality_rules, tiff, token_counts
+from corpuslode.llm import language, mixing, quality_model, quality_rules, simhash, tiff, token_counts
 from corpuslode.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(documents(spark, sf_dir))
     taken = plan.rows.groupBy("doc_id").agg(F.sum("size").alias("taken"))
     return plan.sizes.join(taken, "doc_id", "left").fillna(0, ["taken"])
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
