@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, mixing, quality_model, quality_rules, simhash, tiff, token_counts, token_files
+from corpuslode.llm import language, mixing, quality_model, quality_rules, simhash, suffix_dedup, tiff, token_counts, token_files
 from corpuslode.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read(spark, path, with_ids=False)
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(documents(spark, sf_dir), with_spans=False)
