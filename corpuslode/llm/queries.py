@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, mixing, quality_model, quality_rules, simhash, suffix_dedup, tiff, token_counts, token_files
+from corpuslode.llm import language, mixing, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
 from corpuslode.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(documents(spark, sf_dir), with_spans=False)
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
