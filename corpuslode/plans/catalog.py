@@ -1,22 +1,3 @@
 """Importing this module registers every query of the library."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from corpuslode.registry import query, table
-
-
-@query(
-    "r26_batch_topk",
-    """
-    WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 10),
-    s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS sim FROM embeddings, q),
-    r AS (SELECT query_id, vec_id, round(sim, 6) AS score,
-          row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s)
-    SELECT query_id, vec_id, score, rank::INT AS rank FROM r WHERE rank <= 5
-    """,
-)
-def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from corpuslode.plans import catalog_search, catalog_stats, catalog_text  # noqa: F401
