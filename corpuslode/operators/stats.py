@@ -140,20 +140,19 @@ def log_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def log_latency(log: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Mean, median, 95th percentile (the value at place n * 0.95 of the sorted ones), least and largest latency.
 
-    Places are counted by a window over the sorted values, so no list of a
-    group's latencies is ever built.
+    Equal latencies are counted first, in every task, so that the ordered
+    window of a group holds its different values and not its entries.
     """
     c = F.col("latency_ms")
-    rows = log.where(c > 0)
+    counts = log.where(c > 0).groupBy(*by, "latency_ms").agg(F.count("*").alias("k"))
     order = Window.partitionBy(*by).orderBy(c)
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", n)
-    at = lambda place: F.max(F.when(F.col("__i") == place, c))
-    middle = (at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2
+    rows = counts.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy(*by)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, c))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.sum(hundredths(c)) / F.count("*") / 100, digits).alias("mean_ms"), F.round(middle, digits).alias("median_ms"),
-        at(F.floor(F.col("__n") * 0.95)).alias("p95_ms"), F.min(c).alias("min_ms"), F.max(c).alias("max_ms"),
-    )
+        F.sum("k").alias("n_entries"), F.round(F.sum(hundredths(c) * F.col("k")) / F.sum("k") / 100, digits).alias("mean_ms"), F.round(middle, digits).alias("median_ms"),
+        at(F.floor(F.col("n") * 0.95)).alias("p95_ms"), F.min(c).alias("min_ms"), F.max(c).alias("max_ms"),
+    ).withColumnRenamed("n_entries", "n")
 
 
 def log_costs(log: DataFrame, by: Sequence[str] = (), digits: int = 9) -> DataFrame:
