@@ -16,9 +16,12 @@ on its own. Ties are decided as in one pass from the left (the piece that
 starts first), so the cuts never show in the result. Scores are integers, so
 sums are exact in any order.
 
-A shorter document is a single chunk. No piece crosses the place before a run
-of spaces, so its units (see ``token_counts``) are traced one by one, and each
-worker keeps what it has traced, within a bound.
+No piece crosses the place before a run of spaces, so all paths meet there. The
+units between two such places (see ``token_counts``) are traced one by one, and
+each worker keeps what it has traced, within a bound. Of a chunk only what
+stands before the first and behind the last of these places has states; a
+chunk without one is relaxed whole from each entry state. A shorter document is
+a single chunk.
 
 The vocabulary is read from a SentencePiece model file. A unigram model's own
 scores are used, in units of 2^-10. A BPE file has ranks in place of
@@ -35,6 +38,7 @@ input only the id and the text are read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,11 +53,15 @@ from corpuslode.llm.common import cut
 from corpuslode.llm.token_counts import _UNIT, SPACE
 
 CHUNK = 32_768
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
 SCALE = 1024
 #: A character outside the vocabulary scores this much less than the worst piece (fixed value of the library).
 UNKNOWN_PENALTY = 10
 NONE = -(1 << 60)
+# in place of a score, which is never above zero
+BETWEEN, STOP = 1, 2
+
+_MEET = re.compile(f"[^{SPACE}]{SPACE}")
 
 
 @dataclass
@@ -64,6 +72,8 @@ class Vocabulary:
     bytes_at: list[int]  # id of each byte's piece
     unknown: int
     longest: int
+    steps: dict[str, int]  # score of each piece; BETWEEN for what only begins one
+    score_at: np.ndarray  # by id; a character in bytes scores at its first one
 
     def as_unigram(self, path: str) -> bytes:
         """The model file's bytes with the scores used here and the type unigram, for the library."""
@@ -93,26 +103,28 @@ def load(path: str) -> Vocabulary:
     unigram = m.trainer_spec.model_type == 1
     scores = {p.piece: round(SCALE * (p.score if unigram else -math.log(r + 2))) for r, (_, p) in enumerate(normal)}
     in_bytes = [i for i, p in enumerate(m.pieces) if p.type == 6]
-    return Vocabulary(
-        [p.piece for p in m.pieces], scores, {p.piece: i for i, p in normal}, in_bytes, min(scores.values()) - UNKNOWN_PENALTY * SCALE, max(map(len, scores))
-    )
+    unknown = min(scores.values()) - UNKNOWN_PENALTY * SCALE
+    score_at = np.array([scores.get(p.piece, 0) if p.type == 1 else 0 for p in m.pieces], np.int64)
+    score_at[[i for b, i in enumerate(in_bytes) if b & 0xC0 != 0x80]] = unknown
+    steps = {p[:n]: BETWEEN for p in scores for n in range(1, len(p))} | scores
+    return Vocabulary([p.piece for p in m.pieces], scores, {p.piece: i for i, p in normal}, in_bytes, unknown, max(map(len, scores)), steps, score_at)
 
 
 def relax(v: Vocabulary, text: str, first: int, end: int, best: list[int], back: list[int]) -> None:
     """Extend the best scores over pieces that start in [first, end); they may reach beyond it. ``back``: where the last piece began."""
-    scores, unknown, longest, size = v.scores, v.unknown, v.longest, len(text)
+    steps, unknown, longest, size = v.steps, v.unknown, v.longest, len(text)
     for i in range(first, end):
         here = best[i]
         if here == NONE:
             continue
         for j in range(i + 1, min(i + longest, size) + 1):
-            s = scores.get(text[i:j])
-            if s is None:
-                if j > i + 1:
-                    continue
+            s = found = steps.get(text[i:j], STOP)
+            if found > 0 and j == i + 1:
                 s = unknown
-            if here + s > best[j]:
+            if s <= 0 and here + s > best[j]:
                 best[j], back[j] = here + s, i
+            if found == STOP:
+                break
 
 
 def _trace(v: Vocabulary, text: str, end: int, back: list[int]) -> list[int]:
@@ -157,8 +169,12 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        text, cache = text.replace(SPACE, " "), self.cache
-        units = text.split(" ") if text[0] != " " and "  " not in text else [u[1:] for u in _UNIT.findall(" " + text)]
+        text = text.replace(SPACE, " ")
+        return self.units(text.split(" ") if text[0] != " " and "  " not in text else [u[1:] for u in _UNIT.findall(" " + text)])
+
+    def units(self, units: list[str]) -> np.ndarray:
+        """Ids of units, each without the space that it begins with."""
+        cache = self.cache
         if new := set(units).difference(cache):
             if len(cache) + len(new) > self.most:
                 cache.clear()
@@ -167,6 +183,10 @@ class Encoder:
                 cache[u] = np.array(encode_whole(self.v, SPACE + u.replace(" ", SPACE)), self.kind).tobytes()
         return np.frombuffer(b"".join(map(cache.__getitem__, units)), self.kind).astype("<u4")
 
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a normalised text of whole units."""
+        return self.units([u[1:] for u in _UNIT.findall(text.replace(SPACE, " "))])
+
     def decode(self, ids: np.ndarray) -> str:
         return decode(self.v, ids.tolist(), self.table)
 
@@ -180,24 +200,41 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
-def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
+def meeting(text: str, size: int) -> tuple[int, int] | None:
+    """Where the first and the last run of spaces behind another character begin, in the first ``size`` characters."""
+    m = _MEET.search(text, 0, size)
+    if m is None:
+        return None
+    last = text.rfind(SPACE, 0, size)
+    while last > m.end() - 1 and text[last - 1] == SPACE:
+        last -= 1
+    return m.end() - 1, max(last, m.end() - 1)
+
+
+def _blank(text: str, k: int) -> tuple[list[int], list[int]]:
+    return [NONE] * (len(text) + k + 1), [-1] * (len(text) + k + 1)
+
+
+def transfer(e: Encoder, text: str, size: int) -> np.ndarray:
     """The matrix of a chunk: ``size`` characters of ``text``, which goes on with what a last piece may need."""
-    k = v.longest
+    v = e.v
+    k, met = v.longest, meeting(text, size)
     out = np.full((k, k), NONE, np.int64)
-    # all paths meet where a run of spaces begins
-    meet = next((i for i in range(min(k, size), size) if text[i] == SPACE and text[i - 1] != SPACE), None)
-    rest = None
-    if meet is not None:
-        best, back = [NONE] * (len(text) + k + 1), [-1] * (len(text) + k + 1)
-        best[meet] = 0
-        relax(v, text, meet, size, best, back)
+    first, rest = size, None
+    if met is not None:
+        first, last = met
+        best, back = _blank(text, k)
+        best[last] = int(v.score_at[e.whole(text[first:last])].sum())
+        relax(v, text, last, size, best, back)
         rest = np.array(best[size : size + k], np.int64)
-    for s in range(min(k, size + 1)):
-        best, back = [NONE] * (len(text) + k + 1), [-1] * (len(text) + k + 1)
+    for s in range(min(k, first + 1)):
+        best, back = _blank(text, k)
         best[s] = 0
-        relax(v, text, s, size if meet is None else meet, best, back)
-        row = np.array(best[size : size + k], np.int64) if meet is None else np.where(rest > NONE, rest + best[meet], NONE) if best[meet] > NONE else out[s]
-        out[s] = row
+        relax(v, text, s, first, best, back)
+        if rest is None:
+            out[s] = best[size : size + k]
+        elif best[first] > NONE:
+            out[s] = np.where(rest > NONE, rest + best[first], NONE)
     return out
 
 
@@ -208,12 +245,11 @@ def times(vector: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.where(bad, NONE, both).max(axis=-2)
 
 
-def enter(v: Vocabulary, text: str, size: int, entry: np.ndarray) -> tuple[list[int], list[int]]:
-    """Best scores and last starts in a chunk for given entry scores."""
-    k = v.longest
-    best, back = [NONE] * (len(text) + k + 1), [-1] * (len(text) + k + 1)
-    best[:k] = [int(x) for x in entry]
-    relax(v, text, 0, size, best, back)
+def entered(v: Vocabulary, text: str, end: int, entry: np.ndarray) -> tuple[list[int], list[int]]:
+    """Best scores and last starts up to ``end`` for given entry scores."""
+    best, back = _blank(text, v.longest)
+    best[: v.longest] = [int(x) for x in entry]
+    relax(v, text, 0, end, best, back)
     return best, back
 
 
@@ -223,6 +259,29 @@ def _entry_of(back: list[int], end: int) -> int:
     return end
 
 
+def came_from(e: Encoder, text: str, size: int, entry: np.ndarray) -> list[int]:
+    """The entry state of each exit state."""
+    k, met = e.v.longest, meeting(text, size)
+    if met is not None:
+        _, back = entered(e.v, text, met[0], entry)
+        return [_entry_of(back, met[0])] * k
+    best, back = entered(e.v, text, size, entry)
+    return [_entry_of(back, size + s) if best[size + s] > NONE else -1 for s in range(k)]
+
+
+def trace_chunk(e: Encoder, text: str, size: int, entry: np.ndarray, leave: int) -> np.ndarray:
+    """Ids of the pieces that begin in a chunk, for its entry scores and its exit state."""
+    met = meeting(text, size)
+    if met is None:
+        return np.array(_trace(e.v, text, size + leave, entered(e.v, text, size, entry)[1]), "<u4")
+    first, last = met
+    head = _trace(e.v, text, first, entered(e.v, text, first, entry)[1])
+    best, back = _blank(text, e.v.longest)
+    best[last] = 0
+    relax(e.v, text, last, size, best, back)
+    return np.concatenate([np.array(head, "<u4"), e.whole(text[first:last]), np.array(_trace(e.v, text, size + leave, back), "<u4")])
+
+
 def _chunks(docs: DataFrame, longest: int) -> DataFrame:
     """Giant documents, normalised and cut: row (which document), no, size, text with the characters behind it."""
     text = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
@@ -239,7 +298,7 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
     chunks = cut(_chunks(docs, k), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = encoder(path).v
+        w = encoder(path)
         for b in batches:
             m = [transfer(w, t, n).ravel() for t, n in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(m, pa.list_(pa.int64()))], ["row", "no", "m"])
@@ -256,12 +315,9 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
     chunks = cut(chunks.join(entries, ["row", "no"]), "pieces-entries")
 
     def came(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = encoder(path).v
+        w = encoder(path)
         for b in batches:
-            maps = []
-            for t, n, e in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), b.column("entry").to_pylist(), strict=True):
-                best, back = enter(w, t, n, e)
-                maps.append([_entry_of(back, n + s) if best[n + s] > NONE else -1 for s in range(k)])
+            maps = [came_from(w, t, n, e) for t, n, e in zip(*(b.column(c).to_pylist() for c in ("text", "size", "entry")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(maps, pa.list_(pa.int32()))], ["row", "no", "f"])
 
     def backward(p: pd.DataFrame) -> pd.DataFrame:
@@ -274,12 +330,9 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
     leaves = chunks.select("row", "no", "size", "text", "entry").mapInArrow(came, "row long, no int, f array<int>").groupBy("row").applyInPandas(backward, "row long, no int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = encoder(path).v
+        w = encoder(path)
         for b in batches:
-            ids = []
-            for t, n, e, x in zip(*(b.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True):
-                _, back = enter(w, t, n, e)
-                ids.append(_trace(w, t, n + x, back))
+            ids = [trace_chunk(w, t, n, e, x).astype(np.int32) for t, n, e, x in zip(*(b.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("no"), pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "no", "ids"])
 
     return chunks.join(leaves, ["row", "no"]).select("row", "doc_id", "no", "size", "text", "entry", "leave").mapInArrow(trace, f"row long, doc_id {kind}, no int, ids array<int>")

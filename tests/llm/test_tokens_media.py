@@ -107,10 +107,11 @@ def test_op7_is_the_library():
 
 
 def test_op7_products_are_associative():
-    v = sentencepiece_scan.load(MODEL)
+    e = sentencepiece_scan.Encoder(MODEL)
+    v = e.v
     text = "▁the▁word" + "ation" * 9 + "▁of▁the▁words"
     cuts = [(0, 11), (11, 37), (37, len(text))]
-    a, b, c = (sentencepiece_scan.transfer(v, text[i : j + v.longest], j - i) for i, j in cuts)
+    a, b, c = (sentencepiece_scan.transfer(e, text[i : j + v.longest], j - i) for i, j in cuts)
     left, right = sentencepiece_scan.times(sentencepiece_scan.times(a, b), c), sentencepiece_scan.times(a, sentencepiece_scan.times(b, c))
     assert (left == right).all()
     best, back = [0] + [sentencepiece_scan.NONE] * len(text), [-1] * (len(text) + 1)
