@@ -223,7 +223,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column("doc_id").take(pa.array(rows)), b.column("check").take(pa.array(rows)), pa.array(at)], ["h", "c", "doc_id", "check", "at"])
 
     every = cut(d.select("doc_id", "text", "check").mapInArrow(scan, f"h long, c long, doc_id {kind}, check int, at long"), "repeats-anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # written, so that the join is a stage of its own and Spark can split a gram that many documents share
+    twice = cut(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeats-grams")
     met = cut(every.join(twice, "h"), "repeats-met")
     classes = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "at")).alias("r"))
     classes = cut(classes.select("h", "c", "n", "r.*"), "repeats-classes")
