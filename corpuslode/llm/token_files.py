@@ -43,7 +43,7 @@ PACK_BYTES = 4_000_000
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
-CACHE_PARTS = 400_000
+CACHE_PARTS = 1_000_000
 
 _ODD = re.compile(r"[^\S \n]|\s (?!\S)")
 
@@ -61,27 +61,51 @@ class Encoder:
         self.end = self.bytes([end_id])
         self.most = cache_parts
         self.cache: dict[str, bytes] = {}
+        # tokens that begin with a space: a part's first token does, and no other one of it
+        vocabulary = self.model.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     def bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts, each with the space in front, and keep their ids.
+
+        All go in one text, cut again where a token begins with a space; a part
+        of white space only, or that begins with a line's end, would be merged
+        with its neighbour there and goes alone.
+        """
+        plain = [p for p in parts if p and p[0] != "\n"]
+        if plain:
+            ids = np.array(self.ids([" " + " ".join(plain)])[0])
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(plain) and at[0] == 0:
+                data, ends = ids.astype(self.kind).tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
+                self.cache.update((p, data[a:b]) for p, a, b in zip(plain, ends[:-1], ends[1:], strict=True))
+            else:
+                plain = []
+        if len(plain) < len(parts):
+            rest = [p for p in parts if p not in self.cache]
+            self.cache.update(zip(rest, map(self.bytes, self.ids([" " + p for p in rest])), strict=True))
+
     def __call__(self, text: str | None) -> bytes:
         """The ids of the text and the end id."""
         if not text:
             return self.end
-        encode = self.model.encode_batch_fast if hasattr(self.model, "encode_batch_fast") else self.model.encode_batch
         if _ODD.search(text):
-            return self.bytes(encode([text], add_special_tokens=False)[0].ids) + self.end
+            return self.bytes(self.ids([text])[0]) + self.end
         parts, cache = text.split(" "), self.cache
         first, parts = parts[0], parts[1:]
         if new := set(parts).difference(cache):
             if len(cache) + len(new) > self.most:
                 cache.clear()
                 new = set(parts)
-            new = list(new)
-            found = encode([" " + p for p in new], add_special_tokens=False)
-            cache.update((p, self.bytes(e.ids)) for p, e in zip(new, found, strict=True))
-        head = self.bytes(encode([first], add_special_tokens=False)[0].ids) if first else b""
+            self.learn(list(new))
+        head = self.bytes(self.ids([first])[0]) if first else b""
         return b"".join([head, *map(cache.__getitem__, parts), self.end])
 
 
