@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,10 +43,19 @@ MAGIC = b"CLTOKEN1"
 PACK_BYTES = 4_000_000
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 DICTIONARY_BYTES = 112_640
-LEVEL = 3
+LEVEL = 1
 CACHE_PARTS = 1_000_000
 
-_ODD = re.compile(r"[^\S \n]|\s (?!\S)")
+#: White space that is neither a space nor a line's end, as either library has it.
+_ODD_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_RUN = re.compile(r"\s (?!\S)")
+#: Characters of a part's end that are tokens of their own behind letters.
+_ENDS = string.punctuation
+
+
+def _odd(text: str) -> bool:
+    """Whether white space stands in a text such that cutting it at spaces could change tokens."""
+    return any(c in text for c in _ODD_BLANKS) or (("  " in text or "\n " in text) and _RUN.search(text) is not None)
 
 
 class Encoder:
@@ -61,6 +71,7 @@ class Encoder:
         self.end = self.bytes([end_id])
         self.most = cache_parts
         self.cache: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         # tokens that begin with a space: a part's first token does, and no other one of it
         vocabulary = self.model.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,38 +86,66 @@ class Encoder:
     def learn(self, parts: list[str]) -> None:
         """Encode parts, each with the space in front, and keep their ids.
 
-        All go in one text, cut again where a token begins with a space; a part
-        of white space only, or that begins with a line's end, would be merged
-        with its neighbour there and goes alone.
+        Punctuation behind letters is a token run of its own, so a part of both
+        is put together from its two sides. The others go in one text, cut
+        again where a token begins with a space; a part of white space only, or
+        that begins with a line's end, would be merged with its neighbour there
+        and goes alone.
         """
-        plain = [p for p in parts if p and p[0] != "\n"]
+        cache, firsts, plain, alone, joined = self.cache, self.firsts, {}, {}, []
+        for p in parts:
+            stem = p.rstrip(_ENDS)
+            if stem != p and stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):  # letters in all versions of Unicode
+                joined.append((p, stem, p[len(stem) :]))
+                if stem not in cache:
+                    plain[stem] = None
+            elif p and p[0] != "\n":
+                plain[p] = None
+            else:
+                alone[p] = None
         if plain:
             ids = np.array(self.ids([" " + " ".join(plain)])[0])
             at = np.flatnonzero(self.begins[ids])
             if len(at) == len(plain) and at[0] == 0:
                 data, ends = ids.astype(self.kind).tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
-                self.cache.update((p, data[a:b]) for p, a, b in zip(plain, ends[:-1], ends[1:], strict=True))
+                cache.update(zip(plain, [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
             else:
-                plain = []
-        if len(plain) < len(parts):
-            rest = [p for p in parts if p not in self.cache]
-            self.cache.update(zip(rest, map(self.bytes, self.ids([" " + p for p in rest])), strict=True))
+                alone |= plain
+        if alone:
+            cache.update(zip(alone, map(self.bytes, self.ids([" " + p for p in alone])), strict=True))
+        for p, stem, end in joined:
+            cache[p] = cache[stem] + (firsts.get(end) or self.first(end))
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of the text and the end id."""
         if not text:
             return self.end
-        if _ODD.search(text):
+        if _odd(text):
             return self.bytes(self.ids([text])[0]) + self.end
         parts, cache = text.split(" "), self.cache
-        first, parts = parts[0], parts[1:]
-        if new := set(parts).difference(cache):
-            if len(cache) + len(new) > self.most:
+        head = self.first(parts[0])
+        found = list(map(cache.get, parts))
+        found[0] = head
+        if None in found:
+            if len(cache) + len(parts) > self.most:
                 cache.clear()
-                new = set(parts)
-            self.learn(list(new))
-        head = self.bytes(self.ids([first])[0]) if first else b""
-        return b"".join([head, *map(cache.__getitem__, parts), self.end])
+            self.learn([p for p, f in zip(parts, found, strict=True) if f is None])
+            found = list(map(cache.get, parts))
+            found[0] = head
+            if None in found:  # the cache was emptied
+                self.learn(parts[1:])
+                found = [head, *map(cache.__getitem__, parts[1:])]
+        found.append(self.end)
+        return b"".join(found)
+
+    def first(self, part: str) -> bytes:
+        """The ids of the first part, which has no space in front."""
+        found = self.firsts.get(part)
+        if found is None:
+            if len(self.firsts) > self.most // 10:
+                self.firsts.clear()
+            found = self.firsts[part] = self.bytes(self.ids([part])[0]) if part else b""
+        return found
 
 
 _workers: dict[tuple[str, int], Encoder] = {}
