@@ -40,6 +40,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,7 @@ SCALE = 1024
 #: A character outside the vocabulary scores this much less than the worst piece (fixed value of the library).
 UNKNOWN_PENALTY = 10
 NONE = -(1 << 60)
-# in place of a score, which is never above zero
-BETWEEN, STOP = 1, 2
+BETWEEN = 1  # in place of a score, which is never above zero
 
 _MEET = re.compile(f"[^{SPACE}]{SPACE}")
 
@@ -72,7 +72,7 @@ class Vocabulary:
     bytes_at: list[int]  # id of each byte's piece
     unknown: int
     longest: int
-    steps: dict[str, int]  # score of each piece; BETWEEN for what only begins one
+    trie: dict[str, list]  # by character: the characters that may follow, the score (BETWEEN if this is no piece), the id
     score_at: np.ndarray  # by id; a character in bytes scores at its first one
 
     def as_unigram(self, path: str) -> bytes:
@@ -106,42 +106,70 @@ def load(path: str) -> Vocabulary:
     unknown = min(scores.values()) - UNKNOWN_PENALTY * SCALE
     score_at = np.array([scores.get(p.piece, 0) if p.type == 1 else 0 for p in m.pieces], np.int64)
     score_at[[i for b, i in enumerate(in_bytes) if b & 0xC0 != 0x80]] = unknown
-    steps = {p[:n]: BETWEEN for p in scores for n in range(1, len(p))} | scores
-    return Vocabulary([p.piece for p in m.pieces], scores, {p.piece: i for i, p in normal}, in_bytes, unknown, max(map(len, scores)), steps, score_at)
-
-
-def relax(v: Vocabulary, text: str, first: int, end: int, best: list[int], back: list[int]) -> None:
-    """Extend the best scores over pieces that start in [first, end); they may reach beyond it. ``back``: where the last piece began."""
-    steps, unknown, longest, size = v.steps, v.unknown, v.longest, len(text)
-    for i in range(first, end):
-        here = best[i]
-        if here == NONE:
-            continue
-        for j in range(i + 1, min(i + longest, size) + 1):
-            s = found = steps.get(text[i:j], STOP)
-            if found > 0 and j == i + 1:
-                s = unknown
-            if s <= 0 and here + s > best[j]:
-                best[j], back[j] = here + s, i
-            if found == STOP:
-                break
-
-
-def _trace(v: Vocabulary, text: str, end: int, back: list[int]) -> list[int]:
-    out = []
-    while back[end] >= 0:
-        piece = text[back[end] : end]
-        i = v.ids.get(piece)
-        out += [i] if i is not None else [v.bytes_at[b] for b in reversed(piece.encode())]
-        end = back[end]
-    return out[::-1]
+    trie: dict[str, list] = {}
+    for i, p in normal:
+        follow = trie
+        for c in p.piece:
+            node = follow.setdefault(c, [{}, BETWEEN, -1])
+            follow = node[0]
+        node[1:] = scores[p.piece], i
+    return Vocabulary([p.piece for p in m.pieces], scores, {p.piece: i for i, p in normal}, in_bytes, unknown, max(map(len, scores)), trie, score_at)
+
+
+class Path:
+    """Best scores by position, and the piece that each was reached by: where it began and its id (-1: one in bytes)."""
+
+    def __init__(self, size: int):
+        self.best, self.back, self.ids = [NONE] * (size + 1), [-1] * (size + 1), [-1] * (size + 1)
+
+    def relax(self, v: Vocabulary, text: str, first: int, end: int) -> Path:
+        """Extend the scores over pieces that start in [first, end); they may reach beyond it. Of equal ones the piece that starts first stays."""
+        best, back, ids, trie, unknown, longest = self.best, self.back, self.ids, v.trie, v.unknown, v.longest
+        for i in range(first, end):
+            here = best[i]
+            if here == NONE:
+                continue
+            follow, j = trie, i
+            for c in text[i : i + longest]:
+                node = follow.get(c)
+                j += 1
+                if node is None:
+                    if j == i + 1 and here + unknown > best[j]:
+                        best[j], back[j], ids[j] = here + unknown, i, -1
+                    break
+                follow, s, k = node
+                if s == BETWEEN:
+                    if j > i + 1:
+                        continue
+                    s = unknown
+                s += here
+                if s > best[j]:
+                    best[j], back[j], ids[j] = s, i, k
+        return self
+
+    def trace(self, v: Vocabulary, text: str, end: int) -> list[int]:
+        """Ids back from ``end`` to where the path began."""
+        out, back, ids = [], self.back, self.ids
+        while (start := back[end]) >= 0:
+            if ids[end] >= 0:
+                out.append(ids[end])
+            else:
+                out += [v.bytes_at[b] for b in reversed(text[start:end].encode())]
+            end = start
+        out.reverse()
+        return out
+
+    def began(self, end: int) -> int:
+        while self.back[end] >= 0:
+            end = self.back[end]
+        return end
 
 
 def encode_whole(v: Vocabulary, text: str) -> list[int]:
     """Ids of a normalised text in one pass."""
-    best, back = [0] + [NONE] * len(text), [-1] * (len(text) + 1)
-    relax(v, text, 0, len(text), best, back)
-    return _trace(v, text, len(text), back)
+    path = Path(len(text))
+    path.best[0] = 0
+    return path.relax(v, text, 0, len(text)).trace(v, text, len(text))
 
 
 def decode(v: Vocabulary, ids: list[int], table: list[bytes] | None = None) -> str:
@@ -162,7 +190,7 @@ class Encoder:
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         self.v, self.most = load(path), cache_units
-        self.kind = "<u2" if len(self.v.pieces) <= 1 << 16 else "<u4"
+        self.kind, self.code = ("u2", "H") if len(self.v.pieces) <= 1 << 16 else ("u4", "I")
         self.cache: dict[str, bytes] = {}
         self.table = byte_table(self.v)
 
@@ -180,7 +208,7 @@ class Encoder:
                 cache.clear()
                 new = set(units)
             for u in new:
-                cache[u] = np.array(encode_whole(self.v, SPACE + u.replace(" ", SPACE)), self.kind).tobytes()
+                cache[u] = array(self.code, encode_whole(self.v, SPACE + u.replace(" ", SPACE))).tobytes()
         return np.frombuffer(b"".join(map(cache.__getitem__, units)), self.kind).astype("<u4")
 
     def whole(self, text: str) -> np.ndarray:
@@ -211,10 +239,6 @@ def meeting(text: str, size: int) -> tuple[int, int] | None:
     return m.end() - 1, max(last, m.end() - 1)
 
 
-def _blank(text: str, k: int) -> tuple[list[int], list[int]]:
-    return [NONE] * (len(text) + k + 1), [-1] * (len(text) + k + 1)
-
-
 def transfer(e: Encoder, text: str, size: int) -> np.ndarray:
     """The matrix of a chunk: ``size`` characters of ``text``, which goes on with what a last piece may need."""
     v = e.v
@@ -223,18 +247,17 @@ def transfer(e: Encoder, text: str, size: int) -> np.ndarray:
     first, rest = size, None
     if met is not None:
         first, last = met
-        best, back = _blank(text, k)
-        best[last] = int(v.score_at[e.whole(text[first:last])].sum())
-        relax(v, text, last, size, best, back)
-        rest = np.array(best[size : size + k], np.int64)
+        path = Path(len(text) + k)
+        path.best[last] = int(v.score_at[e.whole(text[first:last])].sum())
+        rest = np.array(path.relax(v, text, last, size).best[size : size + k], np.int64)
     for s in range(min(k, first + 1)):
-        best, back = _blank(text, k)
-        best[s] = 0
-        relax(v, text, s, first, best, back)
+        path = Path(len(text) + k if met is None else first + k)
+        path.best[s] = 0
+        path.relax(v, text, s, first)
         if rest is None:
-            out[s] = best[size : size + k]
-        elif best[first] > NONE:
-            out[s] = np.where(rest > NONE, rest + best[first], NONE)
+            out[s] = path.best[size : size + k]
+        elif path.best[first] > NONE:
+            out[s] = np.where(rest > NONE, rest + path.best[first], NONE)
     return out
 
 
@@ -245,41 +268,33 @@ def times(vector: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.where(bad, NONE, both).max(axis=-2)
 
 
-def entered(v: Vocabulary, text: str, end: int, entry: np.ndarray) -> tuple[list[int], list[int]]:
-    """Best scores and last starts up to ``end`` for given entry scores."""
-    best, back = _blank(text, v.longest)
-    best[: v.longest] = [int(x) for x in entry]
-    relax(v, text, 0, end, best, back)
-    return best, back
-
-
-def _entry_of(back: list[int], end: int) -> int:
-    while back[end] >= 0:
-        end = back[end]
-    return end
+def entered(v: Vocabulary, text: str, end: int, entry: np.ndarray) -> Path:
+    """The best paths up to ``end`` for given entry scores."""
+    path = Path(len(text) + v.longest)
+    path.best[: v.longest] = [int(x) for x in entry]
+    return path.relax(v, text, 0, end)
 
 
 def came_from(e: Encoder, text: str, size: int, entry: np.ndarray) -> list[int]:
     """The entry state of each exit state."""
     k, met = e.v.longest, meeting(text, size)
     if met is not None:
-        _, back = entered(e.v, text, met[0], entry)
-        return [_entry_of(back, met[0])] * k
-    best, back = entered(e.v, text, size, entry)
-    return [_entry_of(back, size + s) if best[size + s] > NONE else -1 for s in range(k)]
+        return [entered(e.v, text, met[0], entry).began(met[0])] * k
+    path = entered(e.v, text, size, entry)
+    return [path.began(size + s) if path.best[size + s] > NONE else -1 for s in range(k)]
 
 
 def trace_chunk(e: Encoder, text: str, size: int, entry: np.ndarray, leave: int) -> np.ndarray:
     """Ids of the pieces that begin in a chunk, for its entry scores and its exit state."""
     met = meeting(text, size)
     if met is None:
-        return np.array(_trace(e.v, text, size + leave, entered(e.v, text, size, entry)[1]), "<u4")
+        return np.array(entered(e.v, text, size, entry).trace(e.v, text, size + leave), "<u4")
     first, last = met
-    head = _trace(e.v, text, first, entered(e.v, text, first, entry)[1])
-    best, back = _blank(text, e.v.longest)
-    best[last] = 0
-    relax(e.v, text, last, size, best, back)
-    return np.concatenate([np.array(head, "<u4"), e.whole(text[first:last]), np.array(_trace(e.v, text, size + leave, back), "<u4")])
+    head = entered(e.v, text, first, entry).trace(e.v, text, first)
+    tail = Path(len(text) + e.v.longest)
+    tail.best[last] = 0
+    tail.relax(e.v, text, last, size)
+    return np.concatenate([np.array(head, "<u4"), e.whole(text[first:last]), np.array(tail.trace(e.v, text, size + leave), "<u4")])
 
 
 def _chunks(docs: DataFrame, longest: int) -> DataFrame:

@@ -114,9 +114,9 @@ def test_op7_products_are_associative():
     a, b, c = (sentencepiece_scan.transfer(e, text[i : j + v.longest], j - i) for i, j in cuts)
     left, right = sentencepiece_scan.times(sentencepiece_scan.times(a, b), c), sentencepiece_scan.times(a, sentencepiece_scan.times(b, c))
     assert (left == right).all()
-    best, back = [0] + [sentencepiece_scan.NONE] * len(text), [-1] * (len(text) + 1)
-    sentencepiece_scan.relax(v, text, 0, len(text), best, back)
-    assert left[0, 0] == best[-1]
+    path = sentencepiece_scan.Path(len(text))
+    path.best[0] = 0
+    assert left[0, 0] == path.relax(v, text, 0, len(text)).best[-1]
 
 
 def test_op7_chunks_do_not_show(spark, odd, nothing, monkeypatch):
