@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import mixing, quality_model, sentencepiece_scan, simhash, suffix_dedup
+from corpuslode.llm import mixing, near_copies, quality_model, sentencepiece_scan, suffix_dedup
 from corpuslode.llm.common import cut
 
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (word shingles of three, three bits) the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the row with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("suffix-array dedup", repeats),
     ("mixing sources to target weights", mix),
     ("SentencePiece encoding and decoding", encode),

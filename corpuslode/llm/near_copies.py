@@ -1,0 +1,153 @@
+"""Near copies: all pairs of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, exactly.
+
+A text's bytes with A-Z lower-cased are cut into words as in ``simhash``, and
+the words into shingles of five, each an XXH64 value; a text of fewer words has
+one shingle, all its words. Texts of equal words are one node, so exact copies
+never meet; those without a word, null included, are one node too.
+
+Candidates. Two sets of similarity 0.8 share a shingle among the first
+``n - ceil(0.8 n) + 1`` of each, in any order that all sets use (prefix
+filter). The order is by hash, behind it the shingles that a sample finds in
+many texts: the sample changes the work, never the result. Sizes and positions
+that rule the similarity out are left out, the rest is compared as whole sets.
+
+Large groups. First each text meets one text of each shared shingle, in
+``STARS`` rounds; what they link is joined. Then, for each shared shingle, the
+pairs of texts in different components are compared, all of them. So a large
+group of near copies costs no square of its size, and no group is cut.
+
+``keep_one`` keeps of each component the one row with the smallest id, null
+ids last, by a key of its own for each row: repeated and null ids are as good
+as others, and a different text under a dropped row's id stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslode.llm.common import cut
+from corpuslode.llm.components import components
+from corpuslode.llm.simhash import _LOWER, SEED
+
+SHINGLE = 5
+#: Rounds in which each text meets one other text of each shared shingle.
+STARS = 2
+#: Texts in the sample, texts of it that a shingle in many texts stands in, and such shingles at most.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 20_000
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The different shingles, as sorted unsigned values."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    rows = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in rows), np.uint64))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """``rows``: row, text. Returns row and its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(_words(t)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, set array<long>")
+
+
+def _common(rows: DataFrame) -> np.ndarray:
+    """Shingles that stand in many texts of a sample."""
+    share = max(1, rows.count() // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).limit(2 * SAMPLE)
+    counts = _sets(sample).select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+
+
+def _prints(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """row, doc_id, a hash of the words, the set's size and the first of its shingles in the common order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, sizes, firsts = [], [], []
+            for t in b.column("text").to_pylist():
+                words = _words(t)
+                s = shingles(words)
+                late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+                n = len(s)
+                same.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+                sizes.append(n)
+                firsts.append(np.concatenate([s[~late], s[late]])[: n - (4 * n + 4) // 5 + 1].view(np.int64))
+            columns = [b.column("row"), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "same", "n", "first"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, same binary, n int, first array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets have the similarity."""
+    one, other = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = pairs.distinct().join(one, "a").join(other, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return both.where("5 * c >= 4 * (size(sa) + size(sb) - c)").select("a", "b")
+
+
+def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``nodes``: row, n, first. Returns pairs (a, b) of rows whose closure is that of all pairs of the similarity."""
+    entries = nodes.select("row", "n", F.posexplode("first").alias("pos", "key"))
+    centers = [F.min(F.struct(F.xxhash64("row", F.lit(i)).alias("h"), "row", "n", "pos")).alias(f"center{i}") for i in range(STARS)]
+    shared = entries.groupBy("key").agg(F.count("*").alias("of"), *centers).where("of > 1").drop("of")
+    entries = cut(entries.join(shared, "key"), "copies-index")
+    # of a pair at its first common shingle no more than what follows can be common, and 4/9 of both sizes must be
+    may = lambda m, i, n, j: f"9 * least({m} - {i}, {n} - {j}) >= 4 * ({m} + {n})"
+    sets = cut(_sets(rows.join(entries.select("row").distinct(), "row", "left_semi")), "copies-sets")
+    found = None
+    for i in range(STARS):
+        met = entries.where(f"row != center{i}.row").where(may("n", "pos", f"center{i}.n", f"center{i}.pos"))
+        met = met.select(F.least("row", f"center{i}.row").alias("a"), F.greatest("row", f"center{i}.row").alias("b"))
+        found = met if found is None else found.union(met)
+    found = cut(_alike(found, sets), "copies-links")
+
+    # what is still apart: all pairs of different components under each shared shingle
+    parts = components(found)
+    left = entries.join(parts, entries["row"] == parts["node"], "left").select("key", "row", "n", "pos", F.coalesce("component", "row").alias("part"))
+    groups = left.groupBy("key", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    several = groups.groupBy("key").count().where("count > 1").select("key")
+    groups = groups.join(several, "key")
+    sizes = "5 * g.high >= 4 * h.low AND 5 * h.high >= 4 * g.low"
+    apart = groups.alias("g").join(groups.alias("h"), F.expr(f"g.key = h.key AND g.part < h.part AND {sizes}"))
+    apart = apart.select("g.key", F.col("g.part").alias("part"), F.col("h.part").alias("to"))
+    pairs = apart.join(left, ["key", "part"]).select("key", "to", F.col("row").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"))
+    pairs = pairs.join(left.withColumnRenamed("part", "to"), ["key", "to"]).where(may("m", "i", "n", "pos"))
+    pairs = pairs.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+    return found.union(cut(_alike(pairs, sets), "copies-links"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """row, doc_id and, as ``best``, the row that is kept of the component."""
+    prints = cut(_prints(rows, _common(rows)), "copies-prints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = cut(prints.groupBy("same").agg(F.min(rank).alias("rank"), F.min(F.struct("row", "n", "first")).alias("of")), "copies-nodes")
+    found = components(links(nodes.select("of.*"), rows))
+    nodes = nodes.select("same", "rank", F.col("of.row").alias("at"))
+    nodes = nodes.join(found, nodes["at"] == found["node"], "left").select("same", "rank", F.coalesce("component", "at").alias("part"))
+    best = nodes.groupBy("part").agg(F.min("rank").alias("rank"))
+    nodes = nodes.select("same", "part").join(best, "part").select("same", "part", F.col("rank.row").alias("best"))
+    return prints.select("row", "doc_id", "same").join(nodes, "same").select("row", "doc_id", "best")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near copies one row, that of the smallest id, with all its columns."""
+    whole = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "copies-rows")
+    rows = whole.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    gone = cut(_classes(rows).where("row != best").select(F.col("row").alias("__row")), "copies-gone")
+    return whole.join(gone, "__row", "left_anti").select(*docs.columns)
