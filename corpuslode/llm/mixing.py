@@ -8,10 +8,9 @@ above.
 Blocks. A hash of (seed, id) deals each source's documents into at most
 ``BLOCKS`` blocks in a random order. A mix takes a source whole as many times
 as its target holds it, and of one further round the first blocks in that
-order up to the target. Where the target falls inside a block, the documents
-of that block and the next ``FILL_BLOCKS`` are tried in the hash order, and
-each one that still fits is taken, so a source ends short of its target by
-less than its smallest document left out there.
+order up to the target. Of all other blocks, in the order of blocks and hashes,
+each document that still fits is taken, so a source ends short of its target by
+less than the smallest document that it leaves out.
 
 Shards. The number of taken blocks of each source is split exactly among the
 output shards by a tree: each node divides its shards in halves and draws how
@@ -40,7 +39,8 @@ from corpuslode.llm.common import cut
 
 MAX_REPEATS = 3
 BLOCKS = 65_536
-FILL_BLOCKS = 64
+#: Documents of a source that one task tries one by one; of more, blocks are summed first.
+GATHER = 50_000
 WEIGHTS = (1.0, 2.0, 3.0)
 SHARDS = 64
 
@@ -84,6 +84,54 @@ class Mix:
     rows: DataFrame
 
 
+def _fill(sized: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """Documents that fit behind the whole blocks: in the order of blocks and hashes, each that fits what is left is taken.
+
+    A round takes, of the documents no larger than what is left, the blocks
+    that fit whole and tries those of the next block one by one. It goes on
+    behind that block, until no document that follows fits. Where at most
+    ``GATHER`` documents of a source still fit, one task tries them all.
+    """
+    spark = sized.sparkSession
+    edges = found.groupBy("s", "rest").agg(F.max(F.when(F.col("whole"), F.col("block"))).alias("at"), F.coalesce(F.max(F.when(F.col("whole"), F.col("upto"))), F.lit(0)).alias("used"))
+    # a row per source: the block behind which it goes on and the words that are left
+    state = {r["s"]: (-1 if r["at"] is None else r["at"], r["rest"] - r["used"]) for r in edges.collect()}
+    order = Window.partitionBy("s").orderBy("block")
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["block", "h", "doc_id"])
+        left, take = int(p["left"].iloc[0] - p["before"].iloc[0]), []
+        for n in p["size"].to_numpy():
+            take.append(n <= left)
+            left -= int(n) * take[-1]
+        return p.loc[take, ["s", "block", "h", "doc_id", "size"]]
+
+    taken = spark.createDataFrame([], kind)
+    while state := {s: x for s, x in state.items() if x[1] > 0}:
+        now = F.broadcast(spark.createDataFrame([(s, *x) for s, x in state.items()], "s int, at long, left long"))
+        sized = cut(sized.join(now, "s").where("block > at AND size > 0 AND size <= left").select("s", "block", "h", "doc_id", "size"), "mix-fill")
+        counts = {r["s"]: r["count"] for r in sized.groupBy("s").count().collect()}
+        few, many = [s for s, n in counts.items() if n <= GATHER], [s for s, n in counts.items() if n > GATHER]
+        if few:
+            last = sized.where(F.col("s").isin(few)).join(now, "s").withColumn("before", F.lit(0).cast("long"))
+            taken = taken.union(cut(last.groupBy("s").applyInPandas(fit, kind), "mix-filled"))
+        state = {s: state[s] for s in many}
+        if not many:
+            break
+        sized = sized.where(F.col("s").isin(many))
+        sums = sized.groupBy("s", "block").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(order))
+        sums = cut(sums.join(now, "s"), "mix-fill-blocks")
+        # the block that does not fit whole, one per source
+        edge = sums.where("upto > left").groupBy("s").agg(F.min(F.struct("block", (F.col("upto") - F.col("words")).alias("before"), "left")).alias("e")).select("s", "e.*")
+        whole = sized.join(sums.where("upto <= left").select("s", "block"), ["s", "block"])
+        tried = sized.join(F.broadcast(edge), ["s", "block"]).groupBy("s").applyInPandas(fit, kind)
+        new = cut(whole.select("s", "block", "h", "doc_id", "size").union(tried), "mix-filled")
+        taken = taken.union(new)
+        used = {r["s"]: r["n"] for r in new.groupBy("s").agg(F.sum("size").alias("n")).collect()}
+        state = {r["s"]: (r["block"], state[r["s"]][1] - used.get(r["s"], 0)) for r in edge.collect()}
+    return taken
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -111,26 +159,14 @@ def mix(
     wanted = F.broadcast(spark.createDataFrame(plan, "s int, source string, source_size long, target double, rounds int, rest long"))  # a row per source
     sized = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
 
-    # the partial round: whole blocks in order, then what fits of the next ones
+    # the partial round: whole blocks in order, then what fits of all others
     found = sized.groupBy("s", "rest", "rounds", "block").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("s").orderBy("block")
-    found = found.withColumn("upto", F.sum("words").over(order)).withColumn("rank", F.row_number().over(order))
+    found = found.withColumn("upto", F.sum("words").over(order))
     found = cut(found.withColumn("whole", F.col("upto") <= F.col("rest")), "mix-blocks")
-    edge = found.groupBy("s").agg(F.count_if("whole").alias("edge"), F.coalesce(F.max(F.when(F.col("whole"), F.col("upto"))), F.lit(0)).alias("used"))
-    edge = F.broadcast(edge)  # a row per source
-    fill = found.join(edge, "s").where((F.col("rank") > F.col("edge")) & (F.col("rank") <= F.col("edge") + FILL_BLOCKS)).select("s", "block", (F.col("rest") - F.col("used")).alias("left"))
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["h", "doc_id"])
-        left, take = int(p["left"].iloc[0]), []
-        for n in p["size"].to_numpy():
-            take.append(0 < n <= left)
-            left -= int(n) * take[-1]
-        return p.loc[take, ["s", "block", "doc_id"]]
-
     kind = dict(sized.dtypes)["doc_id"]
-    tried = sized.join(F.broadcast(fill), ["s", "block"]).select("s", "block", "doc_id", "h", "size", "left")  # FILL_BLOCKS rows per source
-    fitted = tried.groupBy("s").applyInPandas(fit, f"s int, block long, doc_id {kind}").dropDuplicates(["s", "block", "doc_id"])
+    fitted = _fill(sized.select("s", "block", "h", "doc_id", "size"), found, f"s int, block long, h long, doc_id {kind}, size long")
+    fitted = fitted.select("s", "block", "doc_id").dropDuplicates(["s", "block", "doc_id"])
 
     # taken blocks, with a number for each round of each; the part of a block that fitted counts as one
     again = "CASE WHEN rounds + CAST(whole AS int) > 0 THEN sequence(1, rounds + CAST(whole AS int)) END"
