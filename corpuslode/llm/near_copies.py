@@ -13,8 +13,8 @@ that rule the similarity out are left out, the rest is compared as whole sets.
 
 Large groups. First each text meets one text of each shared shingle, in
 ``STARS`` rounds; what they link is joined. Then, for each shared shingle, the
-pairs of texts in different components are compared, all of them. So a large
-group of near copies costs no square of its size, and no group is cut.
+pairs of texts in different components are compared, all of them. No group is
+cut; a large group that the rounds leave apart costs the square of its parts.
 
 ``keep_one`` keeps of each component the one row with the smallest id, null
 ids last, by a key of its own for each row: repeated and null ids are as good
