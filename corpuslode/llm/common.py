@@ -4,31 +4,102 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What counts as a word wherever words are counted: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: The scratch folders of the ``tidy`` blocks around, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one only where that is unset."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset a local session gets a temporary folder; on a cluster,
+    whose executors could not see one, it is an error. ``keep``: it outlives the
+    innermost ``tidy`` block.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpuslode-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if blocks := _open.get()[: -1 if keep else None]:
+        blocks[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are deleted at the end, but for kept ones, which an enclosing block deletes with its own.
+
+    What leaves the block must read kept tables only.
+    """
+    made: list[str] = []
+    before = _open.set((*_open.get(), made))
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in made:
+            remove(spark, path)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to shared scratch and read it again: the lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return stored(df, scratch(df.sparkSession, name, keep))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df``, written at ``path``."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def share(df: DataFrame, most: int, *keys: Column, seed: int = 17) -> DataFrame:
+    """About ``most`` rows of ``df``, chosen by a hash of ``keys``: the same ones whenever it is run.
+
+    The hash is compared in all its 64 bits, so any share of any number of rows
+    can be asked for. Rows with equal keys come together or not at all: where
+    the rows are then collected, a limit behind this bounds them.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.xxhash64(F.lit(seed), *keys) < F.lit(below(most, n)))
+
+
+def below(most: int, n: int) -> int:
+    """The signed 64-bit value under which ``most`` of ``n`` hashes lie on average."""
+    return min((1 << 64) * most // n, (1 << 64) - 1) - (1 << 63)

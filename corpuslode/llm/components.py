@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut
-
-MAX_ROUNDS = 60
+from corpuslode.llm.common import cut, tidy
 
 
 def components(links: DataFrame, kind: str = "long") -> DataFrame:
@@ -21,19 +19,18 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
     joined back to its links.
     """
     links = links.select(F.least("a", "b").cast(kind).alias("a"), F.greatest("a", "b").cast(kind).alias("b")).where("a < b").distinct()
-    links = cut(links, "links")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        # links now go from a smaller to a larger node; each node keeps its smallest one and points the others there
-        large = large.distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("l"))
-        links = cut(small.select("l.*").where("a < b").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = now
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+    before = now = None
+    with tidy(links.sparkSession):
+        links = cut(links, "links")
+        while now is None or now != before:
+            before = now
+            both = links.union(links.select("b", "a")).toDF("u", "v")
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+            # links now go from a smaller to a larger node; each node keeps its smallest one and points the others there
+            large = large.distinct()
+            low = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("l"))
+            links = cut(small.select("l.*").where("a < b").distinct(), "links")
+            now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        return cut(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "components", keep=True)
