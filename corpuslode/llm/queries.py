@@ -95,8 +95,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(documents(spark, sf_dir))
-    taken = plan.rows.groupBy("doc_id").agg(F.sum("size").alias("taken"))
-    return plan.sizes.join(taken, "doc_id", "left").fillna(0, ["taken"])
+    drawn = plan.rows.groupBy("row").agg(F.sum("size").alias("taken"), F.concat_ws(",", F.sort_array(F.collect_list("shard"))).alias("shards"))
+    return plan.sizes.join(drawn, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 @query("op2_simhash")
