@@ -16,15 +16,32 @@ distance are checked on what is found, and a pair counts only at the first
 start that has a chain. Only different fingerprints of one exact index entry,
 32 equal bits, meet.
 
-An entry that more than ``HOT`` fingerprints share is not joined row by row:
-its fingerprints are dealt into groups of ``BLOCK``, each pair of groups is one
-task's work, which compares all of it and returns a spanning forest of its
-links. So links never grow with the square of a group, no group is gathered
-whole, and none is cut.
-
-Copies and ties need no rule: nodes are fingerprints, and a component's name
-is its smallest document id. Empty tables give empty results; other columns
-are not read by ``fingerprints`` and pass ``keep_one`` unchanged.
+An entry that more than ``HOT`` nodes share is not joined row by row: its nodes
+are dealt into groups of ``BLOCK``, and each pair of groups is one task's work.
+``links`` returns a spanning forest of what a pair of groups links. So links
+never grow with the square of a group, no group is gathered whole, and none is
+cut.
+
+Similar texts. ``keep_one`` joins texts whose five-word shingle sets have a
+Jaccard similarity of ``SIMILARITY`` or more. Of the five-word fingerprints of
+such a pair few are within three bits, so here a text has ``RINGS`` independent
+fingerprints of 48 bits of its different words (an edit changes one word, but
+five shingles), a pair within three bits in any of them is a candidate, and each
+candidate is then decided exactly by its shingle sets: nothing else goes, but a
+pair that differs in one long run of words may be missed. Texts of equal words are
+one node, so exact copies never meet. Under a hot entry each node first meets
+``STARS`` of the entry's nodes; what these links join is known before the groups
+are compared, and there only pairs of different components become candidates.
+The sets of candidates travel once for each pair of bounded groups of texts,
+never once for each pair of texts.
+
+Rows have a key of their own in ``keep_one``: exactly one row of each component
+stays, that of the smallest id, null ids last, whether ids repeat or are null,
+and a different text under a dropped row's id stays. In ``near_duplicates`` rows
+that share an id get a result each; a component without any id has none. Ties
+need no rule: a component's name is its smallest document id. Texts are read
+whole, whatever their length. Empty tables give empty results. Other columns may
+have any names; they are not read, and pass ``keep_one`` unchanged.
 """
 
 from __future__ import annotations
@@ -38,17 +55,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut
+from corpuslode.llm.common import cut, free_name, tidy
 from corpuslode.llm.components import components
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 SEGMENTS, WIDTH = 4, 16
-#: Fingerprints of one index entry above which it is compared in blocks.
+#: Nodes of one index entry above which it is compared in blocks.
 HOT = 32
-#: Fingerprints in one block of such an entry.
+#: Nodes in one block of such an entry.
 BLOCK = 2048
+#: Hot entries that are broadcast at most.
+FEW_ENTRIES = 200_000
+#: Words of a shingle and Jaccard similarity, in per cent, of texts that ``keep_one`` joins.
+WORDS, SIMILARITY = 5, 80
+#: Fingerprints of a text for ``keep_one``, and bits of a segment of theirs.
+RINGS, RING_WIDTH = 4, 12
+#: Nodes of a hot entry that all others of it meet first.
+STARS = 2
+#: Shingles in a group of texts that are compared in one task.
+CELL = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -76,22 +103,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp long")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, WIDTH * (i % SEGMENTS)).bitwiseAND(0xFFFF)
+def _segment(fp: Column, i: int, width: int = WIDTH) -> Column:
+    return F.shiftrightunsigned(fp, width * (i % SEGMENTS)).bitwiseAND((1 << width) - 1)
 
 
-def _differ(a: Column, b: Column, i: int, length: int) -> Column:
+def _differ(a: Column, b: Column, i: int, length: int, width: int) -> Column:
     """Bits in which ``length`` segments from ``i`` on differ."""
     x = a.bitwiseXOR(b)
-    mask = sum(0xFFFF << (WIDTH * ((i + k) % SEGMENTS)) for k in range(length))
+    mask = sum((1 << width) - 1 << (width * ((i + k) % SEGMENTS)) for k in range(length))
     return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
 
 
-def _chain(a: Column, b: Column, i: int) -> Column:
+def _chain(a: Column, b: Column, i: int, width: int = WIDTH) -> Column:
     """Whether each prefix of the chain that starts at segment i keeps its share of the distance."""
     found = F.lit(True)
     for length in range(1, SEGMENTS + 1):
-        found = found & (_differ(a, b, i, length) <= DISTANCE * length // SEGMENTS)
+        found = found & (_differ(a, b, i, length, width) <= DISTANCE * length // SEGMENTS)
     return found
 
 
@@ -138,14 +165,11 @@ def links(fps: DataFrame) -> DataFrame:
 
     # entries that many share: those found under any of the 17 forms of a hot key meet its own fingerprints, block by block
     hot = entries.where(F.col("n") > HOT).select("key", "fp", "n")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    deal = lambda c: F.pmod(F.xxhash64(c), parts).cast("int")
-    own = hot.select("key", "n", F.col("fp"), deal(F.col("fp")).alias("p"), parts.alias("parts"))
-    own = own.select("key", "fp", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(True).alias("own"))
-    hot_keys = hot.groupBy("key").agg(F.first("n").alias("n"))
-    guests = asked.join(hot_keys, "key").select("key", "n", F.col("a").alias("fp"), deal(F.col("a")).alias("q"), parts.alias("parts"))
-    guests = guests.select("key", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "q", F.lit(False).alias("own"))
-    met = own.unionByName(guests.select("key", "fp", "p", "q", "own"))
+    hot_keys, some = _hot(hot)
+    if not some:
+        return few
+    guests = asked.join(hot_keys, "key").select("key", "n", F.col("a").alias("fp"))
+    met = _blocks(hot, guests, "fp")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = p.loc[p["own"], "fp"].to_numpy(), p.loc[~p["own"], "fp"].to_numpy()
@@ -156,13 +180,31 @@ def links(fps: DataFrame) -> DataFrame:
     return few.union(many.where("a != b"))
 
 
+def _hot(entries: DataFrame) -> tuple[DataFrame, bool]:
+    """The keys of entries (key, n) and whether there are any; broadcast if they are few, so that what does not look there is not shuffled."""
+    keys = cut(entries.groupBy("key").agg(F.first("n").alias("n")), "simhash-hot")
+    n = keys.count()
+    return (F.broadcast(keys) if n <= FEW_ENTRIES else keys), n > 0
+
+
+def _blocks(own: DataFrame, guests: DataFrame, by: str) -> DataFrame:
+    """``own`` and ``guests`` (key, n and others) dealt into groups p and q of about BLOCK rows of a key, each own group beside each group of guests."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = F.pmod(F.xxhash64(by), parts).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), parts - 1))
+    own = own.withColumn("p", dealt).withColumn("q", all_).withColumn("own", F.lit(True))
+    guests = guests.withColumn("q", dealt).withColumn("p", all_).withColumn("own", F.lit(False))
+    return own.unionByName(guests).drop("n")
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """``prints``: doc_id, fp. Adds component_id: the smallest doc_id that is reached over links."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = components(links(nodes.select("fp")))
-    roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
+    with tidy(prints.sparkSession):
+        nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+        found = components(links(nodes.select("fp")))
+        roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+        names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = cut(roots.join(names, "root").select("fp", "component_id"), "simhash-named", keep=True)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -171,8 +213,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(cut(fingerprints(docs, id_col, text_col, shingle), "simhash-prints"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The different shingles of ``WORDS`` words, as sorted unsigned values."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    rows = map(b" ".join, zip(*(words[i:] for i in range(WORDS)), strict=False)) if len(words) >= WORDS else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in rows), np.uint64))
+
+
+def ring_prints(words: list[bytes]) -> np.ndarray:
+    """``RINGS`` independent fingerprints of the different words."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+    out = np.zeros(RINGS, np.int64)
+    for r in range(RINGS if len(h) else 0):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[r] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view(np.int64)[0]
+    return out & ((1 << SEGMENTS * RING_WIDTH) - 1)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``rows``: row, doc_id, text. One row for all texts of equal words: node (one of their rows), its fingerprints, and the rank of the row to keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_words(t) for t in b.column("text").to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(b" ".join(w), SEED) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), same, pa.array([ring_prints(w) for w in words], pa.list_(pa.int64()))], ["row", "doc_id", "same", "prints"])
+
+    prints = rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, same binary, prints array<long>")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    found = prints.groupBy("same").agg(F.min(rank).alias("rank"), F.min("row").alias("node"), F.first("prints").alias("prints"))
+    return found.select("node", "rank", "prints")
+
+
+def _ring_keys(fp: Column, ring: Column, forms: list[int]) -> Column:
+    """The index keys of a ring's fingerprint, with the next segment in each of ``forms``."""
+    w = RING_WIDTH
+    each = [_key(i, _segment(fp, i, w), _segment(fp, i + 1, w).bitwiseXOR(F.lit(x))).bitwiseOR(F.shiftleft(ring.cast("long"), 34)) for i in range(SEGMENTS) for x in forms]
+    return F.explode(F.array(*each))
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Pairs (a, b) of nodes within DISTANCE in a ring: of entries that few share all, of the hot ones those with the entry's stars.
+
+    Beside them the hot entries and those who look there, for what the stars leave apart.
+    """
+    prints = nodes.select("node", F.posexplode("prints").alias("ring", "fp"))
+    entries = prints.select("node", "fp", _ring_keys(F.col("fp"), F.col("ring"), [0]).alias("key"))
+    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key"), "copies-index")
+    asked = prints.select("node", "fp", _ring_keys(F.col("fp"), F.col("ring"), [0, *[1 << b for b in range(RING_WIDTH)]]).alias("key"))
+    near = _near(F.col("f"), F.col("g"))
+    many = max(HOT, 8 * nodes.count() >> 2 * RING_WIDTH)  # a key of 2 * RING_WIDTH bits that is no exception in a large table either
+    few = entries.where((F.col("n") > 1) & (F.col("n") <= many)).select("key", F.col("node").alias("b"), F.col("fp").alias("g"))
+    few = asked.toDF("a", "f", "key").join(few, "key").where("a < b").where(near).select("a", "b")
+    hot = entries.where(F.col("n") > many)
+    keys, some = _hot(hot)
+    if not some:
+        return few, None, None
+    guests = cut(asked.join(keys, "key").select("key", "n", "node", "fp"), "copies-guests")
+    stars = hot.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "fp")) for i in range(STARS)]).alias("s"))
+    stars = stars.select("key", F.explode("s").alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.fp").alias("g"))
+    met = guests.select("key", F.col("node").alias("a"), F.col("fp").alias("f")).join(stars, "key").where("a != b").where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= DISTANCE)
+    return few.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), hot.select("key", "n", "node", "fp"), guests
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two fingerprints that met under ``key`` have a chain, and that start is the first one with one."""
+    at = F.shiftright("key", 32).bitwiseAND(SEGMENTS - 1)
+    return F.coalesce(*[F.when(_chain(a, b, i, RING_WIDTH), F.lit(i)) for i in range(SEGMENTS)]) == at
+
+
+def _apart(hot: DataFrame, guests: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs within DISTANCE under hot entries whose nodes are in different components."""
+    part = lambda df: df.join(parts, df["node"] == parts["member"], "left").select("key", "n", "node", "fp", F.coalesce("component", "node").alias("part"))
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = p[p["own"]], p[~p["own"]]
+        node, fp, of = theirs["node"].to_numpy(), theirs["fp"].to_numpy(), theirs["part"].to_numpy()
+        found = []
+        for x, f, c in zip(mine["node"].tolist(), mine["fp"].to_numpy(), mine["part"].tolist(), strict=True):
+            y = node[(of != c) & (np.bitwise_count((fp ^ f).view(np.uint64)) <= DISTANCE)]
+            found.append(np.stack([np.minimum(y, x), np.maximum(y, x)], axis=1))
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    # an entry all of whose visitors are in one component has nothing left to compare
+    guests, hot = part(guests), part(hot)
+    several = guests.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    met = _blocks(hot.join(several, "key"), guests.join(several, "key"), "node")
+    return met.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) of rows those whose shingle sets have the similarity; the sets travel by groups of at most about CELL shingles."""
+    spark = rows.sparkSession
+    pairs = cut(pairs.distinct(), "copies-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(_words(t)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "set"])
+
+    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    held = rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, n int, set array<long>")
+    held = cut(held.withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")), "copies-sets")
+    counts = held.groupBy("size").count().collect()  # a row per power of two
+    groups = spark.createDataFrame([(r["size"], -(-(r["count"] << (r["size"] + 1)) // CELL)) for r in counts], "size int, groups long")
+    group = F.shiftleft(F.col("size").cast("long"), 48) + F.pmod(F.xxhash64("row"), F.col("groups"))
+    held = held.join(F.broadcast(groups), "size").select("row", "set", group.alias("group"))
+    one, other = held.select(F.col("row").alias("a"), F.col("group").alias("g")), held.select(F.col("row").alias("b"), F.col("group").alias("h"))
+    placed = cut(pairs.join(one, "a").join(other, "b"), "copies-placed")
+    need = placed.select("g", "h", F.col("a").alias("row")).union(placed.select("g", "h", "b")).distinct().join(held, "row").select(F.col("g").alias("k"), F.col("h").alias("l"), "row", "set")
+
+    def check(p: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(sets["row"], sets["set"], strict=True))
+
+        def alike(a: int, b: int) -> bool:
+            x, y = of[a], of[b]
+            if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+                return False
+            c = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * c >= SIMILARITY * (len(x) + len(y) - c)
+
+        return p.loc[[alike(a, b) for a, b in zip(p["a"], p["b"], strict=True)], ["a", "b"]]
+
+    return cut(placed.groupBy("g", "h").cogroup(need.groupBy("k", "l")).applyInPandas(check, "a long, b long"), "copies-links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of similar texts one row, that of the smallest id, with all its columns."""
+    key = free_name("row", docs)
+    with tidy(docs.sparkSession):
+        whole = cut(docs.withColumn(key, F.monotonically_increasing_id()), "copies-rows", keep=True)
+        rows = whole.select(F.col(key).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        nodes = cut(_nodes(rows), "copies-nodes")
+        met, hot, guests = _candidates(nodes)
+        found = _alike(met, rows)
+        parts = components(found)
+        if hot is not None:
+            found = found.union(_alike(_apart(hot, guests, parts.withColumnRenamed("node", "member")), rows))
+            parts = components(found)
+        ranked = nodes.select("node", "rank").join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        stay = ranked.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("rank").alias("rank"))
+        stay = cut(stay.select(F.col("rank.row").alias(key)), "copies-stay", keep=True)
+    return whole.join(stay, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
