@@ -11,7 +11,9 @@ characters down to one, so that it weighs as one word.
 Null text, and text without a letter, is ``und`` with score 0. With no
 labelled row everything is ``und``. Ties go to the language code that sorts
 first. Rows without a language take no part in fitting; repeated rows count as
-often as they stand there; other columns are not read.
+often as they stand there. A text of any length is scored whole; one with more
+different words than a worker's cache is scored in pieces. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslode.llm.common import share
+
 UNKNOWN = "und"
 #: Labelled documents a model is fitted on at most, a random share of all of them.
 MAX_TRAIN_DOCS = 20_000
@@ -47,14 +51,6 @@ class Model:
     gram_logs: np.ndarray | None = None
 
 
-def share(df: DataFrame, key: Column, most: int, seed: int = 17) -> DataFrame:
-    """About ``most`` rows of ``df`` at most, chosen by a hash of ``key``: the same ones whenever it is run."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-
-
 def _logs(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies with add-half smoothing; rows: (lang, key, n), totals over what was kept."""
     index: dict[str, int] = {}
@@ -77,7 +73,7 @@ def fit(
 ) -> Model:
     """Fit on rows of ``docs`` that have a language and a text."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    d = share(d.where("lang IS NOT NULL AND text IS NOT NULL"), F.col("id"), max_train_docs)
+    d = share(d.where("lang IS NOT NULL AND text IS NOT NULL"), max_train_docs, F.col("id"), F.col("text"))
     words = (
         d.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("k")).groupBy("lang", "k").agg(F.count("*").alias("n"))
     ).cache()

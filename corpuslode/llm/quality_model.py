@@ -9,12 +9,15 @@ way, from trees with one cut on either feature. A score is the sum of the
 table entries of a text's bins, through the logistic function: whole batches
 are scored by indexed additions.
 
-The model is fitted on at most ``MAX_ROWS`` labelled rows (a share by a hash
-of the id), gathered on the driver in the order of their ids; its size does
-not depend on the input. Null text counts as empty, and the empty text gets a
-score like any other. Without labelled rows all scores are 0.5. Repeated label
-rows count as often as they stand there; labels that are null do not. Other
-columns of the input are not read by a score and pass ``keep_good`` unchanged.
+The model is fitted on about ``MAX_ROWS`` labelled rows (a share by a hash of
+the id), of which the feature rows are gathered on the driver in the order of
+their ids; where ids repeat, at most twice as many labels and four times as
+many rows. Its size does not depend on the input. Null text counts as empty,
+and the empty text gets a score like any other. Without labelled rows all
+scores are 0.5. Repeated label rows count as often as they stand there; labels
+that are null do not. A text of any length is read whole, in one pass over its
+bytes and words. Other columns of the input, whatever their names, are not read
+by a score and pass ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.language import share
+from corpuslode.llm.common import share
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 20_000
@@ -179,7 +182,7 @@ def _columns(batch: pa.RecordBatch, name: str = "text") -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on the documents that ``labels`` (id, 0 or 1) marks; the caller leaves out rows that are held out."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    marks = share(marks, F.col("id"), max_rows)
+    marks = share(marks, max_rows, F.col("id"), F.col("y")).limit(2 * max_rows)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the marks are at most about max_rows rows
     rows = d.join(F.broadcast(marks), "id").mapInArrow(
@@ -187,8 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(list(_columns(b)), pa.list_(pa.float64()))], ["id", "y", "x"]) for b in batches
         ),
         f"id {dict(d.dtypes)['id']}, y int, x array<double>",
-    ).collect()
-    rows.sort(key=lambda r: (r["id"], r["y"]))
+    ).orderBy("id", "y", "x").limit(4 * max_rows).collect()
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit_rows(x, np.array([float(r["y"] > 0) for r in rows]))
 

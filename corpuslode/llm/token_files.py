@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm.language import share
+from corpuslode.llm.common import share
 
 MAGIC = b"CLTOKEN1"
 PACK_BYTES = 4_000_000
@@ -209,7 +209,7 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int, id_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([encode(t) for t in b.column("text").to_pylist()], pa.binary())], ["ids"])
 
-    sample = share(d.where(F.length("text") <= SAMPLE_CHARS), F.col("doc_id"), SAMPLE_DOCS).select("text").mapInArrow(encoded, "ids binary")
+    sample = share(d.where(F.length("text") <= SAMPLE_CHARS), SAMPLE_DOCS, F.col("doc_id"), F.col("text")).select("text").limit(2 * SAMPLE_DOCS).mapInArrow(encoded, "ids binary")
     dictionary = _train(sorted(bytes(r["ids"]) for r in sample.collect()))  # bounded
     spark.createDataFrame([(f"{_hash(dictionary):016x}", bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
