@@ -6,12 +6,16 @@ predictor, and gives one row per page with width, height and samples. The
 writer stores samples losslessly in any of these forms.
 
 ``encode`` lays bytes out as rows of 576 samples and pages of at most
-``PAGE_ROWS`` rows, so no single page grows with a text. The form of a page
-follows from its place and size alone, so equal inputs give equal files.
-
-A file that is null or no TIFF gives no page, and a page whose data are damaged
-gives a row with null samples and the reason in ``error``. Empty tables give
-empty results; other columns are not read.
+``PAGE_ROWS`` rows, so no single page grows with a text, however long it is.
+The form of a page, its compression, predictor and strips or tiles, is chosen
+among ``FORMS`` by a hash of its samples, so all of them occur at all sizes and
+equal inputs give equal files.
+
+A file that is null or no TIFF gives no page. A page whose directory or data
+are damaged gives a row with null samples and the reason in ``error``: what a
+directory claims is held against the bytes that are there before anything is
+allocated. Repeated rows give equal pages. Empty tables give empty results;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROW = 576
-PAGE_ROWS = 4096
-STRIP_ROWS = 256
-TILE = (192, 64)
+PAGE_ROWS = 4
+STRIP_ROWS = 2
+TILE = (192, 16)
 
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -37,6 +41,13 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 2
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODES = {1: "B", 3: "H", 4: "I"}
+#: No compression of the format makes its data larger than this, times what is stored.
+MOST_GROWTH = 4096
+#: (compression, horizontal predictor?, tiled?) of pages.
+FORMS = (
+    (DEFLATE, True, False), (DEFLATE, False, True), (DEFLATE, False, False), (DEFLATE, True, True),
+    (PACKBITS, False, False), (PACKBITS, True, True), (LZW, False, False), (LZW, True, False),
+)
 
 
 class DamagedError(ValueError):
@@ -147,7 +158,7 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
             entry = last + last[:1]
         else:
             raise DamagedError("an LZW code before its entry")
-        if last:
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
         out += entry
         last = entry
@@ -221,14 +232,16 @@ def write(pages: list[tuple[np.ndarray, int, bool, bool]]) -> bytes:
 
 
 def _directories(data: bytes) -> Iterator[dict[int, list[int]]]:
+    """The tags of each directory; none for one that the file does not hold whole."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         return
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen and at + 2 <= len(data):
+    while at and at not in seen:
         seen.add(at)
-        n = struct.unpack_from(order + "H", data, at)[0]
-        if at + 2 + 12 * n + 4 > len(data):
+        n = struct.unpack_from(order + "H", data, at)[0] if at + 2 <= len(data) else 0
+        if not n or at + 2 + 12 * n + 4 > len(data):
+            yield {}
             return
         tags = {}
         for i in range(n):
@@ -242,23 +255,35 @@ def _directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _first(tags: dict[int, list[int]], tag: int, default: int | None = None) -> int:
+    found = tags.get(tag) or ([] if default is None else [default])
+    if not found:
+        raise DamagedError(f"tag {tag}")
+    return found[0]
+
+
 def _page(data: bytes, tags: dict[int, list[int]]) -> tuple[int, int, np.ndarray]:
-    try:
-        width, height = tags[WIDTH][0], tags[HEIGHT][0]
-        samples = tags.get(SAMPLES, [1])[0]
-        if set(tags.get(BITS, [1])) != {8} or tags.get(PLANAR, [1])[0] != 1:
-            raise DamagedError("not 8-bit samples side by side")
-        tiled = TILE_OFFSETS in tags
-        offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-        tw, th = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(tags.get(ROWS_PER_STRIP, [height])[0], height))
-        across = -(-width // tw)
-        if len(offsets) < across * -(-height // th):
-            raise DamagedError("strips or tiles are missing")
-    except (KeyError, ZeroDivisionError) as e:
-        raise DamagedError(f"tag {e}") from e
-    how, predict = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0] == 2
+    width, height, samples = _first(tags, WIDTH), _first(tags, HEIGHT), _first(tags, SAMPLES, 1)
+    if set(tags.get(BITS, [1])) != {8} or _first(tags, PLANAR, 1) != 1:
+        raise DamagedError("not 8-bit samples side by side")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        offsets, counts, tw, th = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, []), _first(tags, TILE_WIDTH), _first(tags, TILE_LENGTH)
+    else:
+        offsets, counts, tw, th = tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS, []), width, min(_first(tags, ROWS_PER_STRIP, height), height)
+    if not (width and height and samples and tw and th):
+        raise DamagedError("a size of zero")
+    across, down = -(-width // tw), -(-height // th)
+    blocks = across * down
+    if min(len(offsets), len(counts)) < blocks:
+        raise DamagedError("strips or tiles are missing")
+    if any(o + n > len(data) for o, n in zip(offsets[:blocks], counts[:blocks], strict=True)):
+        raise DamagedError("strips or tiles behind the end")
+    if max(width * height, tw * th * (blocks if tiled else 1)) * samples > MOST_GROWTH * sum(counts[:blocks]):
+        raise DamagedError("more samples than the data can hold")
+    how, predict = _first(tags, COMPRESSION, 1), _first(tags, PREDICTOR, 1) == 2
     grey = np.empty((height, width, samples), np.uint8)
-    for i in range(across * -(-height // th)):
+    for i in range(blocks):
         y, x = i // across * th, i % across * tw
         rows = th if tiled else min(th, height - y)
         raw = _unpack(data[offsets[i] : offsets[i] + counts[i]], how, rows * tw * samples)
@@ -270,22 +295,21 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> tuple[int, int, np.ndarray
 
 
 def read(data: bytes | None) -> Iterator[tuple[int, int | None, int | None, bytes | None, str | None]]:
-    """(page, width, height, samples row by row, error) of each page."""
+    """(page, width, height, samples row by row, error) of each page; of a damaged one the sizes that a row can hold."""
     for number, tags in enumerate(_directories(data or b"")):
         try:
             width, height, grey = _page(data, tags)
             yield number, width, height, grey.tobytes(), None
         except DamagedError as e:
-            yield number, tags.get(WIDTH, [None])[0], tags.get(HEIGHT, [None])[0], None, str(e)
+            width, height = (x[0] if x and x[0] < 1 << 31 else None for x in (tags.get(WIDTH), tags.get(HEIGHT)))
+            yield number, width, height, None, str(e)
 
 
-def encode(payload: bytes) -> bytes:
-    """Bytes (a positive multiple of ROW) as grey pages: LZW for one row, then deflated strips and PackBits or deflated tiles by turns."""
+def encode(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
+    """Bytes (a positive multiple of ROW) as grey pages, the form of each chosen by a hash of its samples."""
     grey = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if len(grey) == 1:
-        return write([(grey, LZW, False, False)])
-    forms = ((DEFLATE, True, False), (DEFLATE, False, True), (PACKBITS, False, False))
-    return write([(grey[y : y + PAGE_ROWS], *forms[y // PAGE_ROWS % 3]) for y in range(0, len(grey), PAGE_ROWS)])
+    parts = [grey[y : y + page_rows] for y in range(0, len(grey), page_rows)]
+    return write([(p, *FORMS[zlib.crc32(p.tobytes()) % len(FORMS)]) for p in parts])
 
 
 def pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
