@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import mixing, near_copies, quality_model, sentencepiece_scan, suffix_dedup
-from corpuslode.llm.common import cut
+from corpuslode.llm import mixing, quality_model, sentencepiece_scan, simhash, suffix_dedup
+from corpuslode.llm.common import remove, scratch, stored, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the row with the smallest id."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, by the weights of their sources."""
-    return mixing.mixed(docs, mixing.mix(docs))
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("suffix-array dedup", repeats),
     ("mixing sources to target weights", mix),
     ("SentencePiece encoding and decoding", encode),
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{i}")
-    return docs
+    """All stages, one after the other. A stage's scratch goes once its rows are written, and these once the next ones are."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        rows = scratch(spark, f"stage-{i}")
+        with tidy(spark):
+            docs = stored(stage(spark, docs, sf_dir), rows)
+        if before is not None:
+            remove(spark, before)
+        before = rows
+    return STAGES[-1][1](spark, docs, sf_dir)
