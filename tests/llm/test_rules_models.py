@@ -41,8 +41,30 @@ def test_op1_order_changes_no_verdict(docs):
     one = counts.select("doc_id", quality_rules.cascade(list(quality_rules.RULES)).isNull().alias("k")).collect()
     two = counts.select("doc_id", quality_rules.cascade(list(quality_rules.RULES)[::-1]).isNull().alias("k")).collect()
     assert sorted(one) == sorted(two)
-    plan = quality_rules.plan_cascade(counts)
-    assert [m.value for m in plan] == sorted((m.value for m in plan), reverse=True) and len(plan) == len(quality_rules.RULES)
+
+
+def test_op1_plan_is_stable(spark, docs, nothing):
+    """Equal plans in three runs, best value first; measured on rows from all over the table."""
+    big = docs.union(docs.selectExpr("doc_id + 1000000", "concat(text, ' !')", "lang", "source", "n_chars")).repartition(3)
+    for late in (False, True):
+        plans = [quality_rules.plan_cascade(big, quality_rules.BASE_RULES + quality_rules.RULES, late=late, sample_rows=100) for _ in range(3)]
+        assert plans[0] == plans[1] == plans[2] and len(plans[0]) == 7
+        assert [m.value for m in plans[0]] == sorted((m.value for m in plans[0]), reverse=True)
+    by = {m.rule.name: m for m in plans[0]}
+    assert by["repeated_words"].work > by["duplicate_lines"].work > by["symbols"].work == 1 and 0 < by["few_words"].rejected < 1
+    assert [m.rule.name for m in quality_rules.plan_cascade(nothing)] == sorted(r.name for r in quality_rules.RULES)
+    assert quality_rules.plan_cascade(docs, ()) == []
+
+
+def test_op1_keep_good(spark, sf_dir, docs, odd, nothing):
+    """The rows alone: those that the whole query keeps, and nothing of a rejected row is evaluated further."""
+    kept = {r["doc_id"] for r in QUERIES["op1_quality_rules"](spark, sf_dir).where("kept").collect()}
+    got = quality_rules.keep_good(docs)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == kept
+    assert quality_rules.keep_good(odd.toDF("doc_id", "text", "n_words", "row", "words")).count() == 0 and quality_rules.keep_good(nothing).count() == 0
+    boom = quality_rules.Rule("boom", "CASE WHEN n_words < 10 THEN raise_error('evaluated') ELSE n_repeat_words > 100 END")
+    rows = spark.createDataFrame([("a b", 2), ("a b c d e f g h i j k", 11)], "text string, n_words long")
+    assert rows.where(quality_rules.cascade([quality_rules.BASE_RULES[0], boom], late=True).isNull()).count() == 1
 
 
 def test_op4_held_out(spark, sf_dir, docs):
