@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import share
+from corpuslode.llm.common import share, slices
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 20_000
@@ -210,7 +210,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             yield b.filter(pa.array(model.scores(_columns(b, text_col)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

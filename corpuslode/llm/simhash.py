@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut, free_name, tidy
+from corpuslode.llm.common import cut, free_name, slices, tidy
 from corpuslode.llm.components import components
 
 SHINGLE = 3
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -242,10 +242,13 @@ def _nodes(rows: DataFrame) -> DataFrame:
     """``rows``: row, doc_id, text. One row for all texts of equal words: node (one of their rows), its fingerprints, and the rank of the row to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [_words(t) for t in b.column("text").to_pylist()]
-            same = pa.array([xxhash.xxh3_128_digest(b" ".join(w), SEED) for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), same, pa.array([ring_prints(w) for w in words], pa.list_(pa.int64()))], ["row", "doc_id", "same", "prints"])
+        for b in slices(batches):
+            same, prints = [], []
+            for t in b.column("text").to_pylist():
+                words = _words(t)
+                same.append(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+                prints.append(ring_prints(words))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["row", "doc_id", "same", "prints"])
 
     prints = rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, same binary, prints array<long>")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
@@ -317,7 +320,7 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = cut(pairs.distinct(), "copies-pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [shingles(_words(t)).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "set"])
 
