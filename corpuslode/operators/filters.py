@@ -1,18 +1,24 @@
 """Metadata filters as column predicates: EQ, IN, GT, GTE, LT, LTE, joined by AND or OR, and inferred from queries.
 
-Predicates stay in the plan, so they reach the Parquet scan. An empty group
-means "no filter". A filter on an unknown column matches nothing.
+Numbers are compared in the column's own type, and exact text as it is stored,
+so both are pushed into the Parquet scan. Text that is compared without case and
+outer blanks cannot be; ``spelled`` looks its stored spellings up in the value
+inventory and gives exact filters for them. An empty group means "no filter". A
+filter on an unknown column matches nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from decimal import Decimal
 from functools import reduce
+from math import ceil, floor, isfinite
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslode.functions.values import area_from_text
 
@@ -25,18 +31,39 @@ CANDIDATE_SHARE = 0.8
 
 @dataclass(frozen=True)
 class Filter:
+    """``exact``: text is compared as it is stored."""
+
     key: str
     value: Any
     operator: str = "EQ"
-
-
-def _equal(df: DataFrame, key: str, value: Any) -> Column:
-    c = F.col(key)
-    if dict(df.dtypes)[key].startswith("array"):
+    exact: bool = False
+
+
+def _compared(df: DataFrame, key: str, operator: str, value: Any) -> Column:
+    """A number against a column, in the column's type: a bound between two of its whole numbers moves to the one that decides alike."""
+    c, kind = F.col(f"`{key}`"), df.schema[key].dataType
+    if isinstance(kind, T.IntegralType) and isfinite(number := value if isinstance(value, int) else float(value)):
+        if operator == "EQ" and number != floor(number):
+            return F.lit(False)
+        number = floor(number) if operator in ("EQ", "GT", "LTE") else ceil(number)
+        edge = 1 << (8 * {"tinyint": 1, "smallint": 2, "int": 4}.get(kind.simpleString(), 8) - 1)
+        v = F.lit(number).cast(kind) if -edge <= number < edge else F.lit(Decimal(number))
+    elif isinstance(kind, T.DecimalType):
+        v = F.lit(Decimal(str(value)))
+    elif isinstance(kind, T.FractionalType):
+        v = F.lit(float(value)).cast(kind)
+    else:
+        c, v = c.cast("double"), F.lit(float(value))
+    return {"EQ": c == v, "GT": c > v, "GTE": c >= v, "LT": c < v, "LTE": c <= v}[operator]
+
+
+def _equal(df: DataFrame, f: Filter, value: Any) -> Column:
+    c = F.col(f"`{f.key}`")
+    if isinstance(df.schema[f.key].dataType, T.ArrayType):
         return F.array_contains(c, value)
     if isinstance(value, str):
-        return F.lower(F.trim(c.cast("string"))) == value.strip().lower()
-    return c.cast("double") == float(value)
+        return c == value if f.exact else F.lower(F.trim(c.cast("string"))) == value.strip().lower()
+    return _compared(df, f.key, "EQ", value)
 
 
 def predicate(df: DataFrame, f: Filter, compat_range: bool = False) -> Column:
@@ -44,12 +71,30 @@ def predicate(df: DataFrame, f: Filter, compat_range: bool = False) -> Column:
     if f.key not in df.columns or f.operator not in OPERATORS:
         return F.lit(False)
     if f.operator == "EQ":
-        return _equal(df, f.key, f.value)
+        return _equal(df, f, f.value)
     if f.operator == "IN":
-        return reduce(lambda a, b: a | b, [_equal(df, f.key, v) for v in f.value], F.lit(False))
-    c, v = F.col(f.key).cast("double"), float(f.value)
+        values = list(f.value)
+        if f.exact and values and all(isinstance(v, str) for v in values) and not isinstance(df.schema[f.key].dataType, T.ArrayType):
+            return F.col(f"`{f.key}`").isin(values)
+        return reduce(lambda a, b: a | b, [_equal(df, f, v) for v in values], F.lit(False))
     at = {"GT": "GTE", "LTE": "LT"}.get(f.operator, f.operator) if compat_range else f.operator
-    return {"GT": c > v, "GTE": c >= v, "LT": c < v, "LTE": c <= v}[at]
+    return _compared(df, f.key, at, f.value)
+
+
+def spelled(df: DataFrame, filters: Iterable[Filter]) -> list[Filter]:
+    """Text filters of EQ and IN as exact ones over the spellings that ``df`` holds of their values (one pass over those columns)."""
+
+    def text(f: Filter) -> bool:
+        return f.operator in ("EQ", "IN") and f.key in df.columns and isinstance(df.schema[f.key].dataType, T.StringType) and all(isinstance(v, str) for v in wanted(f))
+
+    def wanted(f: Filter) -> list[Any]:
+        return list(f.value) if f.operator == "IN" else [f.value]
+
+    filters = list(filters)
+    # spellings of the asked values alone, so few
+    kept = [F.collect_set(F.when(predicate(df, f), F.col(f"`{f.key}`"))) for f in filters if text(f)]
+    found = iter(df.agg(*kept).first() if kept else ())
+    return [replace(f, value=sorted(next(found)), operator="IN", exact=True) if text(f) else f for f in filters]
 
 
 def where(df: DataFrame, filters: Iterable[Filter], how: str = "and", compat_range: bool = False) -> DataFrame:

@@ -30,9 +30,17 @@ filtered("f3_greater_compat", [L.Filter("p_size", 25, "GT")], "p_size >= 25", co
 filtered("f3_at_most", [L.Filter("n_chars", 2000, "LTE")], "n_chars <= 2000")
 filtered("f4_and", [L.Filter("lang", "de"), L.Filter("n_chars", 500, "GTE"), L.Filter("n_chars", 5000, "LT")], "lang = 'de' AND n_chars >= 500 AND n_chars < 5000")
 filtered("f4_or", [L.Filter("lang", "de"), L.Filter("source", "src3")], "lang = 'de' OR source = 'src3'", how="or")
+filtered("f2_in_exact", [L.Filter("lang", ["en", "fr"], "IN", exact=True), L.Filter("n_chars", 1999.5, "GT")], "lang IN ('en', 'fr') AND n_chars > 1999.5")
 filtered("f5_unknown_field", [L.Filter("no_such_field", 1)], "false")
 
 
+@query("f1_equal_spelled", "SELECT doc_id FROM documents WHERE lower(trim(lang)) = 'en' AND n_chars <= 3000")
+def equal_spelled(spark, sf_dir):
+    """The stored spellings are looked up first, so that what is scanned then is filtered in the scan."""
+    d = table(spark, sf_dir, "documents")
+    return L.where(d, L.spelled(d, [L.Filter("lang", " EN "), L.Filter("n_chars", 3000, "LTE")])).select("doc_id")
+
+
 @query("f12_configured", "SELECT doc_id FROM documents WHERE lang IN ('en', 'es') AND source IN ('src1', 'src2') ORDER BY doc_id LIMIT 25")
 def configured(spark, sf_dir):
     """A limit is the feature here: the first rows of a filter configuration."""

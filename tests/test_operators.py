@@ -5,7 +5,7 @@ from corpuslode.operators import chunking as C
 from corpuslode.operators import metadata as M
 from corpuslode.operators import ranking as R
 from corpuslode.operators import stats as A
-from corpuslode.operators.filters import Filter, by_area, by_values, configured, equal_all, inferred, section_chunks, validated, where, worth_prefiltering
+from corpuslode.operators.filters import Filter, by_area, by_values, configured, equal_all, inferred, section_chunks, spelled, validated, where, worth_prefiltering
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,38 @@ def test_filters(deeds, filters, how, compat, wanted):
     assert " ".join(found) == wanted
 
 
+@pytest.mark.parametrize(
+    ("filters", "pushed"),
+    [
+        ([Filter("p_size", 7)], "EqualTo(p_size,7)"),
+        ([Filter("p_size", 7.0, "GT")], "GreaterThan(p_size,7)"),
+        ([Filter("p_size", 6.5, "GTE"), Filter("p_retailprice", 1000, "LT")], "GreaterThanOrEqual(p_size,7)"),
+        ([Filter("p_brand", "Brand#13", exact=True)], "EqualTo(p_brand,Brand#13)"),
+        ([Filter("p_brand", ["Brand#13", "Brand#14"], "IN", exact=True)], "In(p_brand"),
+    ],
+)
+def test_filters_reach_the_scan(spark, sf_dir, filters, pushed):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    plan = where(part, filters)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: ")[1].replace(" ", ""), plan
+    assert "cast(" not in plan
+
+
+def test_spelled(spark, sf_dir):
+    rows = spark.createDataFrame([("EN", 1), (" en", 2), ("de", 3), (None, 4)], "lang string, n long")
+    found = spelled(rows, [Filter("lang", "En "), Filter("n", 1, "GT"), Filter("lang", ["fr", "EN"], "IN"), Filter("lang", "xx")])
+    assert found[0] == found[2] == Filter("lang", [" en", "EN"], "IN", True) and found[1] == Filter("n", 1, "GT")
+    assert [r["n"] for r in where(rows, found[:2]).collect()] == [2] and where(rows, found).count() == 0
+
+
+def test_bounds_between_whole_numbers(spark):
+    rows = spark.createDataFrame([(i, 2**53 + i) for i in range(5)], "a int, b long")
+    got = lambda *f: [r["a"] for r in where(rows, [Filter(*f)]).collect()]
+    assert got("a", 1.5, "GT") == got("a", 1.5, "GTE") == [2, 3, 4] and got("a", 1.5, "LT") == got("a", 1.5, "LTE") == [0, 1] and got("a", 1.5) == []
+    assert got("b", 2**53 + 1) == [1] and got("b", 2**53 + 1, "GT") == [2, 3, 4]
+    assert got("a", 10**12, "LT") == [0, 1, 2, 3, 4] and got("a", 10**12) == []
+
+
 def test_embedding_filters(spark):
     e = spark.createDataFrame([("Bangkok", "chanote", "5 ไร่"), ("Chiang Mai", "nor_sor_3", "1 ไร่"), ("X", "other", "none")], "province string, deed_type_category string, search_text string")
     assert by_values(e, "province", ["Bangkok"]).count() == 1
