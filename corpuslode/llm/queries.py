@@ -119,4 +119,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_scan.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepiece_scan.decode_ids(sentencepiece_scan.encode(documents(spark, sf_dir), path, digest=True), path)
+    text = F.translate(F.coalesce("text", F.lit("")), sentencepiece_scan.SPACE, " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", (F.col("decoded") == text).alias("round_trip"))

@@ -8,11 +8,13 @@ multiply in any grouping.
 A document of more than ``CHUNK`` characters is cut into chunks of that size,
 wherever that falls. A chunk's boundary state is how far a piece that began
 before reaches into it, at most the longest piece less one. Each chunk yields
-its transfer matrix from entry to exit states; the matrices of a document,
-small against its text, are combined to the entry scores of each chunk. With
-these a chunk finds which entry state each exit state comes from; combined
-from the end, these maps give each chunk its exit state, and it is traced back
-on its own. Ties are decided as in one pass from the left (the piece that
+its transfer matrix from entry to exit states. The matrices of ``SPAN`` chunks
+are multiplied in a tree by one task, those of a document's spans, small against
+its text, by another; from the entry scores of the spans each span has those of
+its chunks, by prefix products in a tree again. With these a chunk finds which
+entry state each exit state comes from; these maps compose as the matrices do,
+from the end and by spans too, give each chunk its exit state, and it is traced
+back on its own. Ties are decided as in one pass from the left (the piece that
 starts first), so the cuts never show in the result. Scores are integers, so
 sums are exact in any order.
 
@@ -27,12 +29,15 @@ The vocabulary is read from a SentencePiece model file. A unigram model's own
 scores are used, in units of 2^-10. A BPE file has ranks in place of
 probabilities: a piece of rank r then scores minus the logarithm of r + 2. So
 ``encode`` gives the ids of the unigram model over that vocabulary, which are
-not the merges of the BPE model. A character outside the vocabulary becomes
-its UTF-8 bytes.
-
-Null and empty text have no ids. U+2581 in a text is a space, as the library
-has it. Repeated rows get equal ids. Empty tables give empty results. Of the
-input only the id and the text are read.
+not the merges of the BPE model. The library itself adds scores up in 32-bit floats
+and so can miss the best path of a long text by a few units. A character outside
+the vocabulary becomes its UTF-8 bytes.
+
+``decode`` gives the text of any column of ids back. Null and empty text have no
+ids, and these decode to empty text; null ids decode to null. U+2581 in a text
+is a space, as the library has it. Repeated rows get equal ids. Empty tables
+give empty results. ``encode`` reads only the id and the text of its input,
+``decode`` passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,14 +52,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslode.llm.common import cut
+from corpuslode.llm.common import cut, slices, tidy
 from corpuslode.llm.token_counts import _UNIT, SPACE
 
 CHUNK = 32_768
-CACHE_UNITS = 1_000_000
+#: Chunks whose matrices one task multiplies; a document has at most as many spans, for a text is below 2 GB.
+SPAN = 256
+#: Units whose ids a worker keeps, and the characters of the longest of them.
+CACHE_UNITS, CACHE_LENGTH = 500_000, 64
 SCALE = 1024
 #: A character outside the vocabulary scores this much less than the worst piece (fixed value of the library).
 UNKNOWN_PENALTY = 10
@@ -207,8 +217,11 @@ class Encoder:
             if len(cache) + len(new) > self.most:
                 cache.clear()
                 new = set(units)
+            long = {}
             for u in new:
-                cache[u] = array(self.code, encode_whole(self.v, SPACE + u.replace(" ", SPACE))).tobytes()
+                (cache if len(u) <= CACHE_LENGTH else long)[u] = array(self.code, encode_whole(self.v, SPACE + u.replace(" ", SPACE))).tobytes()
+            if long:
+                return np.frombuffer(b"".join([cache[u] if len(u) <= CACHE_LENGTH else long[u] for u in units]), self.kind).astype("<u4")
         return np.frombuffer(b"".join(map(cache.__getitem__, units)), self.kind).astype("<u4")
 
     def whole(self, text: str) -> np.ndarray:
@@ -268,6 +281,36 @@ def times(vector: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.where(bad, NONE, both).max(axis=-2)
 
 
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of adjoining stretches, in a tree."""
+    while len(matrices) > 1:
+        matrices = [times(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def entries(matrices: list[np.ndarray], entry: np.ndarray) -> list[np.ndarray]:
+    """The scores with which each stretch is entered: pairs are multiplied, the pairs entered, and their second ones from their first."""
+    if len(matrices) == 1:
+        return [entry]
+    pairs = [times(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    at = entries(pairs, entry)
+    return [at[i // 2] if i % 2 == 0 else times(at[i // 2], matrices[i - 1]) for i in range(len(matrices))]
+
+
+def after(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The entry state of each exit state of two adjoining stretches, from those of each (-1: none)."""
+    return np.where(then < 0, -1, first[then])
+
+
+def leaves(maps: list[np.ndarray], leave: int) -> list[int]:
+    """The exit state of each stretch, from that of the last one, in the tree of ``entries``."""
+    if len(maps) == 1:
+        return [leave]
+    pairs = [after(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    at = leaves(pairs, leave)
+    return [int(maps[i + 1][at[i // 2]]) if i % 2 == 0 and i + 1 < len(maps) else at[i // 2] for i in range(len(maps))]
+
+
 def entered(v: Vocabulary, text: str, end: int, entry: np.ndarray) -> Path:
     """The best paths up to ``end`` for given entry scores."""
     path = Path(len(text) + v.longest)
@@ -318,16 +361,25 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
             m = [transfer(w, t, n).ravel() for t, n in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(m, pa.list_(pa.int64()))], ["row", "no", "m"])
 
-    def forward(p: pd.DataFrame) -> pd.DataFrame:
-        p, state, out = p.sort_values("no"), np.full(k, NONE, np.int64), []
-        state[0] = 0
-        for m in p["m"]:
-            out.append(state)
-            state = times(state, np.asarray(m).reshape(k, k))
-        return pd.DataFrame({"row": p["row"], "no": p["no"], "entry": out})
+    def square(p: pd.DataFrame) -> list[np.ndarray]:
+        return [np.asarray(m).reshape(k, k) for m in p.sort_values("no")["m"]]
+
+    def span_product(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": [p["row"].iloc[0]], "no": [p["span"].iloc[0]], "m": [product(square(p)).ravel()]})
 
-    entries = chunks.select("row", "no", "size", "text").mapInArrow(matrices, "row long, no int, m array<long>").groupBy("row").applyInPandas(forward, "row long, no int, entry array<long>")
-    chunks = cut(chunks.join(entries, ["row", "no"]), "pieces-entries")
+    def span_entries(p: pd.DataFrame) -> pd.DataFrame:
+        start = np.full(k, NONE, np.int64)
+        start[0] = 0
+        return pd.DataFrame({"row": p["row"].iloc[0], "span": sorted(p["no"]), "entry": entries(square(p), start)})
+
+    def chunk_entries(p: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": p["row"].iloc[0], "no": sorted(p["no"]), "entry": entries(square(p), np.asarray(at["entry"].iloc[0]))})
+
+    spanned = F.floor(F.col("no") / SPAN).cast("int").alias("span")
+    each = cut(chunks.select("row", "no", "size", "text").mapInArrow(matrices, "row long, no int, m array<long>").select("row", "no", "m", spanned), "pieces-matrices")
+    spans = each.groupBy("row", "span").applyInPandas(span_product, "row long, no int, m array<long>").groupBy("row").applyInPandas(span_entries, "row long, span int, entry array<long>")
+    found = each.groupBy("row", "span").cogroup(spans.groupBy("row", "span")).applyInPandas(chunk_entries, "row long, no int, entry array<long>")
+    chunks = cut(chunks.join(found, ["row", "no"]), "pieces-entries")
 
     def came(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = encoder(path)
@@ -335,14 +387,24 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
             maps = [came_from(w, t, n, e) for t, n, e in zip(*(b.column(c).to_pylist() for c in ("text", "size", "entry")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(maps, pa.list_(pa.int32()))], ["row", "no", "f"])
 
-    def backward(p: pd.DataFrame) -> pd.DataFrame:
-        p, state, out = p.sort_values("no", ascending=False), 0, []
-        for f in p["f"]:
-            out.append(state)
-            state = int(f[state])
-        return pd.DataFrame({"row": p["row"], "no": p["no"], "leave": out})
+    def ordered(p: pd.DataFrame) -> list[np.ndarray]:
+        return [np.asarray(f) for f in p.sort_values("no")["f"]]
+
+    def span_map(p: pd.DataFrame) -> pd.DataFrame:
+        maps = ordered(p)
+        while len(maps) > 1:
+            maps = [after(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return pd.DataFrame({"row": [p["row"].iloc[0]], "no": [p["span"].iloc[0]], "f": [maps[0]]})
+
+    def span_leaves(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": p["row"].iloc[0], "span": sorted(p["no"]), "leave": leaves(ordered(p), 0)})
+
+    def chunk_leaves(p: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": p["row"].iloc[0], "no": sorted(p["no"]), "leave": leaves(ordered(p), int(at["leave"].iloc[0]))})
 
-    leaves = chunks.select("row", "no", "size", "text", "entry").mapInArrow(came, "row long, no int, f array<int>").groupBy("row").applyInPandas(backward, "row long, no int, leave int")
+    each = cut(chunks.select("row", "no", "size", "text", "entry").mapInArrow(came, "row long, no int, f array<int>").select("row", "no", "f", spanned), "pieces-maps")
+    spans = each.groupBy("row", "span").applyInPandas(span_map, "row long, no int, f array<int>").groupBy("row").applyInPandas(span_leaves, "row long, span int, leave int")
+    found = each.groupBy("row", "span").cogroup(spans.groupBy("row", "span")).applyInPandas(chunk_leaves, "row long, no int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = encoder(path)
@@ -350,40 +412,52 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
             ids = [trace_chunk(w, t, n, e, x).astype(np.int32) for t, n, e, x in zip(*(b.column(c).to_pylist() for c in ("text", "size", "entry", "leave")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("no"), pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "no", "ids"])
 
-    return chunks.join(leaves, ["row", "no"]).select("row", "doc_id", "no", "size", "text", "entry", "leave").mapInArrow(trace, f"row long, doc_id {kind}, no int, ids array<int>")
+    return chunks.join(found, ["row", "no"]).select("row", "doc_id", "no", "size", "text", "entry", "leave").mapInArrow(trace, f"row long, doc_id {kind}, no int, ids array<int>")
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id and ids of each document; with ``digest`` in place of the ids n_tokens, ids_crc32 and whether decoding gives the text back."""
+    """doc_id and ids of each document; with ``digest`` its text and a crc32 of the ids as little-endian 32-bit integers too."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(d.dtypes)["doc_id"]
     giant = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
 
-    def finish(keys: pa.Array, ids: list[np.ndarray], texts: list[str | None]) -> pa.RecordBatch:
-        if not digest:
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
-        e = encoder(model_path)
-        same = [e.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
-        crc = pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
-        return pa.RecordBatch.from_arrays([keys, pa.array(map(len, ids), pa.int64()), crc, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+    def finish(keys: pa.Array, ids: list[np.ndarray], texts: pa.Array) -> pa.RecordBatch:
+        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        out = {"doc_id": keys, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+        if digest:
+            out |= {"text": texts, "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())}
+        return pa.RecordBatch.from_pydict(out)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path)
-        for whole in batches:
-            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                texts = b.column("text").to_pylist()
-                yield finish(b.column("doc_id"), [e(t) for t in texts], texts)
+        for b in slices(batches, 512):
+            yield finish(b.column("doc_id"), [e(t) for t in b.column("text").to_pylist()], b.column("text"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 8) for i in range(0, whole.num_rows, 8)):
-                ids = [np.concatenate([np.array(p["ids"], np.int64) for p in sorted(parts, key=lambda p: p["no"])]) for parts in b.column("parts").to_pylist()]
-                yield finish(b.column("doc_id"), ids, b.column("text").to_pylist())
-
-    out = f"doc_id {kind}, " + ("n_tokens long, ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
-    large = cut(d.where(giant).withColumn("row", F.monotonically_increasing_id()), "pieces-giants")
-    parts = _giants(large, model_path).groupBy("row").agg(F.collect_list(F.struct("no", "ids")).alias("parts"))  # a document's own chunks
-    large = large.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(gathered, out)
+        for b in slices(batches, 8):
+            ids = [np.concatenate([np.array(p["ids"], np.int64) for p in sorted(parts, key=lambda p: p["no"])]) for parts in b.column("parts").to_pylist()]
+            yield finish(b.column("doc_id"), ids, b.column("text"))
+
+    out = f"doc_id {kind}, ids array<int>" + (", text string, ids_crc32 long" if digest else "")
+    with tidy(docs.sparkSession):
+        large = cut(d.where(giant).withColumn("row", F.monotonically_increasing_id()), "pieces-giants")
+        parts = _giants(large, model_path).groupBy("row").agg(F.collect_list(F.struct("no", "ids")).alias("parts"))  # a document's own chunks
+        large = cut(large.join(parts, "row").select("doc_id", "text", "parts").mapInArrow(gathered, out), "pieces-large", keep=True)
     return d.where(~giant).mapInArrow(short, out).union(large)
+
+
+def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """``df`` with the text of its ids, which are those of ``encode``, in a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(model_path)
+        for b in slices(batches, 512):
+            ids = b.column(ids_col)
+            flat, ends = np.asarray(ids.flatten()), np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+            texts = [e.decode(flat[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield b.append_column(text_col, pc.if_else(ids.is_null(), None, pa.array(texts, pa.string())))
+
+    if text_col in df.columns:
+        raise ValueError(f"there is a column {text_col} already")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())]))
