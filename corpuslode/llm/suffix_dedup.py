@@ -26,14 +26,19 @@ is at most 2 * LENGTH bytes and a batch a fixed number of segments, the arrays
 of a round stay in memory; between the stages, all passes go through
 sequential files that Spark writes and reads.
 
-A gram with more than ``HOT`` classes would not fit one task: the strings of
-its segments are counted by a 128-bit hash in a shuffled aggregation instead,
-which covers all of them.
-
-Null text is empty; texts below LENGTH bytes lose nothing. Rows that share an
-id are told apart by their text; rows equal in both are documents of their own
-that repeat each other. Empty tables give empty results. Other columns are not
-read by ``spans`` and pass ``without_repeats`` unchanged.
+A gram with more than ``HOT`` classes would not fit one task. Its segments are
+split by further context: an anchor's starts are halved into those near to it
+and those far from it, so that the strings of each half have more bytes around
+the anchor in common, and segments are grouped by these bytes. Equal strings stay
+in one group; groups that are still too large are halved again. When the strings
+of a group have all their bytes in common there is one class left, with a count.
+
+Classes are told apart by 128 bits (of gram and segment), groups by 64 bits more.
+Null text is empty; texts below LENGTH bytes lose nothing; long texts are hashed
+piece by piece, whole. Rows that share an id are told apart by a 64-bit hash of
+their text; rows equal in both are documents of their own that repeat each
+other. Empty tables give empty results. Other columns may have any names; they
+are not read by ``spans`` and pass ``without_repeats`` unchanged.
 """
 
 from __future__ import annotations
@@ -43,15 +48,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut, scratch
+from corpuslode.llm.common import cut, free_name, scratch, slices, tidy
 
 LENGTH = 200
 GRAM = 20
-#: Classes of one gram above which its strings are counted by hash.
+#: Classes of one gram above which its segments are split by more context.
 HOT = 20_000
 #: Segments that are built together.
 BATCH = 20_000
@@ -169,7 +175,7 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments in the order of their grams -> (h, c, runs), a bounded number at a time and grams never cut."""
+    """Segments in the order of their groups -> (h, c, runs), a bounded number at a time and groups never cut."""
     names = ["h", "c", "body", "back", "more", "n"]
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -196,14 +202,47 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(held.combine_chunks())
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each owned string of each segment as a hash."""
-    for b in batches:
-        for h, c, body, more, back, n in zip(*(b.column(x).to_pylist() for x in ("h", "c", "body", "more", "back", "n")), strict=True):
-            w = [hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest() for i in range(more + 1)]
-            k = len(w)
-            columns = [pa.array([h] * k), pa.array([c] * k), pa.array(range(k), pa.int32()), pa.array([i - back for i in range(k)], pa.int32()), pa.array(w, pa.binary()), pa.array([n] * k)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "i", "offset", "w", "n"])
+def _halves(width: int):
+    """Splits segments into those of narrower runs of starts, at most ``width`` places each, and names the group of their common bytes.
+
+    A start that lies p bytes before its anchor has at least p bytes on the left
+    of the anchor and the rest of LENGTH on its right. Of the starts with p from a
+    to b - 1 all strings have a bytes on the left and LENGTH - GRAM - b + 1 behind the gram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for h, c, body, back, more, n in zip(*(batch.column(x).to_pylist() for x in ("h", "c", "body", "back", "more", "n")), strict=True):
+                for a in range((back - more) // width * width, back + 1, width):
+                    first, last = max(back - a - width + 1, 0), min(back - a, more)
+                    part, at = body[first : last + LENGTH], back - first
+                    common = body[back - a : back + LENGTH - a - width + 1]
+                    group = xxhash.xxh64_intdigest(common, (h ^ a * 0x9E3779B97F4A7C15) % (1 << 64))
+                    name = xxhash.xxh64_intdigest(part, at << 16 | last - first)
+                    out.append((h, c, first, group - (1 << 63), name - (1 << 63), part, at, last - first, n))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+            names = ["h", "c", "first", "group", "name", "body", "back", "more", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _constructed(segments: DataFrame, width: int = _WINDOW) -> DataFrame:
+    """``segments``: h (their group), c, body, back, more, n; starts of at most ``width`` places. Returns h, c and the runs of repeated starts."""
+    sizes = cut(segments.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("h"), "repeats-hot")
+    build = lambda x: x.repartition("h").sortWithinPartitions("h").mapInArrow(_build, "h long, c long, runs array<int>")
+    if width == 1 or sizes.isEmpty():
+        return build(segments)
+    width = -(-width // 2)
+    kinds = "h long, c long, first int, group long, name long, body binary, back int, more int, n long"
+    parts = cut(segments.join(sizes, "h", "left_semi").select("h", "c", "body", "back", "more", "n").mapInArrow(_halves(width), kinds), "repeats-halves")
+    # segments that are equal in this part are one class now
+    classes = parts.groupBy("group", "name").agg(F.first("body").alias("body"), F.first("back").alias("back"), F.first("more").alias("more"), F.sum("n").alias("n"))
+    found = cut(_constructed(cut(classes.select(F.col("group").alias("h"), F.col("name").alias("c"), "body", "back", "more", "n"), "repeats-parts"), width), "repeats-part-runs")
+    found = parts.select("h", "c", "first", "group", "name").join(found.toDF("group", "name", "runs"), ["group", "name"])
+    runs = found.select("h", "c", F.expr("transform(runs, i -> i + first)").alias("runs")).groupBy("h", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return build(segments.join(sizes, "h", "left_anti")).union(runs)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +250,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     body and marks are null for a document without a repeated gram; then sha256 is that of the whole text.
     """
-    path = scratch(docs.sparkSession, "repeats")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("check", F.hash("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("check", F.xxhash64("text"))
     kind = dict(d.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +260,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             h, c, at = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column("doc_id").take(pa.array(rows)), b.column("check").take(pa.array(rows)), pa.array(at)], ["h", "c", "doc_id", "check", "at"])
 
-    every = cut(d.select("doc_id", "text", "check").mapInArrow(scan, f"h long, c long, doc_id {kind}, check int, at long"), "repeats-anchors")
-    # written, so that the join is a stage of its own and Spark can split a gram that many documents share
-    twice = cut(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeats-grams")
-    met = cut(every.join(twice, "h"), "repeats-met")
-    classes = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "at")).alias("r"))
-    classes = cut(classes.select("h", "c", "n", "r.*"), "repeats-classes")
-
-    # texts meet what is asked of them once: nothing, or the segments that stand for their classes
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
-    asked = met.groupBy("doc_id", "check").agg(F.lit(1).alias("any"))
-    stand = classes.groupBy("doc_id", "check").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("stand"))
-    asked = asked.join(stand, same(asked, stand), "left").select(asked["doc_id"], asked["check"], "any", "stand")
-    packed = d.mapInArrow(_pack, f"doc_id {kind}, check int, n_bytes long, body binary")
-    told = packed.join(asked, same(packed, asked), "left").select(packed["doc_id"], packed["check"], "n_bytes", "body", "any", "stand")
-    out = "kind int, doc_id %s, check int, n_bytes long, sha256 string, body binary, h long, c long, back int, more int, n long" % kind
-    told.mapInArrow(_cut_out, out).write.partitionBy("kind").parquet(path)
-    stored = docs.sparkSession.read.schema(out).parquet(path)
-
-    segments = stored.where("kind = 1").select("h", "c", "body", "back", "more", "n")
-    sizes = classes.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("h")
-    few = segments.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_build, "h long, c long, runs array<int>")
-    strings = segments.join(sizes, "h", "left_semi").mapInArrow(_strings, "h long, c long, i int, offset int, w binary, n long")
-    again = strings.groupBy("h", "offset", "w").agg(F.sum("n").alias("k")).where("k > 1").select("h", "offset", "w")
-    many = strings.join(again, ["h", "offset", "w"]).groupBy("h", "c").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    runs = few.union(many.select("h", "c", F.flatten(F.transform("i", lambda i: F.array(i, i))).alias("runs")))
-    marks = met.join(cut(runs, "repeats-runs"), ["h", "c"]).groupBy("doc_id", "check").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
+    path = scratch(docs.sparkSession, "repeats")
+    with tidy(docs.sparkSession):
+        every = cut(d.select("doc_id", "text", "check").mapInArrow(scan, f"h long, c long, doc_id {kind}, check long, at long"), "repeats-anchors")
+        # written, so that the join is a stage of its own and Spark can split a gram that many documents share
+        twice = cut(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeats-grams")
+        met = cut(every.join(twice, "h"), "repeats-met")
+        classes = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "at")).alias("r"))
+        classes = cut(classes.select("h", "c", "n", "r.*"), "repeats-classes")
+
+        # texts meet what is asked of them once: nothing, or the segments that stand for their classes
+        same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
+        asked = met.groupBy("doc_id", "check").agg(F.lit(1).alias("any"))
+        stand = classes.groupBy("doc_id", "check").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("stand"))
+        asked = asked.join(stand, same(asked, stand), "left").select(asked["doc_id"], asked["check"], "any", "stand")
+        packed = d.mapInArrow(_pack, f"doc_id {kind}, check long, n_bytes long, body binary")
+        told = packed.join(asked, same(packed, asked), "left").select(packed["doc_id"], packed["check"], "n_bytes", "body", "any", "stand")
+        out = "kind int, doc_id %s, check long, n_bytes long, sha256 string, body binary, h long, c long, back int, more int, n long" % kind
+        told.mapInArrow(_cut_out, out).write.partitionBy("kind").parquet(path)
+        stored = docs.sparkSession.read.schema(out).parquet(path)
+
+        segments = stored.where("kind = 1").select("h", "c", "body", "back", "more", "n")
+        runs = _constructed(segments)
+        marks = met.join(cut(runs, "repeats-runs"), ["h", "c"]).groupBy("doc_id", "check").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
+        marks = cut(marks, "repeats-marks", keep=True)
     whole = stored.where("kind = 0").select("doc_id", "check", "n_bytes", "sha256", "body")
     return whole.join(marks, same(whole, marks), "left").select(whole["doc_id"], whole["check"], "n_bytes", "sha256", "body", "marks")
 
@@ -263,7 +299,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (kind 0; their body only if something of it met another), and the segments that stand for classes (kind 1)."""
     zstd = zstandard.ZstdDecompressor()
-    kinds = [pa.int32(), None, pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    kinds = [pa.int32(), None, pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     names = ["kind", "doc_id", "check", "n_bytes", "sha256", "body", "h", "c", "back", "more", "n"]
     for whole in batches:
         for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
@@ -344,9 +380,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for n, body, marks in zip(*(b.column(x).to_pylist() for x in ("n_bytes", "body", "marks")), strict=True):
                 raw, cuts = _kept(body, n, marks)
                 texts.append(_left(raw, _whole_characters(raw, cuts)).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("check"), pa.array(texts, pa.string())], ["__id", "__check", "__text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("check"), pa.array(texts, pa.string())], ["id", "check", "text"])
 
-    new = found.mapInArrow(run, f"__id {kind}, __check int, __text string")
-    old = docs.withColumn("__hash", F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    out = old.join(new, old[id_col].eqNullSafe(new["__id"]) & (old["__hash"] == new["__check"]), "left")
-    return out.select(*[F.coalesce("__text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    of, check, key, text = (free_name(x, docs) for x in ("id", "check", "hash", "text"))
+    new = found.mapInArrow(run, f"id {kind}, check long, text string").toDF(of, check, text)
+    old = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    out = old.join(new, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(key) == F.col(check)), "left")
+    return out.select(*[F.coalesce(F.col(text), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

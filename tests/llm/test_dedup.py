@@ -123,7 +123,7 @@ def passages(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(20_000, 20_000), (3, 20_000), (20_000, 5)])
+@pytest.mark.parametrize(("hot", "batch"), [(20_000, 20_000), (3, 20_000), (20_000, 5), (1, 3)])
 def test_op5_ways(passages, hot, batch, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
@@ -137,6 +137,24 @@ def test_op5_long_texts_are_whole(spark, monkeypatch):
     against_brute(spark.createDataFrame([(1, a), (2, "q" + a[:1000]), (3, a[1000:])], "doc_id long, text string"))
 
 
+def test_op5_hot_passage(spark, monkeypatch):
+    """A passage between texts that all differ: the segments around one gram are split by more and more of their context."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = noise(150), noise(230)
+    rows = [(i, noise(rng.randint(0, 300)) + (short if i % 2 else long) + noise(rng.randint(0, 300))) for i in range(40)]
+    rows += [(100 + i, "left" * 10 + short + "r" * 60) for i in range(3)]
+    against_brute(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_op5_names_may_clash(odd):
+    names = ["__hash", "__text", "lang", "__id", "__check"]
+    got = suffix_dedup.without_repeats(odd.toDF(*names), id_col="__hash", text_col="__text")
+    want = suffix_dedup.without_repeats(odd).collect()
+    assert got.columns == names and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
+
+
 def test_op5_odd(odd, nothing):
     assert suffix_dedup.spans(odd).count() == 11 and suffix_dedup.spans(nothing).count() == 0
     out = suffix_dedup.without_repeats(odd)
