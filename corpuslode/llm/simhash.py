@@ -77,6 +77,8 @@ STARS = 2
 #: Shingles in a group of texts that are compared in one task.
 CELL = 1 << 20
 
+_LOW = 2 * RING_WIDTH + 4  # bits of an index entry behind its key
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -107,18 +109,18 @@ def _segment(fp: Column, i: int, width: int = WIDTH) -> Column:
     return F.shiftrightunsigned(fp, width * (i % SEGMENTS)).bitwiseAND((1 << width) - 1)
 
 
-def _differ(a: Column, b: Column, i: int, length: int, width: int) -> Column:
+def _differ(a: Column, b: Column, i: int, length: int) -> Column:
     """Bits in which ``length`` segments from ``i`` on differ."""
     x = a.bitwiseXOR(b)
-    mask = sum((1 << width) - 1 << (width * ((i + k) % SEGMENTS)) for k in range(length))
+    mask = sum(0xFFFF << (WIDTH * ((i + k) % SEGMENTS)) for k in range(length))
     return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
 
 
-def _chain(a: Column, b: Column, i: int, width: int = WIDTH) -> Column:
+def _chain(a: Column, b: Column, i: int) -> Column:
     """Whether each prefix of the chain that starts at segment i keeps its share of the distance."""
     found = F.lit(True)
     for length in range(1, SEGMENTS + 1):
-        found = found & (_differ(a, b, i, length, width) <= DISTANCE * length // SEGMENTS)
+        found = found & (_differ(a, b, i, length) <= DISTANCE * length // SEGMENTS)
     return found
 
 
@@ -256,53 +258,64 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return found.select("node", "rank", "prints")
 
 
-def _ring_keys(fp: Column, ring: Column, forms: list[int]) -> Column:
-    """The index keys of a ring's fingerprint, with the next segment in each of ``forms``."""
-    w = RING_WIDTH
-    each = [_key(i, _segment(fp, i, w), _segment(fp, i + 1, w).bitwiseXOR(F.lit(x))).bitwiseOR(F.shiftleft(ring.cast("long"), 34)) for i in range(SEGMENTS) for x in forms]
-    return F.explode(F.array(*each))
+def _index(nodes: DataFrame, forms: int) -> DataFrame:
+    """node, and as ``at`` each of its index entries: ring, start, segment and next segment, the latter in ``forms`` forms; behind these
+    _LOW bits of the other two segments and the form."""
+    fp, w = F.col("fp"), RING_WIDTH
+    prints = nodes.select("node", F.posexplode("prints").alias("ring", "fp"))
+
+    def entry(i: int, form: int) -> Column:
+        key = F.shiftleft(F.col("ring").cast("long"), 2).bitwiseOR(F.lit(i))
+        for x in (_segment(fp, i, w), _segment(fp, i + 1, w).bitwiseXOR(F.lit(1 << form >> 1)), _segment(fp, i + 2, w), _segment(fp, i + 3, w)):
+            key = F.shiftleft(key, w).bitwiseOR(x)
+        return F.shiftleft(key, 4).bitwiseOR(F.lit(form))
+
+    return prints.select("node", F.explode(F.array(*[entry(i, f) for i in range(SEGMENTS) for f in range(forms)])).alias("at"))
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Pairs (a, b) of nodes within DISTANCE in a ring: of entries that few share all, of the hot ones those with the entry's stars.
+    """Pairs (a, b) of nodes with a chain in a ring: of entries that few share all, of the hot ones those with the entry's stars.
 
     Beside them the hot entries and those who look there, for what the stars leave apart.
     """
-    prints = nodes.select("node", F.posexplode("prints").alias("ring", "fp"))
-    entries = prints.select("node", "fp", _ring_keys(F.col("fp"), F.col("ring"), [0]).alias("key"))
+    key = F.shiftright("at", _LOW)
+    entries = _index(nodes, 1).withColumn("key", key)
     entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key"), "copies-index")
-    asked = prints.select("node", "fp", _ring_keys(F.col("fp"), F.col("ring"), [0, *[1 << b for b in range(RING_WIDTH)]]).alias("key"))
-    near = _near(F.col("f"), F.col("g"))
+    asked = _index(nodes, RING_WIDTH + 1)
     many = max(HOT, 8 * nodes.count() >> 2 * RING_WIDTH)  # a key of 2 * RING_WIDTH bits that is no exception in a large table either
-    few = entries.where((F.col("n") > 1) & (F.col("n") <= many)).select("key", F.col("node").alias("b"), F.col("fp").alias("g"))
-    few = asked.toDF("a", "f", "key").join(few, "key").where("a < b").where(near).select("a", "b")
+
+    def near(f: str, g: str) -> Column:
+        """The rest of the chain: the first three segments within two bits, all within three."""
+        x, first = F.col(f).bitwiseXOR(F.col(g)), (F.col(f).bitwiseAND(F.lit(15)) > 0).cast("int")
+        segment = lambda at: F.bit_count(F.shiftright(x, at).bitwiseAND((1 << RING_WIDTH) - 1))
+        third, fourth = segment(4 + RING_WIDTH), segment(4)
+        return (first + third <= DISTANCE * 3 // SEGMENTS) & (first + third + fourth <= DISTANCE)
+
+    few = entries.where((F.col("n") > 1) & (F.col("n") <= many)).select("key", F.col("node").alias("b"), F.col("at").alias("g"))
+    few = asked.select(F.col("node").alias("a"), F.col("at").alias("f")).join(few.hint("merge"), F.shiftright("f", _LOW) == F.col("key"))
+    few = few.where((F.col("a") < F.col("b")) & near("f", "g")).select("a", "b")
     hot = entries.where(F.col("n") > many)
     keys, some = _hot(hot)
     if not some:
         return few, None, None
-    guests = cut(asked.join(keys, "key").select("key", "n", "node", "fp"), "copies-guests")
-    stars = hot.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "fp")) for i in range(STARS)]).alias("s"))
-    stars = stars.select("key", F.explode("s").alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.fp").alias("g"))
-    met = guests.select("key", F.col("node").alias("a"), F.col("fp").alias("f")).join(stars, "key").where("a != b").where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= DISTANCE)
-    return few.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), hot.select("key", "n", "node", "fp"), guests
-
-
-def _near(a: Column, b: Column) -> Column:
-    """Whether two fingerprints that met under ``key`` have a chain, and that start is the first one with one."""
-    at = F.shiftright("key", 32).bitwiseAND(SEGMENTS - 1)
-    return F.coalesce(*[F.when(_chain(a, b, i, RING_WIDTH), F.lit(i)) for i in range(SEGMENTS)]) == at
+    guests = cut(asked.withColumn("key", key).join(keys, "key").select("key", "n", "node", "at"), "copies-guests")
+    stars = hot.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "at")) for i in range(STARS)]).alias("s"))
+    stars = stars.select("key", F.explode("s").alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.at").alias("g"))
+    met = guests.select("key", F.col("node").alias("a"), F.col("at").alias("f")).join(stars, "key").where(F.col("a") != F.col("b")).where(near("f", "g"))
+    return few.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), hot.select("key", "n", "node", "at"), guests
 
 
 def _apart(hot: DataFrame, guests: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs within DISTANCE under hot entries whose nodes are in different components."""
-    part = lambda df: df.join(parts, df["node"] == parts["member"], "left").select("key", "n", "node", "fp", F.coalesce("component", "node").alias("part"))
+    part = lambda df: df.join(parts, df["node"] == parts["member"], "left").select("key", "n", "node", "at", F.coalesce("component", "node").alias("part"))
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = p[p["own"]], p[~p["own"]]
-        node, fp, of = theirs["node"].to_numpy(), theirs["fp"].to_numpy(), theirs["part"].to_numpy()
+        node, at, of = theirs["node"].to_numpy(), theirs["at"].to_numpy(), theirs["part"].to_numpy()
+        first, at, low = (at & 15 > 0).astype(np.uint8), at >> 4, (1 << (_LOW - 4)) - 1
         found = []
-        for x, f, c in zip(mine["node"].tolist(), mine["fp"].to_numpy(), mine["part"].tolist(), strict=True):
-            y = node[(of != c) & (np.bitwise_count((fp ^ f).view(np.uint64)) <= DISTANCE)]
+        for x, f, c in zip(mine["node"].tolist(), (mine["at"].to_numpy() >> 4).tolist(), mine["part"].tolist(), strict=True):
+            y = node[(of != c) & (first + np.bitwise_count((at ^ f) & low) <= DISTANCE)]
             found.append(np.stack([np.minimum(y, x), np.maximum(y, x)], axis=1))
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
