@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import share
+from corpuslode.llm.common import bounded_batches, share
 
 UNKNOWN = "und"
 #: Labelled documents a model is fitted on at most, a random share of all of them.
@@ -143,6 +143,7 @@ class Scorer:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each document; reads nothing but its text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import share, slices
+from corpuslode.llm.common import bounded_batches, share, slices
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 20_000
@@ -181,6 +181,7 @@ def _columns(batch: pa.RecordBatch, name: str = "text") -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fit on the documents that ``labels`` (id, 0 or 1) marks; the caller leaves out rows that are held out."""
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = share(marks, max_rows, F.col("id"), F.col("y")).limit(2 * max_rows)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, higher is better) of each document."""
+    bounded_batches(docs.sparkSession)
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):

@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslode.llm.common import cut, slices, tidy
+from corpuslode.llm.common import bounded_batches, cut, slices, tidy
 from corpuslode.llm.token_counts import _UNIT, SPACE
 
 CHUNK = 32_768
@@ -417,6 +417,7 @@ def _giants(docs: DataFrame, path: str) -> DataFrame:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """doc_id and ids of each document; with ``digest`` its text and a crc32 of the ids as little-endian 32-bit integers too."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(d.dtypes)["doc_id"]
     giant = F.coalesce(F.length("text"), F.lit(0)) > CHUNK

@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut, free_name, slices, tidy
+from corpuslode.llm.common import bounded_batches, cut, free_name, slices, tidy
 from corpuslode.llm.components import components
 
 SHINGLE = 3
@@ -68,6 +68,8 @@ HOT = 32
 BLOCK = 2048
 #: Hot entries that are broadcast at most.
 FEW_ENTRIES = 200_000
+#: Row keys that are broadcast at most.
+FEW_ROWS = 2_000_000
 #: Words of a shingle and Jaccard similarity, in per cent, of texts that ``keep_one`` joins.
 WORDS, SIMILARITY = 5, 80
 #: Fingerprints of a text for ``keep_one``, and bits of a segment of theirs.
@@ -75,7 +77,7 @@ RINGS, RING_WIDTH = 4, 12
 #: Nodes of a hot entry that all others of it meet first.
 STARS = 2
 #: Shingles in a group of texts that are compared in one task.
-CELL = 1 << 20
+CELL = 1 << 18
 
 _LOW = 2 * RING_WIDTH + 4  # bits of an index entry behind its key
 
@@ -95,6 +97,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each document."""
+    bounded_batches(docs.sparkSession)
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +340,8 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             found = [shingles(_words(t)).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "set"])
 
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    asked = cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "copies-asked")
+    asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked  # so that the texts are not shuffled
     held = rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, n int, set array<long>")
     held = cut(held.withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")), "copies-sets")
     counts = held.groupBy("size").count().collect()  # a row per power of two
@@ -365,6 +369,7 @@ def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of similar texts one row, that of the smallest id, with all its columns."""
+    bounded_batches(docs.sparkSession)
     key = free_name("row", docs)
     with tidy(docs.sparkSession):
         whole = cut(docs.withColumn(key, F.monotonically_increasing_id()), "copies-rows", keep=True)

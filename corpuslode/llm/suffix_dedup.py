@@ -53,7 +53,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut, free_name, scratch, slices, tidy
+from corpuslode.llm.common import bounded_batches, cut, free_name, scratch, slices, tidy
 
 LENGTH = 200
 GRAM = 20
@@ -250,6 +250,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     body and marks are null for a document without a repeated gram; then sha256 is that of the whole text.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("check", F.xxhash64("text"))
     kind = dict(d.dtypes)["doc_id"]
 

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpuslode.llm.common import bounded_batches
+
 ROW = 576
 PAGE_ROWS = 4
 STRIP_ROWS = 2
@@ -336,6 +338,7 @@ def store_text(text: str | None) -> tuple[int, bytes]:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Each text stored as a TIFF file and read back: sizes, hashes and a feature of the samples, and the file itself if asked for."""
+    bounded_batches(docs.sparkSession)
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pages", "feature"]
 

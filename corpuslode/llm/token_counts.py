@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from corpuslode.llm.common import bounded_batches
+
 SPACE = "▁"
 #: Units whose counts a Python worker keeps beside the proven ones; then it starts anew.
 CACHE_UNITS = 400_000
@@ -86,6 +88,7 @@ def counter(model_path: str, whole: dict[str, int]) -> Counter:
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and n_tokens of each document. ``model_path`` must be readable on each executor."""
+    bounded_batches(docs.sparkSession)
     import sentencepiece
 
     # bounded by the vocabulary

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import share
+from corpuslode.llm.common import bounded_batches, share
 
 MAGIC = b"CLTOKEN1"
 PACK_BYTES = 4_000_000
@@ -200,6 +200,7 @@ class Pack:
 
 def write(docs: DataFrame, path: str, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode each document, append ``end_id`` and write the store at ``path``, in ascending order of ids."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS string) AS text")
     kind = dict(d.dtypes)["doc_id"]
