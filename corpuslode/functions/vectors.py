@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
+_WORDS = re.compile(r"\w+")
 #: The constant vector of the mock service.
 MOCK_SIZE, MOCK_VALUE = 1536, 0.1
 
@@ -32,9 +34,9 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_vector(text: str | None, size: int = DIMENSIONS) -> list[float]:
     """Each word adds plus or minus one at the place that its md5 tells; the sum has length one, or is zero without words."""
     v = np.zeros(size)
-    for w in re.findall(r"\w+", (text or "").lower()):
+    for w, times in Counter(_WORDS.findall((text or "").lower())).items():
         h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-        v[h % size] += 1.0 if h >> 63 else -1.0
+        v[h % size] += times if h >> 63 else -times
     n = float(np.sqrt(v @ v))
     return (v / n if n else v).astype("float32").tolist()
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,54 +20,62 @@ KEY_LABELS = {
     "area_formatted": "เนื้อที่", "land_main_category": "หมวดหมู่",
 }
 
-_SENTENCE = re.compile(r"[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+")
+def sentences(c: Column) -> Column:
+    """The sentences of a text as column expressions."""
+    parts = F.regexp_extract_all(c, F.lit(r"[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+"), 0)
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def split_sentences(text: str | None) -> list[str]:
-    """Sentences end at . ! ? 。 or a line's end."""
-    return [s.strip() for s in _SENTENCE.findall(text or "") if s.strip()]
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def pack_sentences(text: str | None, size: int, overlap: int) -> list[str]:
-    """Whole sentences up to ``size`` words; a chunk begins with the last sentences of the one before, ``overlap`` words at most."""
-    out, held, n = [], [], 0
-    for s in split_sentences(text):
-        k = len(s.split())
-        if held and n + k > size:
-            out.append(" ".join(held))
-            tail, m = [], 0
-            for t in reversed(held):
-                if m + len(t.split()) > overlap:
-                    break
-                tail.insert(0, t)
-                m += len(t.split())
-            held, n = (tail, m) if m + k <= size else ([], 0)
-        held.append(s)
-        n += k
-    return out + [" ".join(held)] if held else out
+def packed(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
+    """Whole sentences up to ``size`` words; a chunk begins with the last sentences of the one before, ``overlap`` words at most.
 
+    A fold over the row's own sentences: nothing is shuffled and no Python runs.
+    A sentence over ``size`` words is a chunk of its own.
+    """
 
-def sentences(c: Column) -> Column:
-    """The sentences of a text as column expressions."""
-    parts = F.regexp_extract_all(c, F.lit(r"[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+"), 0)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    def pack(s: Column) -> Column:
+        return _bound(F.transform(s, lambda x: F.regexp_count(x, F.lit(r"[^ \t\n\x0B\f\r]+"))), lambda w: cut(s, w))
+
+    def cut(s: Column, w: Column) -> Column:
+        def tail(start: Column, i: Column) -> Column:
+            """How many of the sentences from ``start`` to before ``i`` begin the next chunk, and their words."""
+            none = F.struct(F.lit(0).alias("c"), F.lit(0).alias("m"), F.lit(True).alias("open"))
+            more = lambda t, x: t["open"] & (t["m"] + x <= overlap)
+            step = lambda t, x: F.struct((t["c"] + F.when(more(t, x), 1).otherwise(0)).alias("c"), (t["m"] + F.when(more(t, x), x).otherwise(0)).alias("m"), more(t, x).alias("open"))
+            return F.aggregate(F.reverse(F.slice(w, start + 1, i - start)), none, step)
+
+        def step(state: Column, i: Column) -> Column:
+            k = F.element_at(w, i + 1)
+            full = (i > state["start"]) & (state["n"] + k > size)
+            same = F.struct(state["start"].alias("start"), (state["n"] + k).alias("n"), state["out"].alias("out"))
+            out = F.concat(state["out"], F.array(F.struct(state["start"].alias("a"), i.alias("b"))))
 
+            def begin(t: Column) -> Column:
+                fits = t["m"] + k <= size
+                return F.struct(F.when(fits, i - t["c"]).otherwise(i).alias("start"), F.when(fits, t["m"] + k).otherwise(k).alias("n"), out.alias("out"))
 
-def splitter(size: int = CHUNK_SIZE, overlap: int = OVERLAP):
-    """A column function from texts to lists of packed chunks."""
+            return F.when(full, _bound(tail(state["start"], i), begin)).otherwise(same)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_sentences(t, size, overlap))
+        spans = F.expr("CAST(array() AS array<struct<a: int, b: int>>)")
+        first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), spans.alias("out"))
+        last = lambda state: F.concat(state["out"], F.array(F.struct(state["start"].alias("a"), F.size(s).alias("b"))))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), first, step, last)
+        return F.when(F.size(s) > 0, F.transform(found, lambda x: F.array_join(F.slice(s, x["a"] + 1, x["b"] - x["a"]), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
 
-    return split
+    return _bound(sentences(text), pack)
 
 
-def section_content(text: Column, title: str) -> Column:
+def section_content(text: Column, title: str | Column) -> Column:
     """What stands between a header and the next ``##``; null without the header."""
-    header = f"## {title}"
-    after = F.substring_index(F.substring(text, F.instr(text, header) + len(header), 2**31 - 1), "##", 1)
-    return F.when(F.instr(text, header) > 0, strip(after))
+    header = F.concat(F.lit("## "), F.lit(title) if isinstance(title, str) else title)
+    at = F.position(header, text)
+    after = F.substring_index(F.substring(text, at + F.length(header), F.lit(2**31 - 1)), "##", 1)
+    return F.when(at > 0, strip(after))
 
 
 def key_info(df: DataFrame) -> Column:
@@ -82,36 +88,34 @@ def key_info(df: DataFrame) -> Column:
 def section_chunks(
     docs: DataFrame, titles: dict[str, str] = SECTION_TITLES, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_SECTION, fallback: str = "full_document"
 ) -> DataFrame:
-    """One row per chunk of each document (doc_id, text, metadata columns).
+    """One row per chunk of each document (doc_id, text, metadata columns), built in the row: no shuffle, one scan.
 
     The key information is chunk 0. A section under ``least`` characters is
     dropped, one over 2 * ``size`` is split by sentences, each part under the
     section's title. A document without a section is split whole.
     """
     text = F.col("text")
-    found = F.array_compact(F.array(*[
-        F.when(F.length(section_content(text, t)) >= least, F.struct(F.lit(i).alias("at"), F.lit(s).alias("section"), F.lit(t).alias("title"), section_content(text, t).alias("body")))
-        for i, (s, t) in enumerate(titles.items())
-    ]))
-    split = splitter(size, overlap)
-    d = docs.withColumn("__key", key_info(docs)).withColumn("__found", found).select("doc_id", "text", "__key", "__found")
-    sections = d.select("doc_id", F.explode("__found").alias("f")).select("doc_id", "f.*")
-    small = sections.where(F.length("body") <= 2 * size).select("*", F.lit("section").alias("chunk_type"), F.array("body").alias("parts"))
-    large = sections.where(F.length("body") > 2 * size).select("*", F.lit("section_part").alias("chunk_type"), split("body").alias("parts"))
-    bare = d.where((F.size("__found") == 0) & (strip(F.col("text")) != "")).select(
-        "doc_id", F.lit(0).alias("at"), F.lit(fallback).alias("section"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), F.lit("fallback").alias("chunk_type"), split("text").alias("parts")
-    )
-    rows = small.unionByName(large).unionByName(bare).select("*", F.posexplode("parts").alias("sub_chunk_index", "part"))
-    head = F.when(F.col("title").isNull(), F.lit("")).otherwise(F.concat(F.lit("## "), F.col("title"), F.lit("\n")))
-    rows = rows.select(
-        "doc_id", "chunk_type", "section", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "sub_chunk_index")).alias("chunk_index"),
-        "sub_chunk_index", F.size("parts").alias("total_sub_chunks"), F.length("body").alias("section_size"), F.concat(head, "part").alias("text"),
-    )
-    key = d.select(
-        "doc_id", F.lit("key_info").alias("chunk_type"), F.lit("key_info").alias("section"), F.lit(0).alias("chunk_index"), F.lit(0).alias("sub_chunk_index"),
-        F.lit(1).alias("total_sub_chunks"), F.length("__key").alias("section_size"), F.col("__key").alias("text"),
-    )
-    return key.unionByName(rows)
+    none = F.lit(None).cast("string")
+    each = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(k).alias("section"), F.lit(t).alias("title")) for i, (k, t) in enumerate(titles.items())])
+    named = F.transform(each, lambda t: F.struct(t["section"].alias("section"), t["title"].alias("title"), section_content(text, t["title"]).alias("body")))
+    found = F.filter(named, lambda f: F.length(f["body"]) >= least)
+
+    def chunk(kind: Column, section: Column, place: Column, of: Column, size_: Column, body: Column) -> Column:
+        return F.struct(kind.alias("chunk_type"), section.alias("section"), place.alias("sub_chunk_index"), of.alias("total_sub_chunks"), size_.alias("section_size"), body.alias("text"))
+
+    def parts(kind: Column, section: Column, head: Column, body: Column, pieces: Column) -> Column:
+        return _bound(pieces, lambda p: F.transform(p, lambda x, i: chunk(kind, section, i, F.size(p), F.length(body), F.concat(head, x))))
+
+    def of_section(f: Column) -> Column:
+        large = F.length(f["body"]) > 2 * size
+        pieces = F.when(large, packed(f["body"], size, overlap)).otherwise(F.array(f["body"]))
+        return parts(F.when(large, "section_part").otherwise("section"), f["section"], F.concat(F.lit("## "), f["title"], F.lit("\n")), f["body"], pieces)
+
+    bare = F.when(strip(text) != "", parts(F.lit("fallback"), F.lit(fallback), F.lit(""), text, packed(text, size, overlap)))
+    rest = _bound(found, lambda f: F.when(F.size(f) > 0, F.flatten(F.transform(f, of_section))).otherwise(bare))
+    key = _bound(key_info(docs), lambda k: F.array(chunk(F.lit("key_info"), F.lit("key_info"), F.lit(0), F.lit(1), F.length(k), k)))
+    all_ = F.concat(key, F.coalesce(rest, F.slice(key, 1, 0)))
+    return docs.select("doc_id", F.posexplode(all_).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
 
 
 def cut_sections(docs: DataFrame, titles: dict[str, str], least: int = MIN_SECTION, most: int | None = CHUNK_SIZE) -> DataFrame:

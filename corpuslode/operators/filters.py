@@ -172,3 +172,9 @@ def in_bands(df: DataFrame, length: Column, sizes=(512, 1024, 2048), tolerance:
 def worth_prefiltering(hits: int, total: int) -> bool:
     """F7."""
     return 0 < hits < CANDIDATE_SHARE * total
+
+
+def prefilter_plan(df: DataFrame, kept: Column) -> DataFrame:
+    """F7 as a plan: rows, candidates, and whether a search should begin with them."""
+    out = df.agg(F.count("*").alias("total"), F.count_if(kept).alias("candidates"))
+    return out.withColumn("worth", (F.col("candidates") > 0) & (F.col("candidates") < CANDIDATE_SHARE * F.col("total")))

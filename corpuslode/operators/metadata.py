@@ -174,12 +174,12 @@ def grouped_text(groups: dict[str, Sequence[str]]) -> Column:
     return F.concat_ws("\n\n", *out)
 
 
-def document_id(df: DataFrame) -> Column:
-    """From the deed's or the land's id, else a hash of what is known; null if nothing is."""
+def document_id(df: DataFrame, prefix: str = "doc_") -> Column:
+    """From the deed's or the land's id, else ``prefix`` and a hash of what is known; null if nothing is."""
     known = [F.left(F.nullif(_has(df, n).cast("string"), F.lit("")), F.lit(10)) for n in ("province", "district", "deed_type", "deed_serial_no")]
     joined = F.nullif(F.concat_ws("_", *known), F.lit(""))
     own = lambda n: F.nullif(_has(df, n).cast("string"), F.lit(""))
-    hashed = F.concat(F.lit("iland_"), F.substring(F.md5(joined), 1, 12))
+    hashed = F.concat(F.lit(prefix), F.substring(F.md5(joined), 1, 12))
     return F.coalesce(F.concat(F.lit("deed_"), own("deed_id")), F.concat(F.lit("land_"), own("land_id")), hashed)
 
 
@@ -292,7 +292,7 @@ def preview(results: DataFrame, size: int = 200) -> DataFrame:
     return results.withColumn("preview", truncate(F.col("text"), size))
 
 
-def tagged(results: DataFrame, strategy: str, source: str = "iland") -> DataFrame:
+def tagged(results: DataFrame, strategy: str, source: str = "documents") -> DataFrame:
     """P24."""
     return results.withColumn("retrieval_strategy", F.lit(strategy)).withColumn("data_source", F.lit(source))
 

@@ -7,18 +7,23 @@ made it a single row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslode.functions.keywords import frequency_score, overlap, query_keywords, tokens
+from corpuslode.functions.keywords import frequency_score, overlap, query_keywords, tokens, words_of
 from corpuslode.functions.vectors import cosine
 
 TOP_K = 5
 ALPHA = 0.7
 RRF_K = 60
 CUTOFF = 0.7
+#: Vectors in a pack, and values of the packed queries up to which they are broadcast (64 MB).
+PACK, BROADCAST_VALUES = 1024, 1 << 23
 
 
 def ranked(df: DataFrame, score: str = "score", key: str = "node_id", by: Sequence[str] = ()) -> DataFrame:
@@ -44,15 +49,64 @@ def search(nodes: DataFrame, vector: Sequence[float], k: int = TOP_K, column: st
     return top(score_by_vector(nodes, vector, column), k, key=key)
 
 
+def _packs(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, str], size: int) -> DataFrame:
+    """Rows of ``size`` unit vectors: their ids and one array of all their values; vectors without length or of no size are left out."""
+    kind = dict(rows.select(id_col).dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, size):
+                b = whole.slice(i, size)
+                b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column(1)), 0), 0))
+                lengths = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                for n in np.unique(lengths):
+                    part = b.filter(pa.array(lengths == n))
+                    m = pc.cast(part.column(1).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+                    norm = np.sqrt((m * m).sum(axis=1))
+                    ok = norm > 0
+                    ids = part.column(0).filter(pa.array(ok))
+                    m = (m[ok] / norm[ok, None]).ravel()
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([m])], list(names))
+
+    return rows.select(id_col, vector_col).where(f"`{vector_col}` IS NOT NULL").mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+
+
 def search_many(nodes: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
     """For each query (query_id, vector) its k most similar nodes (node_id, embedding).
 
-    The queries, a stated set, meet all nodes. Spark limits each window group
-    to k rows in every task before the shuffle, so k rows per query and task
-    are what moves.
+    Vectors are brought to unit length once and packed. The queries, a stated
+    set, meet all nodes pack by pack: one matrix product and the k best of each
+    query are what is left of a pair. The packed queries are broadcast only
+    below ``BROADCAST_VALUES`` values. Vectors of another size, or without
+    length, have no similarity.
     """
-    pairs = nodes.join(queries, how="cross").select("query_id", "node_id", F.round(cosine(F.col("embedding"), F.col("vector")), digits).alias("score"))
-    return top(pairs, k, by=["query_id"])
+    kinds = dict(queries.dtypes)["query_id"], dict(nodes.dtypes)["node_id"]
+    asked = _packs(queries, "query_id", "vector", ("q", "qm"), PACK)
+    size = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
+    asked = F.broadcast(asked) if size <= BROADCAST_VALUES else asked
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                n, nm, q, qm = (b.column(c)[i].values for c in range(4))
+                if not len(n) or len(nm) * len(q) != len(qm) * len(n):
+                    continue
+                x, y = nm.to_numpy().reshape(len(n), -1), qm.to_numpy().reshape(len(q), -1)
+                s = np.floor((y @ x.T) * 10.0**digits + 0.5) / 10.0**digits
+                place = pc.rank(n, tiebreaker="first").to_numpy()
+                order = np.stack([np.lexsort((place, -row))[:k] for row in s])
+                of = np.repeat(np.arange(len(q)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(of)), n.take(pa.array(order.ravel())), pa.array(s[of, order.ravel()])], ["query_id", "node_id", "score"])
+
+    met = _packs(nodes, "node_id", "embedding", ("n", "nm"), PACK).crossJoin(asked)  # of packs
+    pairs = met.mapInArrow(best, f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
+    return top(pairs.select("query_id", "node_id", F.round("score", digits).alias("score")), k, by=["query_id"])
+
+
+def in_windows(hits: DataFrame) -> DataFrame:
+    """Hits with the text of their window, where they have one, in place of their own."""
+    return hits.withColumn("text", F.coalesce("window_text", "text")).drop("window_text")
 
 
 def cutoff(df: DataFrame, least: float = CUTOFF) -> DataFrame:
@@ -153,6 +207,24 @@ def lexical_rerank(hits: DataFrame, query: Column, share: float = 0.3, digits: i
     return hits.withColumn("score", F.round((1 - share) * F.col("score") + share * overlap(query, F.col("text")), digits))
 
 
+def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 20, base: float = 1.0, share: float = 0.3, key: str = "node_id", digits: int = 6) -> DataFrame:
+    """R16 over a whole table: for each query (query_id, query) the k documents of largest blend of ``base`` and lexical overlap.
+
+    The queries' words meet the documents that hold them; a query that fewer
+    than k documents share a word with is filled up with the first other ones.
+    """
+    asked = queries.select("query_id", words_of(F.col("query")).alias("q"))
+    terms = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("w"))
+    held = docs.select(key, F.explode(words_of(F.col("text"))).alias("w")).join(terms.select("w").distinct(), "w", "left_semi")
+    score = lambda part: F.round((1 - share) * base + share * part, digits)
+    met = terms.join(held, "w").groupBy("query_id", key, "n").agg(F.count("*").alias("c")).select("query_id", key, score(F.col("c") / F.col("n")).alias("score"))
+    # per query at most k documents without a common word can be wanted, and they are among the first 2k of all that share none
+    best = top(met, k, key=key, by=["query_id"])
+    fill = docs.select(key).orderBy(key).limit(2 * k).crossJoin(asked.select("query_id"))  # 2k rows beside a stated set
+    fill = fill.join(met.select("query_id", key), ["query_id", key], "left_anti").select("query_id", key, score(F.lit(0.0)).alias("score"))
+    return top(best.select("query_id", key, "score").union(fill), k, key=key, by=["query_id"])
+
+
 def section_rank(hits: DataFrame, preferred: Sequence[str]) -> DataFrame:
     """By the place of the section among those preferred (key_info first, others last), then by score."""
     place = F.when(F.col("section") == "key_info", 0)

@@ -7,9 +7,11 @@ not depend on the order in which Spark adds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslode.functions.values import token_cost
 
@@ -18,6 +20,9 @@ QUALITY_WEIGHTS = (0.2, 0.3, 0.3, 0.2)
 # Upper ends of the area buckets in rai.
 RAI_BUCKETS = ((1, "0-1"), (5, "1-5"), (10, "5-10"), (50, "10-50"))
 
+#: Rows of a table up to which a running value has one window for each group.
+BUCKET_ROWS = 4_000_000
+
 
 def hundredths(c: Column) -> Column:
     return F.round(c * 100).cast("long")
@@ -116,10 +121,37 @@ def filter_ratio(df: DataFrame, kept: Column) -> DataFrame:
     return df.agg(F.count("*").alias("original"), F.count_if(kept).alias("filtered"), F.round(F.expr("try_divide(1D, count(*))") * F.count_if(kept), 6).alias("ratio"))
 
 
-def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), digits: int = 6) -> DataFrame:
+def running(df: DataFrame, sums: dict[str, Column], order: Sequence[str], by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> DataFrame:
+    """Running sums of columns over each group's rows in an order, without a task for a whole group.
+
+    A table of more than ``rows`` rows is cut by quantiles of the first order
+    column, a number or a time, into buckets of about as many rows; each bucket
+    of a group is summed on its own, and what stands before it is added.
+    """
+    n, first = df.count(), order[0]
+    cuts = min(n // rows, 5000) if isinstance(df.schema[first].dataType, (T.NumericType, T.DatetimeType)) else 0
+    if not cuts:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+    edges = df.agg(F.percentile_approx(first, [i / (cuts + 1) for i in range(1, cuts + 1)]).alias("e"))  # one row
+    df = df.withColumns({f"__{name}": c for name, c in sums.items()}).crossJoin(F.broadcast(edges))
+    df = df.withColumn("__bucket", F.size(F.filter("e", lambda x: x < F.col(first)))).drop("e")
+    w = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, "__bucket").agg(*[F.sum(f"__{name}").alias(name) for name in sums])
+    totals = totals.select("__bucket", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[F.sum(name).over(before).alias(f"__before_{name}") for name in sums])
+    same = [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+    out = df.join(totals.withColumnRenamed("__bucket", "__at"), reduce(lambda x, y: x & y, same, F.col("__bucket") == F.col("__at")))
+    kept = [c for c in df.columns if not c.startswith("__")]
+    here, earlier = (lambda name: F.sum(f"__{name}").over(w)), (lambda name: F.col(f"__before_{name}"))
+    return out.select(*kept, *[F.coalesce(here(name) + earlier(name), here(name), earlier(name)).alias(name) for name in sums])
+
+
+def running_mean(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), digits: int = 6, rows: int = BUCKET_ROWS) -> DataFrame:
     """The mean of the rows so far."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_mean", F.round(F.sum(hundredths(F.col(value))).over(w) / F.count(value).over(w) / 100, digits))
+    sums = {"run_sum": hundredths(F.col(value)), "run_n": F.when(F.col(value).isNotNull(), 1).otherwise(0)}
+    out = running(df, sums, order, by, rows)
+    return out.withColumn("running_mean", F.round(F.col("run_sum") / F.nullif(F.col("run_n"), F.lit(0)) / 100, digits)).drop("run_sum", "run_n")
 
 
 def accuracy(df: DataFrame, predicted: Column, expected: Column) -> DataFrame:

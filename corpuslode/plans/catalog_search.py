@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslode.functions.keywords import STOP_WORDS, frequency_score, query_keywords
 from corpuslode.functions.vectors import cosine, embedder
 from corpuslode.operators import ranking as R
 from corpuslode.operators.filters import by_values
-from corpuslode.operators.metadata import preview, tagged
+from corpuslode.operators.chunking import longest_chunk, row_windows
+from corpuslode.operators.metadata import embedding_rows, preview, tagged
 from corpuslode.plans.control import round_robin as take_turns
 from corpuslode.plans.control import union_strategies
 from corpuslode.registry import query, table
@@ -31,11 +32,9 @@ def hits(spark: SparkSession, sf_dir: str, vec_id: int, k: int = 10) -> DataFram
 
 
 def lists(spark: SparkSession, sf_dir: str, n: int = 2, k: int = 10) -> DataFrame:
-    out = None
-    for i in range(n):
-        one = hits(spark, sf_dir, i, k).select(F.lit(f"list{i}").alias("list"), "node_id", "score", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The k best nodes for each of the first n vectors, by one pass over the nodes."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.concat(F.lit("list"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
+    return R.search_many(nodes(spark, sf_dir), asked, k).withColumnRenamed("query_id", "list")
 
 
 def sim(i: int, where: str = "true") -> str:
@@ -296,8 +295,7 @@ def hybrid_rerank(spark, sf_dir):
 def lexical_rerank(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    pairs = docs.crossJoin(asked).withColumn("score", F.lit(1.0))
-    return R.top(R.lexical_rerank(pairs, F.col("query")).select("query_id", "node_id", "score"), 20, by=["query_id"])
+    return R.lexical_topk(docs, asked)
 
 
 TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({stop}, w))"
@@ -335,11 +333,11 @@ def frequency_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(frequency_score(F.col("text"), query_keywords(F.lit(QUESTION))), 6).alias("score"))
 
 
-@query("p23_preview", f"SELECT node_id, score, rank, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, 'vector' AS retrieval_strategy, 'iland' AS data_source FROM {top(0, 10)} JOIN documents ON doc_id = node_id")
+@query("p23_preview", f"SELECT node_id, score, rank, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, 'vector' AS retrieval_strategy, 'documents' AS data_source FROM {top(0, 10)} JOIN documents ON doc_id = node_id")
 def result_preview(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
     found = hits(spark, sf_dir, 0, 10).select("node_id", "score", "rank").join(docs, "node_id")
-    return tagged(preview(found), "vector").drop("text")
+    return tagged(preview(found), "vector", "documents").drop("text")
 
 
 @query(
@@ -358,21 +356,127 @@ def all_strategies(spark, sf_dir):
     })
 
 
-@query("u1_hash_embedding")
+def hashed_sql(name: str, source: str, text: str = "text") -> str:
+    """Vectors of hashed words for each row of ``source`` (id, text): id, v."""
+    return rf"""
+    {name}_w AS (SELECT id, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM {source}),
+    {name}_h AS (SELECT id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM {name}_w),
+    {name}_s AS (SELECT id, (h % 64)::INT AS i, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {name}_h GROUP BY ALL),
+    {name}_m AS (SELECT id, map_from_entries(list((i, x))) AS m, sqrt(sum(x * x)) AS norm FROM {name}_s GROUP BY id),
+    {name} AS (SELECT s.id, list_transform(range(0, 64), lambda i: coalesce((CASE WHEN norm > 0 THEN m[i::INT] / norm ELSE 0 END)::FLOAT, 0::FLOAT)) AS v FROM {source} s LEFT JOIN {name}_m USING (id))"""
+
+
+@query("u1_hash_embedding", f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {hashed_sql("e", "d")}
+    SELECT id AS doc_id, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS embedding FROM e""")
 def hash_embedding(spark, sf_dir):
-    """No SQL: vectors of hashed words."""
-    return table(spark, sf_dir, "documents").select("doc_id", embedder()(F.col("text")).alias("embedding"))
+    e = table(spark, sf_dir, "documents").select("doc_id", embedder()(F.col("text")).alias("embedding"))
+    return e.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
-@query("u1_text_search")
+@query(
+    "u1_text_search",
+    f"""WITH d AS (SELECT doc_id AS id, text FROM documents), b AS (SELECT item_id AS id, text FROM benchmark WHERE item_id % 50 = 0), {hashed_sql("e", "d")}, {hashed_sql("q", "b")},
+    s AS (SELECT q.id AS query_id, e.id AS node_id, round(list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]), 6) AS score FROM e, q WHERE list_sum(list_transform(e.v, lambda x: x * x)) > 0)
+    SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INT AS rank FROM s QUALIFY rank <= 5""",
+)
 def text_search(spark, sf_dir):
-    """No SQL: documents nearest to the benchmark passages by hashed words."""
+    """Documents nearest to the benchmark passages by hashed words."""
     embed = embedder()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), embed(F.col("text")).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("vector"))
     return R.search_many(docs, asked)
 
 
+NODE_ROWS = """n AS (
+      SELECT 'c' || conv_id || '_' || turn AS node_id, conv_id AS doc_id, text, NULL::VARCHAR AS window_text, 'chunk' AS type FROM conversations
+      UNION ALL SELECT 'w' || conv_id || '_' || turn, conv_id, text, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' '), 'sentence' FROM conversations
+      UNION ALL SELECT 's' || conv_id, conv_id, arg_max(text, struct_pack(n := length(text), t := text)), NULL, 'summary' FROM conversations GROUP BY conv_id),
+    i AS (SELECT node_id AS id, text FROM n)"""
+
+
+def node_rows(spark, sf_dir) -> DataFrame:
+    """Chunks, sentence windows and summaries of the conversations, each kind as embedding rows."""
+    c = table(spark, sf_dir, "conversations")
+    name = lambda letter, *parts: F.concat(F.lit(letter), F.concat_ws("_", *[F.col(p).cast("string") for p in parts])).alias("node_id")
+    chunks = c.select(name("c", "conv_id", "turn"), F.col("conv_id").alias("doc_id"), "text")
+    windows = row_windows(c, "conv_id", "turn").select(name("w", "conv_id", "turn"), F.col("conv_id").alias("doc_id"), "text", "window_text")
+    summaries = longest_chunk(c.withColumnRenamed("conv_id", "doc_id")).select(name("s", "doc_id"), "doc_id", "text")
+    kinds = (chunks, "chunk"), (windows, "sentence"), (summaries, "summary")
+    out = None
+    for rows, kind in kinds:
+        one = embedding_rows(rows, embedder(), kind)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+@query(
+    "p18_embedding_rows",
+    f"""WITH {NODE_ROWS}, {hashed_sql("e", "i")}
+    SELECT node_id, doc_id, type, 1 AS batch_number, 64 AS embedding_dim, length(n.text)::INT AS text_length, length(window_text)::INT AS window_length,
+           list_transform(v[1:3], lambda x: round(x::DOUBLE, 5)) AS first FROM n JOIN e ON e.id = n.node_id""",
+)
+def embedding_row_kinds(spark, sf_dir):
+    """P18-P21, Z50."""
+    return node_rows(spark, sf_dir).select(
+        "node_id", "doc_id", "type", "batch_number", "embedding_dim", "text_length", "window_length", F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 5)).alias("first")
+    )
+
+
+def searched(kind: str, k: int) -> str:
+    return f"""(SELECT node_id, doc_id, text, window_text, score, row_number() OVER (ORDER BY score DESC, node_id)::INT AS rank FROM (
+        SELECT n.*, round(list_cosine_similarity(v::DOUBLE[], (SELECT v::DOUBLE[] FROM q)), 6) AS score FROM n JOIN e ON e.id = n.node_id WHERE type = '{kind}' AND list_sum(list_transform(v, lambda x: x * x)) > 0) QUALIFY rank <= {k})"""
+
+
+WINDOW_SEARCH = f"""WITH {NODE_ROWS}, {hashed_sql("e", "i")}, b AS (SELECT item_id AS id, text FROM benchmark ORDER BY item_id LIMIT 1), {hashed_sql("q", "b")}"""
+
+
+def asked_first(spark, sf_dir) -> DataFrame:
+    """One stated query: the first benchmark passage."""
+    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), embedder()(F.col("text")).alias("vector"))
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    found = R.search_many(rows.select("node_id", "embedding"), asked, k)
+    return rows.join(found, "node_id").select("node_id", "doc_id", "text", "window_text", "score", "rank")
+
+
+@query("z24_window_search", f"{WINDOW_SEARCH} SELECT node_id, md5(window_text) AS text_md5, score, rank FROM {searched('sentence', 10)}")
+def window_search(spark, sf_dir):
+    """Sentences are searched, and their windows take the place of their texts."""
+    rows = node_rows(spark, sf_dir).where("type = 'sentence'")
+    hits_ = R.in_windows(nearest(rows, asked_first(spark, sf_dir), 10))
+    return hits_.select("node_id", F.md5("text").alias("text_md5"), "score", "rank")
+
+
+@query(
+    "z25_decoupled_search",
+    f"""{WINDOW_SEARCH}, h AS (SELECT * FROM {searched('summary', 5)})
+    SELECT h.doc_id, n.node_id, h.score, row_number() OVER (PARTITION BY h.doc_id ORDER BY n.node_id)::INT AS place FROM h JOIN n ON n.doc_id = h.doc_id AND n.type = 'chunk' QUALIFY place <= 3""",
+)
+def decoupled_search(spark, sf_dir):
+    """What is searched (a summary) is not what is returned (the first chunks of its document)."""
+    rows = node_rows(spark, sf_dir)
+    found = nearest(rows.where("type = 'summary'"), asked_first(spark, sf_dir), 5).select("doc_id", "score")
+    chunks = rows.where("type = 'chunk'").select("doc_id", "node_id").join(found, "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))
+    return chunks.withColumn("place", place).where("place <= 3")
+
+
+@query(
+    "z26_chunk_strategies",
+    f"""{WINDOW_SEARCH}, h AS ({" UNION ALL ".join(f"SELECT '{t}' AS strategy, * FROM {searched(t, 10)}" for t in ("chunk", "sentence", "summary"))})
+    SELECT strategy, count(*) AS n, count(DISTINCT doc_id) AS documents, max(score) AS best, round(avg(score), 6) AS mean_score, sum(length(coalesce(window_text, text)))::BIGINT AS characters FROM h GROUP BY strategy""",
+)
+def chunk_strategies(spark, sf_dir):
+    """What the same question finds by chunks, by sentence windows and by summaries."""
+    rows, asked = node_rows(spark, sf_dir), asked_first(spark, sf_dir)
+    found = {t: R.in_windows(nearest(rows.where(F.col("type") == t), asked, 10)).select("node_id", "doc_id", "text", "score") for t in ("chunk", "sentence", "summary")}
+    h = union_strategies(found)
+    return h.groupBy("strategy").agg(
+        F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean_score"), F.sum(F.length("text")).alias("characters")
+    )
+
+
 @query("k5_round_robin", "SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 3)::INT AS turn FROM events")
 def round_robin(spark, sf_dir):
     return take_turns(table(spark, sf_dir, "events"), ["event_id"], ["vector", "hybrid", "summary"], ["event_type"]).select("event_id", "turn")

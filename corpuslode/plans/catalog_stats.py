@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslode.functions.values import token_cost
+from corpuslode.operators import filters as L
 from corpuslode.operators import stats as A
+from corpuslode.operators.filters import by_values
 from corpuslode.registry import query, table
+from corpuslode.sources import files
 from corpuslode.sources import tables as S
-from corpuslode.streaming.logs import windowed
+from corpuslode.streaming.logs import to_parquet, windowed
 
 CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey"
 
@@ -216,10 +216,121 @@ def cache_rate(spark, sf_dir):
     return A.cache_rate(table(spark, sf_dir, "events"), F.col("user_id") % 3 == 0)
 
 
-@query("s11_latest_snapshot", "SELECT event_id FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)")
+SNAPSHOTS = """(SELECT vec_id, label, vec_id % 4 AS batch_number, CASE vec_id % 3 WHEN 0 THEN 'chunk' WHEN 1 THEN 'summary' ELSE 'indexnode' END AS type, stamp
+    FROM embeddings, (SELECT unnest(['20240101', '20240202']) AS stamp) WHERE stamp = '20240202' OR vec_id % 2 = 0)"""
+
+
+def snapshot_store(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings written as two snapshots, the older one with half of them."""
+    path = files.workspace(spark, "snapshots")
+    i = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", "embedding", (i % 4).cast("int").alias("batch_number"), F.when(i % 3 == 0, "chunk").when(i % 3 == 1, "summary").otherwise("indexnode").alias("type")
+    )
+    files.write_snapshot(e.where("vec_id % 2 = 0"), path, "20240101")
+    files.write_snapshot(e, path, "20240202")
+    return path
+
+
+@query("s10_snapshots", f"SELECT DISTINCT stamp AS batch_ts FROM {SNAPSHOTS}")
+def snapshot_stamps(spark, sf_dir):
+    return files.snapshots(spark, snapshot_store(spark, sf_dir)).select(F.col("batch_ts").cast("string").alias("batch_ts"))
+
+
+@query("s11_latest_snapshot", f"SELECT vec_id, type, batch_number::INT AS batch_number FROM {SNAPSHOTS} WHERE stamp = '20240202'")
 def latest_snapshot(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    return e.join(F.broadcast(e.agg(F.max("day").alias("day"))), "day").select("event_id")
+    """All batches and types of the latest snapshot, as they were written."""
+    return files.read_snapshot(spark, snapshot_store(spark, sf_dir)).select("vec_id", "type", "batch_number")
+
+
+@query("s14_snapshot_of_type", f"SELECT vec_id FROM {SNAPSHOTS} WHERE stamp = '20240101' AND type IN ('chunk', 'summary') AND batch_number = 2")
+def snapshot_of_type(spark, sf_dir):
+    """Types and a batch of a given snapshot; its folders prune the read."""
+    return files.read_snapshot(spark, snapshot_store(spark, sf_dir), ["chunk", "summary"], 2, "20240101").select("vec_id")
+
+
+@query(
+    "z8_load_and_validate",
+    f"SELECT type, count(*) AS n, count(DISTINCT label) AS labels, 64 AS dimensions FROM {SNAPSHOTS} WHERE stamp = '20240202' AND label IN (1, 2, 3) GROUP BY type",
+)
+def load_and_validate(spark, sf_dir):
+    """The latest snapshot, filtered as an index of its own, with what a check of it tells."""
+    e = by_values(files.read_snapshot(spark, snapshot_store(spark, sf_dir)), "label", [1, 2, 3])
+    return e.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.max(F.size("embedding")).alias("dimensions"))
+
+
+@query("s2_csv_round_trip", "SELECT p_partkey, p_name, p_brand, p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part")
+def csv_round_trip(spark, sf_dir):
+    """The table written as CSV files and read back, split among tasks, with a schema."""
+    path = files.workspace(spark, "csv")
+    S.write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), path)
+    back = S.read_csv(spark, path, "utf-8", "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double")
+    return back.where("_corrupt_record IS NULL").select("p_partkey", "p_name", "p_brand", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+
+
+@query("s3_csv_with_broken_lines", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def csv_with_broken_lines(spark, sf_dir):
+    """Whole texts, quotes and line ends included, through CSV."""
+    path = files.workspace(spark, "csv")
+    S.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return S.read_csv(spark, path, "utf-8", "doc_id long, text string").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("s19_markdown_files", "SELECT source AS folder, doc_id, md5(text) AS text_md5 FROM documents")
+def markdown_files(spark, sf_dir):
+    """A file for each document, in folders, read back whole."""
+    path = files.workspace(spark, "markdown")
+    files.write_markdown(table(spark, sf_dir, "documents"), path, "source")
+    return files.read_markdown_folders(spark, path).select("folder", F.col("document").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    "s20_markdown_index",
+    "SELECT source, count(*) AS n, list(doc_id ORDER BY doc_id)[1:10] AS first FROM documents GROUP BY source",
+)
+def markdown_index(spark, sf_dir):
+    found = files.markdown_index(table(spark, sf_dir, "documents"), "source")
+    return found.select("source", "n", F.transform("documents", lambda x: x["doc_id"]).alias("first"))
+
+
+@query("s18_jsonl", "SELECT doc_id AS id, md5(text) AS text_md5, lang FROM documents")
+def jsonl(spark, sf_dir):
+    path = files.workspace(spark, "jsonl")
+    d = table(spark, sf_dir, "documents")
+    files.write_jsonl(d.withColumn("metadata", F.create_map(F.lit("lang"), F.col("lang"))), path, ["lang"])
+    back = spark.read.schema("id long, text string, embedding_priority_fields map<string,string>").json(path)
+    return back.select("id", F.md5("text").alias("text_md5"), F.col("embedding_priority_fields")["lang"].alias("lang"))
+
+
+@query(
+    "s26_log_store",
+    f"SELECT strategy, count(*) AS n, count(error) AS errors FROM {LOG} WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY strategy",
+)
+def log_store(spark, sf_dir):
+    """Entries appended twice over as compressed JSON lines, compacted, read back, and kept for seven days behind the last one."""
+    path = files.workspace(spark, "log")
+    e = log(spark, sf_dir)
+    stored = e.select("ts", "strategy", "latency_ms", "error", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).withColumn("prompt_tokens", F.lit(0)).withColumn("completion_tokens", F.lit(0))
+    stored = stored.drop("ts").withColumnRenamed("t", "ts").withColumn("confidence", F.lit(None).cast("double"))
+    for half in (0, 1):
+        files.append_log(stored.where(F.pmod(F.xxhash64("ts", "strategy"), F.lit(2)) == half), f"{path}/entries")
+    files.compact_log(spark, f"{path}/entries", f"{path}/compact", 2)
+    back = files.read_log(spark, f"{path}/compact")
+    last = back.agg(F.max("ts")).first()[0]
+    kept = files.kept_log(back, 7, F.timestamp_seconds(F.lit(last)))
+    return kept.groupBy("strategy").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+
+
+@query("f7_prefilter_plan", "SELECT count(*) AS total, count(*) FILTER (lang = 'de') AS candidates, count(*) FILTER (lang = 'de') BETWEEN 1 AND 0.8 * count(*) AS worth FROM documents")
+def prefilter_plan(spark, sf_dir):
+    return L.prefilter_plan(table(spark, sf_dir, "documents"), F.col("lang") == "de")
+
+
+@query("f20_section_chunks", "SELECT doc_id FROM documents WHERE source = 'src1' OR lang IN ('de')")
+def section_chunk_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    kinds = d.select("doc_id", F.when(F.col("source") == "src1", "section_chunk").otherwise("chunk").alias("type"), F.when(F.col("lang") == "de", "section_part").otherwise("plain").alias("chunk_type"))
+    return L.section_chunks(kinds).select("doc_id")
 
 
 @query("s1_profile", "SELECT 'lang' AS column, count(*) FILTER (lang IS NULL) AS nulls, count(DISTINCT lang) AS distinct FROM documents UNION ALL SELECT 'source', count(*) FILTER (source IS NULL), count(DISTINCT source) FROM documents")
@@ -235,15 +346,11 @@ def log_windows(spark, sf_dir):
     return windowed(log(spark, sf_dir), "strategy")
 
 
-@query("log_windows_stream", WINDOWED)
+@query("log_windows_stream", f"SELECT * FROM ({WINDOWED}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def log_windows_stream(spark, sf_dir):
-    """The same windows over a stream of the events' files, run until all is read."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuslode-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The finished windows of a stream of the events' files, run until all is read: each is written once, and state behind the watermark goes."""
+    path = files.workspace(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir)
-    stats = windowed(entries(stream), "strategy")
-    run = stats.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    run = run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
-    run.awaitTermination()
+    to_parquet(windowed(entries(stream), "strategy"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out")

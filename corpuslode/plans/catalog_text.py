@@ -316,7 +316,7 @@ def title(spark, sf_dir):
 @query(
     "p15_document_id",
     f"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'deed_' || c_custkey WHEN 1 THEN 'land_' || c_nationkey
-        ELSE 'iland_' || substr(md5(substr(r_name, 1, 10) || '_' || substr(n_name, 1, 10) || '_' || substr(c_mktsegment, 1, 10)), 1, 12) END AS id FROM {CUSTOMERS}""",
+        ELSE 'doc_' || substr(md5(substr(r_name, 1, 10) || '_' || substr(n_name, 1, 10) || '_' || substr(c_mktsegment, 1, 10)), 1, 12) END AS id FROM {CUSTOMERS}""",
 )
 def document_id(spark, sf_dir):
     k = F.col("c_custkey")
@@ -464,9 +464,37 @@ def section_content(spark, sf_dir):
     return d.select("doc_id", F.md5(C.section_content(text, HEADERS["deed_info"])).alias("body_md5"), C.section_content(text, HEADERS["location"]).alias("place"))
 
 
-@query("c1_section_chunks")
+SENTENCES = rf"list_filter(list_transform(regexp_extract_all(text, '[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+'), lambda s: regexp_replace(s, {STRIP})), lambda s: s <> '')"
+
+
+@query(
+    "c1_section_chunks",
+    rf"""
+    WITH RECURSIVE t AS (SELECT doc_id, lang, source, '# x' || chr(10) || '## {HEADERS["deed_info"]}' || chr(10) || text || chr(10) || '## {HEADERS["location"]}' || chr(10) || source || chr(10) AS text FROM documents),
+    b AS (
+      SELECT doc_id, 0 AS place, 'deed_info' AS section, '{HEADERS["deed_info"]}' AS title, regexp_replace(split_part(split_part(text, '## {HEADERS["deed_info"]}', 2), '##', 1), {STRIP}) AS text FROM t
+      UNION ALL SELECT doc_id, 1, 'location', '{HEADERS["location"]}', regexp_replace(split_part(split_part(text, '## {HEADERS["location"]}', 2), '##', 1), {STRIP}) FROM t),
+    l AS (
+      SELECT doc_id, place, section, '## ' || title || chr(10) AS header, text, CASE WHEN length(text) > 1024 THEN 'section_part' ELSE 'section' END AS kind FROM b WHERE length(text) >= 50
+      UNION ALL SELECT doc_id, 0, 'full_document', '', text, 'fallback' FROM t WHERE doc_id NOT IN (SELECT doc_id FROM b WHERE length(text) >= 50)),
+    w AS (SELECT doc_id, place, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \t\n\v\f\r]+'))) AS w FROM (SELECT doc_id, place, {SENTENCES} AS s FROM l WHERE kind <> 'section')),
+    p AS (SELECT doc_id, place, s, w, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0)) AS p FROM w WHERE len(w) > 0),
+    -- chunks as runs of sentences: each goes on up to 512 words, and begins with place most 50 words of the one before where that fits
+    r AS (
+      SELECT doc_id, place, 0 AS no, 0::BIGINT AS a, coalesce(list_filter(range(1, len(w)), lambda x: p[x + 2] - p[1] > 512)[1], len(w)) AS b FROM p
+      UNION ALL
+      SELECT doc_id, place, no + 1, a2, coalesce(list_filter(range(b + 1, len(w)), lambda x: p[x + 2] - p[a2 + 1] > 512)[1], len(w))
+      FROM (SELECT *, CASE WHEN p[b + 1] - p[j + 1] + w[b + 1] <= 512 THEN j ELSE b END AS a2 FROM (
+        SELECT r.doc_id, r.place, r.no, r.b, p.p, p.w, list_filter(range(r.a, r.b + 1), lambda j: p.p[r.b + 1] - p.p[j + 1] <= 50)[1] AS j FROM r JOIN p USING (doc_id, place) WHERE r.b < len(p.w)))),
+    c AS (
+      SELECT doc_id, place, no, kind, section, length(l.text) AS size, header || array_to_string(s[a + 1:b], ' ') AS text FROM r JOIN p USING (doc_id, place) JOIN l USING (doc_id, place)
+      UNION ALL SELECT doc_id, place, 0, kind, section, length(text), header || text FROM l WHERE kind = 'section')
+    SELECT doc_id, 0 AS chunk_index, 'key_info' AS chunk_type, 'key_info' AS section, 0 AS sub_chunk_index, 1 AS total_sub_chunks, length(k)::INT AS section_size, k AS text
+    FROM (SELECT doc_id, CASE WHEN lang <> '' THEN 'ประเภท: ' || lang ELSE '{C.KEY_INFO_MISSING}' END AS k FROM t)
+    UNION ALL SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, no))::INT, kind, section, no::INT, (count(*) OVER (PARTITION BY doc_id, place))::INT, size::INT, text FROM c
+    """,
+)
 def section_chunks(spark, sf_dir):
-    """No SQL: large sections are packed sentence by sentence."""
     return C.section_chunks(with_headers(spark, sf_dir), HEADERS)
 
 
@@ -482,9 +510,6 @@ def cut_sections(spark, sf_dir):
     return C.cut_sections(with_headers(spark, sf_dir), HEADERS)
 
 
-SENTENCES = rf"list_filter(list_transform(regexp_extract_all(text, '[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+'), lambda s: regexp_replace(s, {STRIP})), lambda s: s <> '')"
-
-
 @query(
     "c5_sentence_windows",
     f"""

@@ -15,11 +15,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslode.functions.values import has_any, json_answer  # noqa: F401
 from corpuslode.functions.vectors import hash_vector
+from corpuslode.operators.stats import running
 
 # Strategies by reliability, and words in queries that favour some of them.
 PRIORITY = ("vector", "hybrid", "recursive", "chunk_decoupling", "planner", "metadata", "summary")
@@ -71,8 +72,9 @@ def strategy_column(query: Column, available: Sequence[str] = PRIORITY, rules=LA
 
 def round_robin(df: DataFrame, order: Sequence[str], strategies: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """K5: a counter for each index, so that each strategy takes its turn."""
-    turn = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % len(strategies)
-    return df.withColumn("turn", turn.cast("int")).withColumn("assigned", F.element_at(F.array(*map(F.lit, strategies)), F.col("turn") + 1))
+    turn = (F.col("turn") - 1) % len(strategies)
+    out = running(df, {"turn": F.lit(1)}, order, by).withColumn("turn", turn.cast("int"))
+    return out.withColumn("assigned", F.element_at(F.array(*map(F.lit, strategies)), F.col("turn") + 1))
 
 
 def parse_selection(answer: str, available: Sequence[str], query: str, rules=LAND_RULES) -> dict[str, Any]:

@@ -5,6 +5,8 @@ All reading and writing is Spark's, so any file system will do.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,19 @@ from pyspark.sql import functions as F
 from corpuslode.operators.metadata import content_types, extract_deed, extract_profile, truncate
 
 BATCH_FILES = 20
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or for a local session without one a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="corpuslode-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # What a snapshot's folder may be called.
 SNAPSHOT = "batch_ts"
 
@@ -48,16 +63,26 @@ def safe_name(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.trim(c), r"[^\p{L}\p{M}\p{N}_-]+", "_"), F.lit("")), F.lit("unknown"))
 
 
-def write_markdown(docs: DataFrame, path: str, group: str = "province") -> None:
-    """Documents as text, in a folder for each group."""
-    docs.select(safe_name(F.col(group)).alias("folder"), F.concat(F.col("text"), F.lit("\n")).alias("text")).write.partitionBy("folder").text(path)
+def write_markdown(docs: DataFrame, path: str, group: str = "province", id_col: str = "doc_id") -> None:
+    """Each document as a file of its own, in a folder for each group."""
+    name = safe_name(F.col(id_col).cast("string"))
+    docs.select(safe_name(F.col(group)).alias("folder"), name.alias("document"), "text").write.partitionBy("folder", "document").option("lineSep", "\n").text(path)
+
+
+def read_markdown_folders(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_markdown`` wrote: folder, document and text, without the line's end that closes a file."""
+    files = spark.read.text(f"{path}/*/*/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+    part = lambda name: F.url_decode(F.regexp_extract("p", rf"/{name}=([^/]*)/", 1)).alias(name)
+    return files.select(part("folder"), part("document"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def markdown_index(docs: DataFrame, group: str = "province", first: int = 10) -> DataFrame:
-    """Of each group its size and its first documents."""
+    """Of each group its size and its first documents; only these are put in order."""
     place = F.row_number().over(Window.partitionBy(group).orderBy("doc_id"))
-    d = docs.withColumn("i", place)
-    return d.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("i") <= first, F.struct("doc_id", truncate(F.col("text"), 80).alias("line"))))).alias("documents"))
+    some = docs.withColumn("i", place).where(F.col("i") <= first)
+    some = some.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("doc_id", truncate(F.col("text"), 80).alias("line")))).alias("documents"))
+    sizes = docs.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
+    return sizes.join(some, F.col("__g").eqNullSafe(F.col(group))).select(group, "n", "documents")
 
 
 def write_snapshot(embeddings: DataFrame, path: str, stamp: str) -> None:

@@ -57,25 +57,36 @@ def probe_encoding(spark: SparkSession, path: str, sample: int = 65_536) -> str:
     return "latin-1"
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """All columns as text unless a schema is given; rows that do not fit it have their line in ``_corrupt_record``."""
-    reader = spark.read.option("header", True).option("encoding", encoding or probe_encoding(spark, path)).option("multiLine", True).option("mode", "PERMISSIVE")
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line ends inside quotes, so that a record goes on in the next one; the lines are looked at by all tasks."""
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text unless a schema is given; rows that do not fit it have their line in ``_corrupt_record``.
+
+    Files are split among tasks unless records go over lines (``multi_line``; by default a look at the lines tells).
+    """
+    broken = has_broken_lines(spark, path) if multi_line is None else multi_line
+    reader = spark.read.option("header", True).option("encoding", encoding or probe_encoding(spark, path)).option("multiLine", broken).option("mode", "PERMISSIVE").option("escape", '"')
     if schema is None:
         return reader.csv(path)
     text = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return reader.schema(f"{text}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).option("escape", '"').csv(path)
+
+
 def profile(df: DataFrame, examples: int = 5) -> DataFrame:
-    """Of each column the nulls, the distinct values and a few examples, by one aggregation."""
+    """Of each column the nulls, the distinct values and a few examples; only these are ever put in order."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("p")
     counts = df.select(pairs).select("p.*").groupBy("column", "v").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("v").asc_nulls_last()))
-    counts = counts.withColumn("i", place)
-    return counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"),
-        F.array_sort(F.collect_list(F.when((F.col("i") <= examples) & F.col("v").isNotNull(), F.col("v")))).alias("examples"),
-    )
+    totals = counts.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"))
+    first = F.row_number().over(Window.partitionBy("column").orderBy("v"))
+    some = counts.where("v IS NOT NULL").withColumn("i", first).where(F.col("i") <= examples).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    return totals.join(some, "column", "left").withColumn("examples", F.coalesce("examples", F.expr("CAST(array() AS array<string>)")))
 
 
 def score_name(name: str) -> tuple[str, float]:

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,7 +112,7 @@ def test_row_to_document(spark):
     d = M.computed(M.map_columns(rows, config))
     r = d.select("*", M.render(d, config).alias("text"), M.document_id(d).alias("id")).first()
     assert (r["location_hierarchy"], r["area_total_sqm"], r["x"]) == ("Bangkok > Bang Kapi", 3200.0, None)
-    assert r["area_formatted"].startswith("2") and r["text"].startswith("#") and r["id"].startswith("iland_")
+    assert r["area_formatted"].startswith("2") and r["text"].startswith("#") and r["id"].startswith("doc_")
     assert r["search_text"] == "Bangkok > Bang Kapi | 2 ไร่ | โฉนดChanote | residential"
 
 
@@ -126,11 +130,85 @@ def test_sections(spark):
     assert [r["text"] for r in got if r["doc_id"] == 3] == [C.KEY_INFO_MISSING]
 
 
-def test_sentences():
-    assert C.split_sentences("A b. C!\n\nD") == ["A b.", "C!", "D"]
-    packed = C.pack_sentences("a b c. d e. f g h. i.", 5, 2)
-    assert packed == ["a b c. d e.", "d e. f g h.", "i."]
-    assert C.pack_sentences(None, 5, 2) == []
+def brute_pack(text, size, overlap):
+    """Sentence by sentence."""
+    found = [x.strip() for x in re.findall(r"[^.!?。\n]*[.!?。\n]+|[^.!?。\n]+", text or "") if x.strip()]
+    out, held = [], []
+    for s in found:
+        k = len(s.split())
+        if held and sum(len(h.split()) for h in held) + k > size:
+            out.append(" ".join(held))
+            tail = []
+            for t in reversed(held):
+                if sum(len(x.split()) for x in [t, *tail]) > overlap:
+                    break
+                tail.insert(0, t)
+            held = tail if sum(len(x.split()) for x in tail) + k <= size else []
+        held.append(s)
+    return out + [" ".join(held)] if held else out
+
+
+def test_packed_sentences(spark):
+    rng = random.Random(3)
+    texts = ["a b c. d e. f g h. i.", "", None, "one", " . . ", "A b. C!\n\nD", " ".join(rng.choice(["a", "b.", "c!", "dd\n"]) for _ in range(400))]
+    texts += [" ".join(rng.choice(["a", "b.", "c d e f g h i j."]) for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for size, overlap in ((5, 2), (12, 4), (3, 3), (1000, 5)):
+        got = {r["i"]: r["p"] for r in df.select("i", C.packed(F.col("text"), size, overlap).alias("p")).collect()}
+        for i, t in enumerate(texts):
+            assert (got[i] or []) == brute_pack(t, size, overlap), (t, size, overlap)
+    assert brute_pack(texts[0], 5, 2) == ["a b c. d e.", "d e. f g h.", "i."]
+
+
+def test_section_chunks_need_no_shuffle(spark):
+    d = spark.createDataFrame([(1, "## A\ntext")], "doc_id long, text string")
+    plan = C.section_chunks(d, {"a": "A"})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1 and "Python" not in plan
+
+
+def test_running_values_in_buckets(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["x", "x", "y", None]), rng.choice([None, *map(float, range(9))])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, g string, v double")
+    one = A.running_mean(df, "v", ["i"], ["g"])
+    many = A.running_mean(df, "v", ["i"], ["g"], rows=40)
+    assert one.columns == many.columns and sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+    count = {r["i"]: r["n"] for r in A.running(df, {"n": F.lit(1)}, ["i"], ["g"], rows=7).collect()}
+    seen = {}
+    for i, g, _ in rows:
+        seen[g] = seen.get(g, 0) + 1
+        assert count[i] == seen[g]
+    assert A.running(df.limit(0), {"n": F.lit(1)}, ["i"]).count() == 0
+
+
+def test_search_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(R, "PACK", 7)
+    rng = random.Random(2)
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]
+    nodes = [(i, vector()) for i in range(60)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, 2.0]), (103, [])]
+    asked = [(f"q{i}", vector()) for i in range(9)] + [("none", None), ("zero", [0.0] * 3)]
+    n, q = spark.createDataFrame(nodes, "node_id long, embedding array<double>"), spark.createDataFrame(asked, "query_id string, vector array<double>")
+
+    def cos(a, b):
+        norm = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else None
+
+    want = set()
+    for name, v in asked:
+        s = sorted((-round(c, 6), i) for i, e in nodes if v and e and len(e) == 3 and (c := cos(v, e)) is not None)[:4]
+        want |= {(name, i, -c, r + 1) for r, (c, i) in enumerate(s)}
+    for limit in (1 << 23, 0):
+        monkeypatch.setattr(R, "BROADCAST_VALUES", limit)
+        got = {(r["query_id"], r["node_id"], r["score"], r["rank"]) for r in R.search_many(n, q, 4).collect()}
+        assert {(a, b, d) for a, b, _, d in got} == {(a, b, d) for a, b, _, d in want}
+    assert R.search_many(n.limit(0), q).count() == 0
+
+
+def test_lexical_topk_is_filled_up(spark):
+    d = spark.createDataFrame([(1, "x y"), (2, None), (3, "a b"), (4, "A"), (5, "z")], "node_id long, text string")
+    q = spark.createDataFrame([(1, "a B a"), (2, ""), (3, "x")], "query_id long, query string")
+    got = sorted((r["query_id"], r["rank"], r["node_id"], r["score"]) for r in R.lexical_topk(d, q, 3).collect())
+    assert got == [(1, 1, 3, 1.0), (1, 2, 4, 0.85), (1, 3, 1, 0.7), (2, 1, 1, 0.7), (2, 2, 2, 0.7), (2, 3, 3, 0.7), (3, 1, 1, 1.0), (3, 2, 2, 0.7), (3, 3, 3, 0.7)]
 
 
 def test_windows(spark):
