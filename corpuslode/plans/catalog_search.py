@@ -465,7 +465,7 @@ def decoupled_search(spark, sf_dir):
 @query(
     "z26_chunk_strategies",
     f"""{WINDOW_SEARCH}, h AS ({" UNION ALL ".join(f"SELECT '{t}' AS strategy, * FROM {searched(t, 10)}" for t in ("chunk", "sentence", "summary"))})
-    SELECT strategy, count(*) AS n, count(DISTINCT doc_id) AS documents, max(score) AS best, round(avg(score), 6) AS mean_score, sum(length(coalesce(window_text, text)))::BIGINT AS characters FROM h GROUP BY strategy""",
+    SELECT strategy, count(*) AS n, count(DISTINCT doc_id) AS documents, max(score) AS best, sum(CAST(round(score * 1000000) AS BIGINT))::BIGINT AS score_millionths, sum(length(coalesce(window_text, text)))::BIGINT AS characters FROM h GROUP BY strategy""",
 )
 def chunk_strategies(spark, sf_dir):
     """What the same question finds by chunks, by sentence windows and by summaries."""
@@ -473,7 +473,7 @@ def chunk_strategies(spark, sf_dir):
     found = {t: R.in_windows(nearest(rows.where(F.col("type") == t), asked, 10)).select("node_id", "doc_id", "text", "score") for t in ("chunk", "sentence", "summary")}
     h = union_strategies(found)
     return h.groupBy("strategy").agg(
-        F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.max("score").alias("best"), F.round(F.avg("score"), 6).alias("mean_score"), F.sum(F.length("text")).alias("characters")
+        F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.max("score").alias("best"), F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("score_millionths"), F.sum(F.length("text")).alias("characters")
     )
 
 
