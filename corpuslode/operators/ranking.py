@@ -177,6 +177,11 @@ def fuse(lists: DataFrame, method: str = "rrf", k: int = TOP_K, weights: dict[st
     return top(found, k)
 
 
+def union_of_queries(hits: DataFrame, k: int = TOP_K) -> DataFrame:
+    """What several sub-queries found (node_id, score), each node once with its best score, cut to the k best of all."""
+    return top(hits.groupBy("node_id").agg(F.max("score").alias("score")), k)
+
+
 def overlaps(lists: DataFrame) -> DataFrame:
     """Of each pair of lists the number of nodes in both."""
     a, b = lists.select(F.col("list").alias("list_a"), "node_id"), lists.select(F.col("list").alias("list_b"), "node_id")

@@ -169,24 +169,50 @@ def log_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "success_rate", F.round(F.expr("try_divide(100.0D * success, total)"), 1))
 
 
-def log_latency(log: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """Mean, median, 95th percentile (the value at place n * 0.95 of the sorted ones), least and largest latency.
+def ordered_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Different values of a column with their number k, the number of rows up to them (upto) and of all (n), for each group.
 
-    Equal latencies are counted first, in every task, so that the ordered
-    window of a group holds its different values and not its entries.
+    Equal values are counted first, in every task; running sums are in buckets, so no task holds a whole group.
     """
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("k"))
+    totals = counts.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.sum("k").alias("n"))
+    rows = running(counts, {"upto": F.col("k")}, [column], by)
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+    rows = rows.join(totals, reduce(lambda x, y: x & y, same)) if same else rows.crossJoin(F.broadcast(totals))  # one row
+    return rows.select(*by, column, "k", "upto", "n")
+
+
+def _at(column: str, place: Column) -> Column:
+    """The value at a place of the ordered rows, counted from zero."""
+    return F.min(F.when(F.col("upto") > place, F.col(column)))
+
+
+def _median(column: str) -> Column:
+    return (_at(column, F.floor((F.col("n") - 1) / 2)) + _at(column, F.floor(F.col("n") / 2))) / 2
+
+
+def log_latency(log: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Mean, median, 95th percentile (the value at place n * 0.95 of the sorted ones), least and largest latency."""
     c = F.col("latency_ms")
-    counts = log.where(c > 0).groupBy(*by, "latency_ms").agg(F.count("*").alias("k"))
-    order = Window.partitionBy(*by).orderBy(c)
-    rows = counts.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy(*by)))
-    at = lambda place: F.min(F.when(F.col("upto") > place, c))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    rows = ordered_counts(log.where(c > 0), "latency_ms", by)
     return rows.groupBy(*by).agg(
-        F.sum("k").alias("n_entries"), F.round(F.sum(hundredths(c) * F.col("k")) / F.sum("k") / 100, digits).alias("mean_ms"), F.round(middle, digits).alias("median_ms"),
-        at(F.floor(F.col("n") * 0.95)).alias("p95_ms"), F.min(c).alias("min_ms"), F.max(c).alias("max_ms"),
+        F.sum("k").alias("n_entries"), F.round(F.sum(hundredths(c) * F.col("k")) / F.sum("k") / 100, digits).alias("mean_ms"), F.round(_median("latency_ms"), digits).alias("median_ms"),
+        _at("latency_ms", F.floor(F.col("n") * 0.95)).alias("p95_ms"), F.min(c).alias("min_ms"), F.max(c).alias("max_ms"),
     ).withColumnRenamed("n_entries", "n")
 
 
+def median_cost(log: DataFrame, by: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """The median cost of the entries with tokens."""
+    used = log.where((F.col("prompt_tokens") > 0) | (F.col("completion_tokens") > 0))
+    cost = F.round(token_cost(F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0))), digits)
+    return ordered_counts(used.withColumn("cost", cost), "cost", by).groupBy(*by).agg(F.round(_median("cost"), digits + 1).alias("median_cost"))
+
+
+def most_frequent(log: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values of a column, those without one left out; ties go by value."""
+    return log.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def log_costs(log: DataFrame, by: Sequence[str] = (), digits: int = 9) -> DataFrame:
     """Sum and mean cost of the entries with tokens; tokens are summed whole."""
     used = log.where((F.col("prompt_tokens") > 0) | (F.col("completion_tokens") > 0))

@@ -477,6 +477,43 @@ def chunk_strategies(spark, sf_dir):
     )
 
 
+@query(
+    "r10_semantic_and_keyword",
+    f"""WITH d AS (SELECT doc_id AS id, text FROM documents), b AS (SELECT item_id AS id, text FROM benchmark ORDER BY item_id LIMIT 1), {hashed_sql("e", "d")}, {hashed_sql("q", "b")},
+    {WEIGHTS_SQL.replace("    d AS (", "    wd AS (").replace("FROM d)", "FROM wd)")},
+    asked AS (SELECT id AS query_id, unnest({TOKENS}) AS term FROM b),
+    near AS (SELECT e.id AS node_id, round(list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]), 6) AS score FROM e, q WHERE list_sum(list_transform(e.v, lambda x: x * x)) > 0),
+    semantic AS (SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM near QUALIFY rank <= 20),
+    keyword AS (SELECT node_id, score, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM (SELECT node_id, round(sum(tf * idf), 8) AS score FROM asked JOIN c USING (term) JOIN f USING (term) GROUP BY node_id) QUALIFY rank <= 20),
+    u AS (SELECT node_id, rank FROM semantic UNION ALL SELECT node_id, rank FROM keyword)
+    SELECT node_id, score, row_number() OVER (ORDER BY score DESC, node_id)::INT AS rank FROM (SELECT node_id, round(sum(1 / (60 + rank)), 9) AS score FROM u GROUP BY node_id) QUALIFY rank <= 10""",
+)
+def semantic_and_keyword(spark, sf_dir):
+    """Nearest by vector and best by keyword, fused by their ranks."""
+    embed = embedder()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    semantic = R.search_many(docs.select("node_id", embed(F.col("text")).alias("embedding")), asked.select("query_id", embed(F.col("query")).alias("vector")), 20)
+    found = R.keyword_search(docs, asked, 20)
+    both = semantic.select(F.lit("semantic").alias("list"), "node_id", "rank").union(found.select(F.lit("keyword").alias("list"), "node_id", "rank"))
+    return R.fuse(both, "rrf", 10)
+
+
+@query(
+    "r22_multi_query",
+    """
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+               FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+    h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5)
+    SELECT node_id, max(score) AS score, row_number() OVER (ORDER BY max(score) DESC, node_id)::INT AS rank FROM h GROUP BY node_id QUALIFY rank <= 10
+    """,
+)
+def multi_query(spark, sf_dir):
+    """The hits of several sub-queries, once each, cut to the best of all."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.union_of_queries(R.search_many(nodes(spark, sf_dir), asked), 10)
+
+
 @query("k5_round_robin", "SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) % 3)::INT AS turn FROM events")
 def round_robin(spark, sf_dir):
     return take_turns(table(spark, sf_dir, "events"), ["event_id"], ["vector", "hybrid", "summary"], ["event_type"]).select("event_id", "turn")

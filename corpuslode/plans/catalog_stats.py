@@ -151,6 +151,25 @@ def top_strategies(spark, sf_dir):
     return A.top_values(log(spark, sf_dir), "strategy", 5)
 
 
+@query("a11_top_indexes", f"SELECT index, count(*) AS n FROM {LOG} GROUP BY 1 ORDER BY n DESC, index LIMIT 5")
+def top_indexes(spark, sf_dir):
+    return A.most_frequent(log(spark, sf_dir), "index", 5)
+
+
+@query("a11_top_errors", f"SELECT error, count(*) AS n FROM {LOG} WHERE error IS NOT NULL GROUP BY 1 ORDER BY n DESC, error LIMIT 3")
+def top_errors(spark, sf_dir):
+    return A.most_frequent(log(spark, sf_dir), "error", 3)
+
+
+@query(
+    "a11_median_cost",
+    f"""SELECT strategy, round(median(c), 10) AS median_cost FROM (
+        SELECT strategy, round(coalesce(prompt_tokens, 0) / 1000 * 0.00015 + coalesce(completion_tokens, 0) / 1000 * 0.0006, 9)::DOUBLE AS c FROM {LOG} WHERE prompt_tokens > 0 OR completion_tokens > 0) GROUP BY strategy""",
+)
+def median_cost(spark, sf_dir):
+    return A.median_cost(log(spark, sf_dir), ["strategy"])
+
+
 @query("a12_token_cost", f"SELECT event_id, round(prompt_tokens / 1000 * 0.00015 + completion_tokens / 1000 * 0.0006, 9) AS cost FROM {LOG}")
 def token_costs(spark, sf_dir):
     return log(spark, sf_dir).select("event_id", F.round(token_cost(F.col("prompt_tokens"), F.col("completion_tokens")), 9).alias("cost"))
