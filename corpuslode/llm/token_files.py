@@ -127,14 +127,13 @@ class Encoder:
         found = list(map(cache.get, parts))
         found[0] = head
         if None in found:
-            if len(cache) + len(parts) > self.most:
+            new = [i for i, f in enumerate(found) if f is None]
+            if len(cache) + len(new) > self.most:
+                # those of this text are held in ``found``
                 cache.clear()
-            self.learn([p for p, f in zip(parts, found, strict=True) if f is None])
-            found = list(map(cache.get, parts))
-            found[0] = head
-            if None in found:  # the cache was emptied
-                self.learn(parts[1:])
-                found = [head, *map(cache.__getitem__, parts[1:])]
+            self.learn([parts[i] for i in new])
+            for i in new:
+                found[i] = cache[parts[i]]
         found.append(self.end)
         return b"".join(found)
 
