@@ -29,11 +29,14 @@ fingerprints of 48 bits of its different words (an edit changes one word, but
 five shingles), a pair within three bits in any of them is a candidate, and each
 candidate is then decided exactly by its shingle sets: nothing else goes, but a
 pair that differs in one long run of words may be missed. Texts of equal words are
-one node, so exact copies never meet. Under a hot entry each node first meets
-``STARS`` of the entry's nodes; what these links join is known before the groups
-are compared, and there only pairs of different components become candidates.
-The sets of candidates travel once for each pair of bounded groups of texts,
-never once for each pair of texts.
+one node, so exact copies never meet. Nodes of one exact entry first meet that
+entry's first node, and what this joins looks things up as one. The candidate
+components that come out are then decided, each in one place: its shingle sets
+travel there once, and pairs that are within three bits and not joined yet are
+compared, the texts with most neighbours first, so that a large group of copies
+costs little more than its size. A component of more than ``CELL`` shingles is
+dealt into groups: each is decided within itself and with one text of all, and
+then the texts that are still apart meet every group.
 
 Rows have a key of their own in ``keep_one``: exactly one row of each component
 stays, that of the smallest id, null ids last, whether ids repeat or are null,
@@ -69,15 +72,15 @@ BLOCK = 2048
 #: Hot entries that are broadcast at most.
 FEW_ENTRIES = 200_000
 #: Row keys that are broadcast at most.
-FEW_ROWS = 2_000_000
+FEW_ROWS = 500_000
 #: Words of a shingle and Jaccard similarity, in per cent, of texts that ``keep_one`` joins.
 WORDS, SIMILARITY = 5, 80
 #: Fingerprints of a text for ``keep_one``, and bits of a segment of theirs.
 RINGS, RING_WIDTH = 4, 12
-#: Nodes of a hot entry that all others of it meet first.
-STARS = 2
 #: Shingles in a group of texts that are compared in one task.
-CELL = 1 << 18
+CELL = 1 << 19
+#: What a text counts beside its shingles there.
+NODE = 64
 
 _LOW = 2 * RING_WIDTH + 4  # bits of an index entry behind its key
 
@@ -276,95 +279,156 @@ def _index(nodes: DataFrame, forms: int) -> DataFrame:
     return prints.select("node", F.explode(F.array(*[entry(i, f) for i in range(SEGMENTS) for f in range(forms)])).alias("at"))
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Pairs (a, b) of nodes with a chain in a ring: of entries that few share all, of the hot ones those with the entry's stars.
+def _near(f: str, g: str) -> Column:
+    """Whether two entries of one key have a chain: the first three segments within two bits, all within three. Only f may be in another form."""
+    x, first = F.col(f).bitwiseXOR(F.col(g)), (F.col(f).bitwiseAND(F.lit(15)) > 0).cast("int")
+    segment = lambda at: F.bit_count(F.shiftright(x, at).bitwiseAND((1 << RING_WIDTH) - 1))
+    third, fourth = segment(4 + RING_WIDTH), segment(4)
+    return (first + third <= DISTANCE * 3 // SEGMENTS) & (first + third + fourth <= DISTANCE)
 
-    Beside them the hot entries and those who look there, for what the stars leave apart.
-    """
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """node and part: components of nodes (node, prints) with a chain in some ring, those of one node left out."""
     key = F.shiftright("at", _LOW)
-    entries = _index(nodes, 1).withColumn("key", key)
+    # nodes of one exact entry meet its first one: what this joins is one node for the rest, so a large group is looked up once
+    entries = cut(_index(nodes, 1).withColumn("key", key), "copies-entries")
+    star = entries.groupBy("key").agg(F.min(F.struct("node", "at")).alias("s"), F.count("*").alias("n")).where("n > 1")
+    met = entries.join(star.select("key", F.col("s.node").alias("a"), F.col("s.at").alias("g")), "key")
+    first = components(met.where((F.col("node") != F.col("a")) & _near("at", "g")).select("a", F.col("node").alias("b")))
+    joined = nodes.join(first.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    joined = cut(joined.select("node", F.coalesce("component", "node").alias("of"), "prints"), "copies-joined")
+
+    whole = joined.select(F.col("of").alias("node"), "prints")
+    entries = _index(whole, 1).distinct().withColumn("key", key)
     entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key"), "copies-index")
-    asked = _index(nodes, RING_WIDTH + 1)
-    many = max(HOT, 8 * nodes.count() >> 2 * RING_WIDTH)  # a key of 2 * RING_WIDTH bits that is no exception in a large table either
-
-    def near(f: str, g: str) -> Column:
-        """The rest of the chain: the first three segments within two bits, all within three."""
-        x, first = F.col(f).bitwiseXOR(F.col(g)), (F.col(f).bitwiseAND(F.lit(15)) > 0).cast("int")
-        segment = lambda at: F.bit_count(F.shiftright(x, at).bitwiseAND((1 << RING_WIDTH) - 1))
-        third, fourth = segment(4 + RING_WIDTH), segment(4)
-        return (first + third <= DISTANCE * 3 // SEGMENTS) & (first + third + fourth <= DISTANCE)
-
-    few = entries.where((F.col("n") > 1) & (F.col("n") <= many)).select("key", F.col("node").alias("b"), F.col("at").alias("g"))
-    few = asked.select(F.col("node").alias("a"), F.col("at").alias("f")).join(few.hint("merge"), F.shiftright("f", _LOW) == F.col("key"))
-    few = few.where((F.col("a") < F.col("b")) & near("f", "g")).select("a", "b")
+    asked = _index(whole, RING_WIDTH + 1)
+    many = max(HOT, 8 * whole.count() >> 2 * RING_WIDTH)  # a key of 2 * RING_WIDTH bits that is no exception in a large table either
+    few = entries.where(F.col("n") <= many).select("key", F.col("node").alias("b"), F.col("at").alias("g"))
+    few = asked.select(F.col("node").alias("a"), F.col("at").alias("f")).join(few.hint("merge"), (F.shiftright("f", _LOW) == F.col("key")) & (F.col("a") < F.col("b")) & _near("f", "g"))
+    links = few.select("a", "b")
     hot = entries.where(F.col("n") > many)
     keys, some = _hot(hot)
-    if not some:
-        return few, None, None
-    guests = cut(asked.withColumn("key", key).join(keys, "key").select("key", "n", "node", "at"), "copies-guests")
-    stars = hot.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "at")) for i in range(STARS)]).alias("s"))
-    stars = stars.select("key", F.explode("s").alias("s")).select("key", F.col("s.node").alias("b"), F.col("s.at").alias("g"))
-    met = guests.select("key", F.col("node").alias("a"), F.col("at").alias("f")).join(stars, "key").where(F.col("a") != F.col("b")).where(near("f", "g"))
-    return few.union(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), hot.select("key", "n", "node", "at"), guests
+    if some:
+        guests = asked.distinct().withColumn("key", key).join(keys, "key").select("key", "n", "node", "at")
+        met = _blocks(hot.select("key", "n", "node", "at"), guests, "at")
+        links = links.union(met.groupBy("key", "p", "q").applyInPandas(_forest_of_entries, "a long, b long"))
+    second = components(links).select(F.col("node").alias("from"), F.col("component").alias("to"))
+    parts = joined.join(second, F.col("of") == F.col("from"), "left").select("node", F.coalesce("to", "of").alias("part"))
+    several = parts.groupBy("part").count().where("count > 1").select("part")
+    return cut(parts.join(several, "part").select("node", "part"), "copies-parts")
+
+
+def _forest_of_entries(p: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of a hot entry and those who look there: enough of them to join what they join."""
+    mine, theirs = p[p["own"]], p[~p["own"]]
+    node, at = theirs["node"].to_numpy(), theirs["at"].to_numpy()
+    first, rest, low = (at & 15 > 0).astype(np.uint8), at >> 4, (1 << (_LOW - 4)) - 1
+    group, out = dict.fromkeys([*mine["node"].tolist(), *node.tolist()]), []
 
+    def root(x: int) -> int:
+        while (up := group[x]) is not None:
+            x = up
+        return x
 
-def _apart(hot: DataFrame, guests: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs within DISTANCE under hot entries whose nodes are in different components."""
-    part = lambda df: df.join(parts, df["node"] == parts["member"], "left").select("key", "n", "node", "at", F.coalesce("component", "node").alias("part"))
+    for x, f in zip(mine["node"].tolist(), (mine["at"].to_numpy() >> 4).tolist(), strict=True):
+        for y in np.unique(node[first + np.bitwise_count((rest ^ f) & low) <= DISTANCE]).tolist():
+            if (r := root(x)) != (s := root(y)):
+                group[max(r, s)] = min(r, s)
+                out.append((x, y))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    def compare(p: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = p[p["own"]], p[~p["own"]]
-        node, at, of = theirs["node"].to_numpy(), theirs["at"].to_numpy(), theirs["part"].to_numpy()
-        first, at, low = (at & 15 > 0).astype(np.uint8), at >> 4, (1 << (_LOW - 4)) - 1
-        found = []
-        for x, f, c in zip(mine["node"].tolist(), (mine["at"].to_numpy() >> 4).tolist(), mine["part"].tolist(), strict=True):
-            y = node[(of != c) & (first + np.bitwise_count((at ^ f) & low) <= DISTANCE)]
-            found.append(np.stack([np.minimum(y, x), np.maximum(y, x)], axis=1))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    # an entry all of whose visitors are in one component has nothing left to compare
-    guests, hot = part(guests), part(hot)
-    several = guests.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    met = _blocks(hot.join(several, "key"), guests.join(several, "key"), "node")
-    return met.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+def _checked(mine: pd.DataFrame, theirs: pd.DataFrame, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what similar pairs of ``mine`` and ``theirs`` join, beyond ``label``, the component of each of ``theirs``.
+
+    Rows (row, prints, set, label) within DISTANCE in a ring are compared by their sets, the rows with most neighbours first, and no
+    pair that is joined already.
+    """
+    prints, sets, rows = np.stack(theirs["prints"].to_numpy()), theirs["set"].tolist(), theirs["row"].tolist()
+    sizes = np.array([len(x) for x in sets])
+
+    def near(p: np.ndarray, n: int) -> np.ndarray:
+        close = (np.bitwise_count((prints ^ p).view(np.uint64)) <= DISTANCE).any(axis=1)
+        return close & (100 * np.minimum(sizes, n) >= SIMILARITY * np.maximum(sizes, n))
+
+    own = list(zip(mine["row"].tolist(), mine["prints"], mine["set"], mine["label"].tolist(), strict=True))
+    order = np.argsort([-int(near(p, len(s)).sum()) for _, p, s, _ in own], kind="stable")
+    out, now = [], {x: x for x in set(label.tolist()) | {c for *_, c in own}}
+    for i in order.tolist():
+        row, p, x, c = own[i]
+        c = now[c]
+        for j in np.flatnonzero(near(p, len(x)) & (label != c)).tolist():
+            if label[j] == c:
+                continue
+            y = sets[j]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= SIMILARITY * (len(x) + len(y) - both):
+                out.append((row, rows[j]))
+                gone = label[j]
+                label[label == gone] = c
+                now = {k: c if v == gone else v for k, v in now.items()} if len(now) < 64 else _renamed(now, gone, c)
+    return out
+
+
+def _renamed(now: dict[int, int], gone: int, c: int) -> dict[int, int]:
+    for k, v in now.items():
+        if v == gone:
+            now[k] = c
+    return now
 
 
-def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) of rows those whose shingle sets have the similarity; the sets travel by groups of at most about CELL shingles."""
+def _alike(nodes: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) of similar texts within each candidate component; a shingle set travels once, but for components above CELL."""
     spark = rows.sparkSession
-    pairs = cut(pairs.distinct(), "copies-pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [shingles(_words(t)).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["row", "n", "set"])
+            columns = [b.column("row"), b.column("part"), b.column("prints"), pa.array([len(x) + NODE for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "part", "prints", "n", "set"])
 
-    asked = cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "copies-asked")
+    asked = cut(parts.join(nodes, "node").select(F.col("node").alias("row"), "part", "prints"), "copies-asked")
     asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked  # so that the texts are not shuffled
-    held = rows.select("row", "text").join(asked, "row", "left_semi").mapInArrow(sets, "row long, n int, set array<long>")
-    held = cut(held.withColumn("size", F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")), "copies-sets")
-    counts = held.groupBy("size").count().collect()  # a row per power of two
-    groups = spark.createDataFrame([(r["size"], -(-(r["count"] << (r["size"] + 1)) // CELL)) for r in counts], "size int, groups long")
-    group = F.shiftleft(F.col("size").cast("long"), 48) + F.pmod(F.xxhash64("row"), F.col("groups"))
-    held = held.join(F.broadcast(groups), "size").select("row", "set", group.alias("group"))
-    one, other = held.select(F.col("row").alias("a"), F.col("group").alias("g")), held.select(F.col("row").alias("b"), F.col("group").alias("h"))
-    placed = cut(pairs.join(one, "a").join(other, "b"), "copies-placed")
-    need = placed.select("g", "h", F.col("a").alias("row")).union(placed.select("g", "h", "b")).distinct().join(held, "row").select(F.col("g").alias("k"), F.col("h").alias("l"), "row", "set")
-
-    def check(p: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(sets["row"], sets["set"], strict=True))
-
-        def alike(a: int, b: int) -> bool:
-            x, y = of[a], of[b]
-            if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
-                return False
-            c = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * c >= SIMILARITY * (len(x) + len(y) - c)
-
-        return p.loc[[alike(a, b) for a, b in zip(p["a"], p["b"], strict=True)], ["a", "b"]]
+    held = cut(rows.select("row", "text").join(asked, "row").select("row", "part", "prints", "text").mapInArrow(sets, "row long, part long, prints array<long>, n long, set array<long>"), "copies-sets")
+    sizes = cut(held.groupBy("part").agg(F.sum("n").alias("n"), F.min("row").alias("center")), "copies-sizes")
+    cells = -(-(sizes.agg(F.sum("n")).first()[0] or 1) // CELL)
+    large = sizes.where(F.col("n") > CELL).select("part", "center", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    kind = "a long, b long"
+
+    def within(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in p.drop_duplicates("row").groupby("part"):
+            one = one.assign(label=np.arange(len(one)))
+            out += _checked(one, one, one["label"].to_numpy().copy())
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    small = held.join(F.broadcast(large), "part", "left_anti").withColumn("cell", F.pmod(F.xxhash64("part"), F.lit(cells)))
+    links = small.groupBy("cell").applyInPandas(within, kind)
+    if large.isEmpty():
+        return cut(links, "copies-links")
+
+    # a component of several groups: each group within itself and with one text of all, then what is still apart with every group
+    dealt = held.join(F.broadcast(large), "part")  # at most one row per CELL shingles
+    block = F.pmod(F.xxhash64("row"), F.col("k")).cast("int")
+    inside = dealt.withColumn("g", block).unionByName(dealt.where("row = center").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("k") - 1))))
+    links = cut(links.union(inside.groupBy("part", "g").applyInPandas(within, kind)), "copies-links")
+    found = components(links).withColumnRenamed("node", "member")
+    dealt = dealt.join(found, F.col("row") == F.col("member"), "left").withColumn("label", F.coalesce("component", "row")).drop("member", "component")
+    main = dealt.groupBy("part", "label").agg(F.count("*").alias("c")).groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    dealt = cut(dealt.join(F.broadcast(main), "part"), "copies-dealt")  # a row per large component
+    away = dealt.where("label != main")
+    k = away.groupBy("part").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("j"))
+    dealt = dealt.join(F.broadcast(k), "part")
+    one = dealt.where("label != main").withColumn("p", F.pmod(F.xxhash64("row"), F.col("j")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("own", F.lit(True))
+    other = dealt.withColumn("q", block).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("j") - 1))).withColumn("own", F.lit(False))
+
+    def between(p: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = p[p["own"]], p[~p["own"]]
+        out = _checked(mine, theirs, theirs["label"].to_numpy().copy()) if len(mine) and len(theirs) else []
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return cut(placed.groupBy("g", "h").cogroup(need.groupBy("k", "l")).applyInPandas(check, "a long, b long"), "copies-links")
+    more = one.unionByName(other).groupBy("part", "p", "q").applyInPandas(between, kind)
+    return cut(links.union(more), "copies-links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,13 +439,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         whole = cut(docs.withColumn(key, F.monotonically_increasing_id()), "copies-rows", keep=True)
         rows = whole.select(F.col(key).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         nodes = cut(_nodes(rows), "copies-nodes")
-        met, hot, guests = _candidates(nodes)
-        found = _alike(met, rows)
-        parts = components(found)
-        if hot is not None:
-            found = found.union(_alike(_apart(hot, guests, parts.withColumnRenamed("node", "member")), rows))
-            parts = components(found)
-        ranked = nodes.select("node", "rank").join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        ranks, nodes = nodes.select("node", "rank"), nodes.select("node", "prints")
+        found = components(_alike(nodes, _candidates(nodes), rows)).withColumnRenamed("node", "member")
+        ranked = ranks.join(found, F.col("node") == F.col("member"), "left")
         stay = ranked.groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("rank").alias("rank"))
         stay = cut(stay.select(F.col("rank.row").alias(key)), "copies-stay", keep=True)
     return whole.join(stay, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
