@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Words that the keyword index leaves out.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did "
-    "will would could should may might can this that these those"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those",
+)
 MIN_LENGTH = 3
 # Terms that count as keywords wherever they occur.
 DEED_KEYWORDS = ("ที่ดิน", "โฉนด", "นส3", "นส4", "ส.ค.1", "อำเภอ", "ตำบล", "จังหวัด")
