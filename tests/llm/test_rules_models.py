@@ -1,10 +1,16 @@
+import bisect
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from comparing import connect, rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from corpuslode.llm import language, quality_model, quality_rules
+from corpuslode.llm.common import below, share
 from corpuslode.llm.queries import ORACLES, QUERIES
 
 
@@ -76,6 +82,69 @@ def test_op4_held_out(spark, sf_dir, docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_language(m, text):
+    """Word by word and letter by letter, without caches or matrices."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(m.languages)
+    for w in words:
+        if w in m.words:
+            logs = [m.word_logs[m.words[w]]]
+        else:
+            s, logs = f"^{w}$", []
+            for i in range(len(s)):
+                n = next((n for n in (4, 3, 2, 1) if i + n <= len(s) and s[i : i + n] in m.grams), None)
+                if n:
+                    logs.append(m.gram_logs[m.grams[s[i : i + n]]])
+        for k in range(len(total)):
+            total[k] += sum(x[k] for x in logs) / max(len(logs), 1)
+    best = max(range(len(total)), key=lambda k: (total[k], -k))
+    return m.languages[best], 1 / sum(math.exp(min(t - total[best], 0)) for t in total)
+
+
+def test_op4_query_brute(spark, sf_dir, docs):
+    """Languages and scores of the whole query from the model's tables; the tables from counts over the learning rows."""
+    rows = docs.collect()
+    learn = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
+    model = language.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    counts = Counter((r["lang"], w) for r in learn for w in re.findall(r"[^\W\d_]+", r["text"].lower()))
+    assert model.languages == sorted({r["lang"] for r in learn}) and set(model.words) == {w for _, w in counts}
+    own = [sum(n + 0.0 for (lang, _), n in counts.items() if lang == x) + 0.5 * len(model.words) for x in model.languages]
+    for (lang, w), n in list(counts.items())[:2000]:
+        k = model.languages.index(lang)
+        assert model.word_logs[model.words[w], k] == pytest.approx(math.log((n + 0.5) / own[k]))
+    got = {r["doc_id"]: r for r in QUERIES["op4_language"](spark, sf_dir).collect()}
+    for r in rows:
+        lang, score = brute_language(model, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_op9_query_brute(spark, sf_dir, docs):
+    """Scores of the whole query, bin by bin from the model's tables."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    m = quality_model.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op9_quality_model"](spark, sf_dir).collect()}
+    for r in docs.collect():
+        x = quality_model.features(r["text"])
+        z = m.base + sum(float(t[bisect.bisect_right(e.tolist(), v)]) for e, t, v in zip(m.edges, m.tables, x, strict=True))
+        for (f, g), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += float(t[bisect.bisect_right(m.pair_edges[f].tolist(), x[f]), bisect.bisect_right(m.pair_edges[g].tolist(), x[g])])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+@pytest.mark.parametrize("n", [20_001, 10**9, 10**11, 10**15])
+def test_share_of_any_table(n):
+    """A share is never empty by rounding: its threshold is as far above the least hash as it should be."""
+    assert (below(20_000, n) + (1 << 63)) / 2**64 == pytest.approx(20_000 / n, rel=1e-3) and below(20_000, n) > -(1 << 63)
+
+
+def test_share_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(7, f"text {i}") for i in range(4000)], "id long, text string")
+    assert 50 < share(rows, 100, F.col("id"), F.col("text")).count() < 200
+    assert share(rows, 4000, F.col("id")).count() == 4000
+
+
 def test_op4_odd(odd, nothing):
     model = language.fit(odd)
     got = language.predict(odd, model).collect()
