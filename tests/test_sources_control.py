@@ -34,7 +34,10 @@ def test_name_scores():
 def test_markdown(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "# A\nProvince: Bangkok", "Bangkok", {"province": "Bangkok"}), ("d2", "# B", None, {})], "doc_id string, text string, province string, metadata map<string,string>")
     S.write_markdown(docs, str(tmp_path / "md"))
-    back = S.read_markdown(spark, str(tmp_path / "md" / "*" / "*.txt"))
+    assert len(list((tmp_path / "md").glob("*/*/*.txt"))) == 2  # a file for each document
+    folders = {(r["folder"], r["document"], r["text"]) for r in S.read_markdown_folders(spark, str(tmp_path / "md")).collect()}
+    assert folders == {("Bangkok", "d1", "# A\nProvince: Bangkok"), ("unknown", "d2", "# B")}
+    back = S.read_markdown(spark, str(tmp_path / "md" / "*" / "*" / "*.txt"))
     assert back.count() == 2 and {r["fields"]["province"] for r in back.collect()} == {"Bangkok", None}
     assert {r["batch_number"] for r in S.in_batches(back, 1).collect()} == {1, 2}
     S.write_jsonl(docs, str(tmp_path / "jsonl"), ["province"])
