@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpuslode.llm.common import cut, tidy
 
 
+#: Links in one file of a round's table.
+FILE_LINKS = 1_000_000
+
+
 def components(links: DataFrame, kind: str = "long") -> DataFrame:
     """``links``: columns a, b. Returns node and component, its smallest node, for each node with a link to another one.
 
@@ -22,6 +26,8 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
     before = now = None
     with tidy(links.sparkSession):
         links = cut(links, "links")
+        # links never become more than twice as many: a small table stays in few files, and the driver plans few tasks
+        files = max(1, 2 * links.count() // FILE_LINKS)
         while now is None or now != before:
             before = now
             both = links.union(links.select("b", "a")).toDF("u", "v")
@@ -31,6 +37,6 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
             large = large.distinct()
             low = large.groupBy("b").agg(F.min("a").alias("m"))
             small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("l"))
-            links = cut(small.select("l.*").where("a < b").distinct(), "links")
+            links = cut(small.select("l.*").where("a < b").distinct().coalesce(files), "links")
             now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return cut(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "components", keep=True)
