@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, mixing, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
-from corpuslode.llm.common import documents, scratch
+from corpuslode.llm import language, mixing, periodic_runs, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
+from corpuslode.llm.common import WORD, documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepiece_scan.decode_ids(sentencepiece_scan.encode(documents(spark, sf_dir), path, digest=True), path)
     text = F.translate(F.coalesce("text", F.lit("")), sentencepiece_scan.SPACE, " ")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", (F.col("decoded") == text).alias("round_trip"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of each text; every tenth text by the hash of its id repeats itself from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    d = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("hit"))
+    d = d.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    d = d.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return d.select("doc_id", F.when(F.col("hit") & (F.col("n") > 0), again).otherwise(F.col("w")).alias("words"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(documents(spark, sf_dir)), words="words")
+    # the greatest length first, then the smallest start and period
+    key = lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])
+    best = F.array_min(F.transform("runs", key))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(listed, "\n"), F.lit("\n"))).otherwise("")
+    d = found.withColumn("best", best).withColumn("length", -F.col("best.l"))
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        F.expr("length * 1000 DIV best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
