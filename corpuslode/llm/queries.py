@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import language, mixing, periodic_runs, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
+from corpuslode.llm import alignment, language, mixing, periodic_runs, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
 from corpuslode.llm.common import WORD, documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
         F.expr("length * 1000 DIV best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.aligned_with_counts(documents(spark, sf_dir), a, b, digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
