@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslode.llm import alignment, language, mixing, periodic_runs, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
+from corpuslode.llm import alignment, language, main_text, mixing, periodic_runs, quality_model, quality_rules, sentencepiece_scan, simhash, suffix_dedup, tiff, token_counts, token_files
 from corpuslode.llm.common import WORD, documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     found = alignment.aligned_with_counts(documents(spark, sf_dir), a, b, digest=True)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_main_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = main_text.main_text(pages, main_text.fit(spark))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
