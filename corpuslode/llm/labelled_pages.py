@@ -28,7 +28,7 @@ OTHER_PARTS = {
 # Words of classes and ids of main text, of what stands in it, and of what wraps all.
 MAIN_WORDS = ("article", "content", "main", "post", "entry", "story", "text", "body", "prose", "markdown", "news", "blog", "maincontent", "articlebody", "document", "page")
 INNER_WORDS = ("title", "headline", "lead", "intro", "summary", "paragraph", "section", "caption", "quote", "chapter", "subtitle", "byline", "date", "author", "p", "text")
-OUTER_WORDS = ("wrapper", "wrap", "container", "page", "site", "layout", "row", "col", "column", "inner", "outer", "grid", "app", "root", "main", "content", "flex", "center")
+OUTER_WORDS = ("wrapper", "wrap", "container", "site", "layout", "row", "col", "column", "inner", "outer", "grid", "app", "root", "flex", "center")
 
 
 class _Maker:
@@ -140,7 +140,7 @@ class _Maker:
         return f"<{tag} data-main=1{name}>{self.inside()}</{tag}>"
 
     def page(self) -> str:
-        bare = self.r.random() < 0.15
+        bare = self.r.random() < 0.25
         some = lambda kinds, share: [self.other(k) for k in kinds if not bare and self.r.random() < share]
         before, after = some(("notice", "header", "nav", "advert", "form"), 0.4), some(("share", "pager", "comments", "sidebar", "advert", "form", "footer"), 0.4)
         middle = self.main()
@@ -158,8 +158,11 @@ class _Maker:
             body = f"<form>{body}</form>"
         if self.r.random() < 0.04:
             body = f"<p data-main=1>{self.sentences(1, 5)}</p>" * self.r.randint(1, 4)
+        if self.r.random() < 0.12:
+            # what is kept of a page is at times its body's inside alone
+            return body
         return f"<html><head><title>{self.words(2, 8)}</title></head><body>{body}</body></html>"
 
 
-def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 5) -> list[str]:
     return [_Maker(1_000_003 * seed + i).page() for i in range(n)]
