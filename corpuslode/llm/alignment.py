@@ -4,8 +4,8 @@ A (a byte-level BPE file of tokenizers) encodes a space and the text, B (a
 SentencePiece file that puts a space in front) the text: both make the same
 bytes. The ends of A's and B's tokens are two ascending lists of byte offsets.
 The shorter list drives: each of its ends is looked for in the longer one by
-steps of 1, 2, 4, ... from where the last one was found, then by bisection
-between the last two. The common ends cut both token lists into groups; the
+steps of 1, 2, 4, ... from where its part of the text begins, then by bisection
+between the last two places, many ends at once. The common ends cut both token lists into groups; the
 differences between the places of neighbouring common ends are the ranges of
 tokens that overlap. The last tokens of a group end together: a link.
 
@@ -31,7 +31,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from corpuslode.llm.common import bounded_batches, cut, slices
 
 #: Characters of the parts that a Python worker keeps; then it starts anew.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 6_000_000
 #: Parts encoded in one call.
 CALL_PARTS = 4096
 #: Pairs of ids up to which their counts are broadcast (96 MB).
@@ -55,29 +56,38 @@ _ODD = re.compile(r"[^\S ] |  ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def common_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Places in a and in b of the values that both ascending lists hold."""
-    swapped = len(a) > len(b)
-    short, long = (b, a) if swapped else (a, b)
-    found, at, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        step = 1
-        while at + step < n and long[at + step] < x:
-            step *= 2
-        # the place is in (at + step // 2, at + step], or at itself
-        low, high = at + step // 2 if step > 1 else at, min(at + step, n)
-        while low < high:
-            mid = (low + high) // 2
-            if long[mid] < x:
-                low = mid + 1
-            else:
-                high = mid
-        at = low
-        if at == n:
-            break
-        if long[at] == x:
-            found.append((at, i) if swapped else (i, at))
-    return found
+def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The place of the first value of ``long`` that is not below each of ``short``, looked for from ``start`` on; all at once."""
+    n, reach = len(long), np.ones(len(short), np.int64)
+    on = np.arange(len(short))
+    while len(on):
+        p = start[on] + reach[on]
+        on = on[(p < n) & (long[np.minimum(p, n - 1)] < short[on])]
+        reach[on] *= 2
+    # the place is in [start + reach / 2, start + reach]
+    low, high = start + reach // 2, np.minimum(start + reach, n)
+    on = np.flatnonzero(low < high)
+    while len(on):
+        mid = (low[on] + high[on]) // 2
+        below = long[mid] < short[on]
+        low[on], high[on] = np.where(below, mid + 1, low[on]), np.where(below, high[on], mid)
+        on = on[low[on] < high[on]]
+    return low
+
+
+def common_ends(a: np.ndarray, b: np.ndarray, a_starts: np.ndarray | None = None, b_starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the values that both ascending lists hold.
+
+    ``a_starts``: for each value of b a place of a that its own is not before,
+    at the parts' beginnings; ``b_starts`` likewise. The shorter list drives.
+    """
+    if len(a) > len(b):
+        y, x = common_ends(b, a, b_starts, a_starts)
+        return x, y
+    at = gallop(a, b, np.zeros(len(a), np.int64) if b_starts is None else b_starts)
+    hit = np.flatnonzero(at < len(b))
+    hit = hit[b[at[hit]] == a[hit]]
+    return hit, at[hit]
 
 
 def byte_values() -> dict[str, int]:
@@ -87,6 +97,23 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Rows:
+    """Rows of whole numbers in one array that grows by doubling."""
+
+    def __init__(self, width: int):
+        self.n, self._all = 0, np.empty((1024, width), np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self._all):
+            self._all = np.concatenate([self._all[: self.n], np.empty((max(self.n, len(rows)) + 1024, self._all.shape[1]), np.int64)])
+        self._all[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._all[: self.n]
+
+
 class Aligner:
     """Parts of texts, encoded and aligned, in one Python worker."""
 
@@ -102,16 +129,19 @@ class Aligner:
         self.a_bytes: dict[int, bytes] = {i: bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes.fromhex(m[1]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, t in self.a_bytes.items():
+            self.a_sizes[i] = len(t)
+        self.b_sizes = np.array(list(map(len, self.b_bytes)))
         self.most = cache_chars
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.groups: list[str] = []
-        #: Of each part: A's tokens, B's tokens, groups, whether both sides give its bytes; and its links, with where they begin.
-        self.sizes: list[tuple[int, int, int, bool]] = []
-        self.links: list[int] = []
-        self.begins: list[int] = [0]
+        #: Of each part: A's tokens, B's tokens, groups, whether both sides give its bytes, and where its links begin.
+        self.known = Rows(5)
+        self.links = Rows(1)
         self.held = 0
 
     @staticmethod
@@ -126,46 +156,62 @@ class Aligner:
             a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
             # B puts no space in front of an empty text: the one that ends a text is a piece of its own
             b = [[self.b.piece_to_id("▁")] if p == " " else ids for p, ids in zip(some, self.b.encode([p[1:] for p in some], num_threads=1), strict=True)]
-            for part, x, y in zip(some, a, b, strict=True):
-                self._keep(part, x, y)
-
-    def _keep(self, part: str, a: list[int], b: list[int]) -> None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        same = b"".join(a_bytes) == b"".join(b_bytes) == part.encode()
-        groups = []
-        if same:
-            ends_a, ends_b = np.cumsum([*map(len, a_bytes)]).tolist(), np.cumsum([*map(len, b_bytes)]).tolist()
-            i = j = 0
-            for x, y in common_ends(ends_a, ends_b):
-                groups.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
-                self.links.append(a[x] * PAIR + b[y])
-                i, j = x + 1, y + 1
-        self.places[part] = len(self.groups)
-        self.groups.append(";".join(groups))
-        self.sizes.append((len(a), len(b), len(groups), same))
-        self.begins.append(len(self.links))
-        self.held += len(part)
-
-    def batch(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, bool]], list[str], list[np.ndarray]]:
-        """Of each text its sizes, its groups and the pairs of its links."""
+            self._keep(some, a, b)
+
+    def _keep(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        sizes_a, sizes_b = (np.fromiter(map(len, x), np.int64, len(parts)) for x in (a, b))
+        ids_a, ids_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        same = self._same(parts, a, b, ids_a, ids_b)
+        flat_a, flat_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        # parts whose bytes differ stand on bytes of their own, where nothing ends together
+        ends_a, ends_b = self.a_sizes[flat_a], self.b_sizes[flat_b]
+        first_a, first_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
+        part_a, part_b = np.repeat(np.arange(len(parts)), sizes_a), np.repeat(np.arange(len(parts)), sizes_b)
+        ends_a, ends_b = np.cumsum(np.where(same[part_a], ends_a, 0)), np.cumsum(np.where(same[part_b], ends_b, 0))
+        keep_a, keep_b = np.flatnonzero(same[part_a]), np.flatnonzero(same[part_b])
+        before_a, before_b = np.cumsum(np.where(same, sizes_a, 0)) - np.where(same, sizes_a, 0), np.cumsum(np.where(same, sizes_b, 0)) - np.where(same, sizes_b, 0)
+        x, y = common_ends(ends_a[keep_a], ends_b[keep_b], before_a[part_b[keep_b]], before_b[part_a[keep_a]])
+        x, y = keep_a[x], keep_b[y]
+        of = part_a[x]
+        number = np.bincount(of, minlength=len(parts))
+        # a group begins behind the one before it, or with its part
+        new = np.r_[True, of[1:] != of[:-1]][: len(of)]
+        from_a, from_b = (np.where(new, first[of], np.r_[0, at[:-1] + 1][: len(at)]) for first, at in ((first_a, x), (first_b, y)))
+        text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
+        groups = [f"{','.join(text_a[i:m])}|{','.join(text_b[j:n])}" for i, m, j, n in zip(from_a.tolist(), (x + 1).tolist(), from_b.tolist(), (y + 1).tolist(), strict=True)]
+        last = np.cumsum(number).tolist()
+        self.groups += [groups[j - 1] if n == 1 else ";".join(groups[j - n : j]) for n, j in zip(number.tolist(), last, strict=True)]
+        at = len(self.places)
+        self.places.update(zip(parts, range(at, at + len(parts)), strict=True))
+        self.known.add(np.stack([sizes_a, sizes_b, number, same, self.links.n + np.cumsum(number) - number], axis=1))
+        self.links.add((flat_a[x] * PAIR + flat_b[y])[:, None])
+        self.held += sum(map(len, parts))
+
+    def _same(self, parts: list[str], a: list[list[int]], b: list[list[int]], ids_a: list[int], ids_b: list[int]) -> np.ndarray:
+        """Of each part whether both sides give its bytes."""
+        whole = "".join(parts).encode()
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) == whole == b"".join(map(self.b_bytes.__getitem__, ids_b)):
+            return np.ones(len(parts), bool)
+        return np.array([b"".join(map(self.a_bytes.__getitem__, x)) == p.encode() == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b, strict=True)], bool)
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+        """Of each text A's tokens, B's tokens and groups; its groups and the pairs of its links."""
         parts = [self.parts(t) if t else [] for t in texts]
         if self.held > self.most:
             self.clear()
         places = self.places
-        new = dict.fromkeys(p for ps in parts for p in ps if p not in places)
-        self.learn(list(new))
-        sizes, groups, links = [], [], []
-        known, begins, flat = np.array(self.sizes, np.int64).reshape(-1, 4), np.array(self.begins), np.array(self.links, np.int64)
-        for ps in parts:
-            at = np.array([places[p] for p in ps], np.int64)
-            mine = known[at]
-            if len(at) and mine[:, 3].all():
-                sizes.append((*mine[:, :3].sum(axis=0).tolist(), True))
-                groups.append(";".join([self.groups[i] for i in at.tolist()]))
+        self.learn([p for p in set().union(*parts) if p not in places])
+        sizes, groups, links = np.zeros((len(texts), 3), np.int64), [], []
+        known, flat = self.known.rows, self.links.rows[:, 0]
+        for i, ps in enumerate(parts):
+            at = list(map(places.__getitem__, ps))
+            mine = known[np.array(at, np.int64)]
+            if at and mine[:, 3].all():
+                sizes[i] = mine[:, :3].sum(axis=0)
+                groups.append(";".join(map(self.groups.__getitem__, at)))
                 n = mine[:, 2]
-                links.append(flat[np.arange(n.sum()) + np.repeat(begins[at] - np.cumsum(n) + n, n)])
+                links.append(flat[np.arange(n.sum()) + np.repeat(mine[:, 4] - np.cumsum(n) + n, n)])
             else:
-                sizes.append((0, 0, 0, False))
                 groups.append("")
                 links.append(flat[:0])
         return sizes, groups, links
@@ -194,10 +240,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for b in slices(batches):
             sizes, groups, links = found.batch(b.column("text").to_pylist())
             counted = [np.unique(x, return_counts=True) for x in links]
-            n_a, n_b, n_groups, _ = zip(*sizes, strict=True)
             offsets = pa.array(np.cumsum([0, *(len(p) for p, _ in counted)]).astype(np.int32))
             pairs, times = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int64))) for x in zip(*counted, strict=True))
-            long = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, [len(x) for x in links])]
+            long = [pa.array(x, pa.int64()) for x in (*sizes.T, [len(x) for x in links])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *long, pa.array(groups), pairs, times], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     kind = dict(d.dtypes)["doc_id"]

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -17,7 +18,17 @@ def test_common_ends():
     rnd = random.Random(5)
     for _ in range(3000):
         a, b = (sorted(rnd.sample(range(80), rnd.randint(0, 40))) for _ in range(2))
-        assert A.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
+        x, y = A.common_ends(np.array(a, np.int64), np.array(b, np.int64))
+        assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(a.index(v), b.index(v)) for v in sorted(set(a) & set(b))]
+
+
+def test_gallop_from_a_start():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        long = np.unique(rng.integers(0, 500, 100))
+        short = rng.integers(0, 510, 50)
+        place = np.searchsorted(long, short)
+        assert A.gallop(short, long, (place * rng.random(50)).astype(np.int64)).tolist() == place.tolist()
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +123,7 @@ def test_a_full_cache_starts_anew(libraries):
     small = A.Aligner(*PATHS, cache_chars=10)
     texts = ["one two three", "four five", "one six " * 20, None, ""]
     found = [small.batch([t]) for t in texts]
-    assert [f[0][0][:3] for f in found] == [(a, b, len(g)) for a, b, g, _ in brute(libraries, texts)]
+    assert [tuple(f[0][0].tolist()) for f in found] == [(a, b, len(g)) for a, b, g, _ in brute(libraries, texts)]
     assert small.held < 120
 
 
