@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from corpuslode.functions.values import buddhist_date
 from corpuslode.operators.metadata import Config, Mapping
+from corpuslode.sources.records import read_records
 
 # Encodings in the order in which they are tried.
 ENCODINGS = ("cp874", "utf-8", "utf-8-sig", "latin-1")
@@ -65,14 +66,27 @@ def has_broken_lines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
     """All columns as text unless a schema is given; rows that do not fit it have their line in ``_corrupt_record``.
 
-    Files are split among tasks unless records go over lines (``multi_line``; by default a look at the lines tells).
+    Files are split among tasks, also where records go over lines (``multi_line``; by default a look at the lines tells):
+    then ``records`` finds where they begin. Only encodings whose line ends are not single bytes are read by one task a file.
     """
     broken = has_broken_lines(spark, path) if multi_line is None else multi_line
-    reader = spark.read.option("header", True).option("encoding", encoding or probe_encoding(spark, path)).option("multiLine", broken).option("mode", "PERMISSIVE").option("escape", '"')
+    encoding = encoding or probe_encoding(spark, path)
+    options = {"header": True, "encoding": encoding, "multiLine": broken, "mode": "PERMISSIVE", "escape": '"'}
+    reader = spark.read.options(**options)
+    by_record = broken and not encoding.lower().replace("-", "").startswith(("utf16", "utf32"))
     if schema is None:
-        return reader.csv(path)
-    text = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return reader.schema(f"{text}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+        if not by_record:
+            return reader.csv(path)
+        # the names alone: this reads the first record
+        text = ", ".join(f"`{c}` string" for c in reader.csv(path).columns)
+    else:
+        text = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        text += ", _corrupt_record string"
+        options["columnNameOfCorruptRecord"] = "_corrupt_record"
+        if not by_record:
+            return reader.options(**options).schema(text).csv(path)
+    parsed = F.from_csv("text", text, {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if k not in ("header", "encoding")})
+    return read_records(spark, path, encoding).select(parsed.alias("r")).select("r.*")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
