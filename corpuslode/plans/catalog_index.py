@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslode.operators import keyword_index, vector_index
+from corpuslode.operators import candidates, inference, keyword_index, vector_index
+from corpuslode.operators.filters import Filter
 from corpuslode.plans import catalog_search  # noqa: F401  its SQL is used here
 from corpuslode.registry import ORACLES, query, table
 from corpuslode.sources.files import workspace
@@ -25,3 +26,98 @@ def stored_vectors(spark, sf_dir):
     path = workspace(spark, "vectors")
     vector_index.write(nodes, path)
     return vector_index.search(spark, path, asked)
+
+
+def steered(spark, sf_dir, filters, how="and"):
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding", "label")
+    asked = catalog_search.vector(spark, sf_dir, 0)
+    return candidates.steered_search(nodes, candidates.bitmap_index(nodes, ["label"]), filters, asked, 10, how).select("node_id", "label", "score", "rank")
+
+
+def steered_sql(where):
+    return f"SELECT node_id, label, score, row_number() OVER (ORDER BY score DESC, node_id)::INT AS rank FROM {catalog_search.sim(0)} WHERE {where} QUALIFY rank <= 10"
+
+
+@query("f7_few_candidates", steered_sql("label IN (1, 2) AND label > 1"))
+def few_candidates(spark, sf_dir):
+    return steered(spark, sf_dir, [Filter("label", [1, 2], "IN"), Filter("label", 1, "GT")])
+
+
+@query("f7_most_are_candidates", steered_sql("label <> 3 OR label >= 1"))
+def most_are_candidates(spark, sf_dir):
+    return steered(spark, sf_dir, [Filter("label", [0, 1, 2, 4, 5, 6, 7, 8, 9], "IN"), Filter("label", 1, "GTE")], "or")
+
+
+@query("d4_value_counts", "SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+def value_counts(spark, sf_dir):
+    """The sizes of all intersections of a language and a source, from the bitmaps alone."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "lang", "source")
+    index = candidates.bitmap_index(nodes, ["lang", "source"])
+    side = lambda f: index.where(F.col("field") == f).select(F.col("value").alias(f), "bucket", "bits")
+    pairs = side("lang").join(side("source").withColumnRenamed("bits", "more"), "bucket")
+    both = pairs.select("lang", "source", "bucket", F.explode(F.array("bits", "more")).alias("b")).groupBy("lang", "source", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("b")).alias("n"))
+    return both.groupBy("lang", "source").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def phrases(spark, sf_dir):
+    """Short words of the benchmark's texts as phrases: each stands for a language or a source, by the rank of its item."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,5}"), F.lit(0)))).alias("phrase")
+    words = table(spark, sf_dir, "benchmark").select("item_id", word).groupBy("phrase").agg(F.min("item_id").alias("place"))
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("place") % 4 + 1).cast("int"))
+    source = F.concat(F.lit("src"), (F.col("place") % 20).cast("string"))
+    even = F.length("phrase") == 4
+    return words.select("phrase", F.when(even, "lang").otherwise("source").alias("field"), F.when(even, lang).otherwise(source).alias("value"), "place")
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+PHRASES_SQL = """
+    w AS (SELECT word AS phrase, min(item_id) AS place FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,5}')) AS word FROM benchmark) GROUP BY ALL),
+    p AS (SELECT phrase, place, CASE WHEN length(phrase) = 4 THEN 'lang' ELSE 'source' END AS field,
+                 CASE WHEN length(phrase) = 4 THEN ['en', 'de', 'fr', 'es'][place % 4 + 1] ELSE 'src' || (place % 20) END AS value FROM w),
+    q AS (SELECT conv_id * 1000 + turn AS query_id, lower(text) AS low FROM conversations WHERE role = 'user'),
+    i AS (SELECT query_id, field, value FROM q JOIN p ON contains(low, phrase) QUALIFY row_number() OVER (PARTITION BY query_id, field ORDER BY place DESC, phrase DESC, value DESC) = 1)"""
+
+
+@query("f18_inferred", f"WITH {PHRASES_SQL} SELECT * FROM i")
+def inferred_filters(spark, sf_dir):
+    return inference.infer(turns(spark, sf_dir), phrases(spark, sf_dir))
+
+
+GIVEN_SQL = "g AS (SELECT query_id, 'lang' AS field, 'en' AS value FROM q WHERE query_id % 3 = 0), f AS (SELECT * FROM g UNION ALL SELECT * FROM i ANTI JOIN g USING (query_id, field))"
+
+
+@query(
+    "z21_auto_filtered",
+    f"""
+    WITH {PHRASES_SQL}, {GIVEN_SQL},
+    s AS (SELECT query_id, max(value) FILTER (field = 'lang') AS lang, max(value) FILTER (field = 'source') AS source FROM q LEFT JOIN f USING (query_id) GROUP BY query_id)
+    SELECT query_id, doc_id AS node_id, n_chars, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id)::INT AS rank
+    FROM s JOIN documents d ON (s.lang IS NULL OR s.lang = d.lang) AND (s.source IS NULL OR s.source = d.source) QUALIFY rank <= 3
+    """,
+)
+def auto_filtered(spark, sf_dir):
+    asked = turns(spark, sf_dir)
+    given = asked.where("query_id % 3 = 0").select("query_id", F.lit("lang").alias("field"), F.lit("en").alias("value"))
+    filters = inference.overridden(inference.infer(asked, phrases(spark, sf_dir)), given)
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "lang", "source", "n_chars")
+    return inference.search_filtered(nodes, asked, filters, ["lang", "source"], "n_chars", 3)
+
+
+@query(
+    "f14_checked_answers",
+    """
+    WITH a AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 2 = 0 THEN 'lang' ELSE 'source' END AS field,
+                      CASE WHEN turn % 4 = 0 THEN ['en', 'xx'][conv_id % 2 + 1] ELSE 'src' || (conv_id % 30) END AS value FROM conversations)
+    SELECT query_id, field, value FROM a WHERE (field, value) IN (SELECT ('lang', lang) FROM documents UNION SELECT ('source', source) FROM documents)
+    """,
+)
+def checked_answers(spark, sf_dir):
+    even = F.col("turn") % 2 == 0
+    value = F.when(F.col("turn") % 4 == 0, F.element_at(F.array(F.lit("en"), F.lit("xx")), (F.col("conv_id") % 2 + 1).cast("int"))).otherwise(F.concat(F.lit("src"), (F.col("conv_id") % 30).cast("string")))
+    field = F.when(even, "lang").otherwise("source")
+    answers = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.to_json(F.create_map(field, value, F.lit("nothing"), F.col("role"))).alias("answer"))
+    known = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("lang", "source")])).alias("v")
+    return inference.checked(answers, table(spark, sf_dir, "documents").select(known).select("v.*").where("value IS NOT NULL").distinct())
