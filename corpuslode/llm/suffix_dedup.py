@@ -36,8 +36,10 @@ of a group have all their bytes in common there is one class left, with a count.
 Classes are told apart by 128 bits (of gram and segment), groups by 64 bits more.
 Null text is empty; texts below LENGTH bytes lose nothing; long texts are hashed
 piece by piece, whole. Rows that share an id are told apart by a 64-bit hash of
-their text; rows equal in both are documents of their own that repeat each
-other. Empty tables give empty results. Other columns may have any names; they
+their text; rows equal in both (null ids too) are documents of their own that
+repeat each other: one of them stands for their segments, and their marks are
+gathered once, so that work and rows grow in proportion to their number. Empty
+tables give empty results. Other columns may have any names; they
 are not read by ``spans`` and pass ``without_repeats`` unchanged.
 """
 
@@ -259,11 +261,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = [anchors(t.encode()) for t in b.column("text").to_pylist()]
             rows = np.repeat(np.arange(b.num_rows), [len(x[0]) for x in found])
             h, c, at = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column("doc_id").take(pa.array(rows)), b.column("check").take(pa.array(rows)), pa.array(at)], ["h", "c", "doc_id", "check", "at"])
+            lead = np.r_[True, rows[1:] != rows[:-1]][: len(rows)]
+            columns = [pa.array(h), pa.array(c), b.column("doc_id").take(pa.array(rows)), b.column("check").take(pa.array(rows)), pa.array(at), pa.array(lead)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "doc_id", "check", "at", "lead"])
 
     path = scratch(docs.sparkSession, "repeats")
     with tidy(docs.sparkSession):
-        every = cut(d.select("doc_id", "text", "check").mapInArrow(scan, f"h long, c long, doc_id {kind}, check long, at long"), "repeats-anchors")
+        every = cut(d.select("doc_id", "text", "check").mapInArrow(scan, f"h long, c long, doc_id {kind}, check long, at long, lead boolean"), "repeats-anchors")
         # written, so that the join is a stage of its own and Spark can split a gram that many documents share
         twice = cut(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeats-grams")
         met = cut(every.join(twice, "h"), "repeats-met")
@@ -272,7 +276,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         # texts meet what is asked of them once: nothing, or the segments that stand for their classes
         same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
-        asked = met.groupBy("doc_id", "check").agg(F.lit(1).alias("any"))
+        # of rows with one id and text all grams meet, so their first anchors tell how many there are
+        asked = cut(met.groupBy("doc_id", "check").agg(F.count_if("lead").alias("any")), "repeats-asked")
         stand = classes.groupBy("doc_id", "check").agg(F.collect_list(F.struct("h", "c", "at", "n")).alias("stand"))
         asked = asked.join(stand, same(asked, stand), "left").select(asked["doc_id"], asked["check"], "any", "stand")
         packed = d.mapInArrow(_pack, f"doc_id {kind}, check long, n_bytes long, body binary")
@@ -282,8 +287,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         stored = docs.sparkSession.read.schema(out).parquet(path)
 
         segments = stored.where("kind = 1").select("h", "c", "body", "back", "more", "n")
+        twins = cut(asked.where("any > 1").select("doc_id", "check"), "repeats-twins")
+        if not twins.isEmpty():
+            # rows with one id and text stand for a class once: one of them is taken, before anything is shuffled where tasks hold several
+            one = packed.join(twins, same(packed, twins), "left_semi").groupBy("doc_id", "check").agg(F.first("n_bytes").alias("n_bytes"), F.first("body").alias("body"))
+            one = one.join(stand, same(one, stand)).select(one["doc_id"], one["check"], "n_bytes", "body", F.lit(1).cast("long").alias("any"), "stand")
+            segments = segments.union(cut(one.mapInArrow(_cut_out, out).where("kind = 1").select(*segments.columns), "repeats-twin-segments"))
         runs = _constructed(segments)
-        marks = met.join(cut(runs, "repeats-runs"), ["h", "c"]).groupBy("doc_id", "check").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
+        marks = met.join(cut(runs, "repeats-runs"), ["h", "c"]).groupBy("doc_id", "check").agg(F.collect_set(F.struct("at", "runs")).alias("marks"))
         marks = cut(marks, "repeats-marks", keep=True)
     whole = stored.where("kind = 0").select("doc_id", "check", "n_bytes", "sha256", "body")
     return whole.join(marks, same(whole, marks), "left").select(whole["doc_id"], whole["check"], "n_bytes", "sha256", "body", "marks")
@@ -307,8 +318,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for key, check, n, body, any_, stand in zip(*(b.column(x).to_pylist() for x in ("doc_id", "check", "n_bytes", "body", "any", "stand")), strict=True):
                 raw = zstd.decompress(body) if n else b""
-                rows.append((0, key, check, n, hashlib.sha256(raw).hexdigest(), body if any_ else None, None, None, None, None, None))
-                for s in stand or ():
+                rows.append((0, key, check, n, hashlib.sha256(raw).hexdigest(), body if any_ is not None else None, None, None, None, None, None))
+                # of rows with one id and text, ``find`` takes one by itself
+                for s in stand if stand and any_ < 2 else ():
                     first, back, more = _unpack(s["at"])
                     rows.append((1, None, None, None, None, raw[first : first + more + LENGTH], s["h"], s["c"], back, more, s["n"]))
             kinds[1] = b.schema.field("doc_id").type

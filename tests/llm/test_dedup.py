@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpuslode.llm import simhash, suffix_dedup
 from corpuslode.llm.components import components
@@ -167,3 +168,22 @@ def test_op5_odd(odd, nothing):
 def test_op5_whole_characters():
     raw = "aéb".encode()
     assert suffix_dedup._whole_characters(raw, [(2, 4)]) == [(3, 4)] and suffix_dedup._whole_characters(raw, [(0, 2)]) == [(0, 1)]
+
+
+def test_op5_rows_of_one_id_and_text(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 110, n))) for n in (3000, 900, 250, 150)]
+    mixed = texts[0][500:900] + texts[1][:300]
+    rows = [(7, texts[0])] * 5 + [(None, texts[1])] * 4 + [(None, texts[2])] * 3 + [(9, texts[3])] * 3 + [(10, mixed), (None, mixed + "x"), (7, texts[2] + "y"), (11, None)] + [(12, "")] * 2
+    against_brute(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_op5_grows_with_the_number_of_equal_rows(spark):
+    text = "".join(map(chr, np.random.default_rng(9).integers(97, 110, 4000)))
+    df = spark.range(1000).select(F.lit(5).alias("doc_id"), F.lit(text).alias("text"))
+    found = suffix_dedup.find(df)
+    marks = found.agg(F.max(F.size("marks")), F.count("*")).first()
+    one = suffix_dedup.find(df.limit(2)).agg(F.max(F.size("marks"))).first()
+    assert tuple(marks) == (one[0], 1000)
+    gone = suffix_dedup.spans(df, with_spans=False).distinct().collect()
+    assert [tuple(r) for r in gone] == [(5, 4000, 4000, 1, hashlib.sha256(b"").hexdigest())]
