@@ -8,7 +8,8 @@ from corpuslode.operators import candidates, inference, keyword_index, vector_in
 from corpuslode.operators.filters import Filter
 from corpuslode.plans import catalog_search  # noqa: F401  its SQL is used here
 from corpuslode.registry import ORACLES, query, table
-from corpuslode.sources.files import workspace
+from corpuslode.sources import markdown_sink
+from corpuslode.sources.files import read_markdown, workspace
 
 
 @query("r6_stored_index", ORACLES["r6_keyword_topk"])
@@ -121,3 +122,20 @@ def checked_answers(spark, sf_dir):
     answers = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.to_json(F.create_map(field, value, F.lit("nothing"), F.col("role"))).alias("answer"))
     known = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("lang", "source")])).alias("v")
     return inference.checked(answers, table(spark, sf_dir, "documents").select(known).select("v.*").where("value IS NOT NULL").distinct())
+
+
+@query(
+    "s6_markdown_batches",
+    """
+    SELECT doc_id::VARCHAR AS file_doc_id, coalesce(lang, 'unknown') AS folder, md5(text) AS text_md5,
+           ((row_number() OVER (ORDER BY coalesce(lang, 'unknown') || '/' || doc_id || '.md') - 1) // 20 + 1)::INT AS batch_number
+    FROM documents WHERE text IS NOT NULL AND text <> ''
+    """,
+)
+def markdown_batches(spark, sf_dir):
+    """Documents as files of their own names, read back and numbered in batches of 20."""
+    path = workspace(spark, "markdown")
+    markdown_sink.write(table(spark, sf_dir, "documents").where("text <> ''"), path, "lang")
+    files = read_markdown(spark, f"{path}/*/*.md")
+    folder = F.url_decode(F.regexp_extract("file_path", "/([^/]*)/[^/]*$", 1)).alias("folder")
+    return markdown_sink.numbered(files).select("file_doc_id", folder, F.md5("text").alias("text_md5"), "batch_number")
