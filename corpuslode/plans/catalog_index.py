@@ -8,7 +8,7 @@ from corpuslode.operators import candidates, inference, keyword_index, vector_in
 from corpuslode.operators.filters import Filter
 from corpuslode.plans import catalog_search  # noqa: F401  its SQL is used here
 from corpuslode.registry import ORACLES, query, table
-from corpuslode.sources import markdown_sink
+from corpuslode.sources import markdown_sink, tables
 from corpuslode.sources.files import read_markdown, workspace
 
 
@@ -139,3 +139,37 @@ def markdown_batches(spark, sf_dir):
     files = read_markdown(spark, f"{path}/*/*.md")
     folder = F.url_decode(F.regexp_extract("file_path", "/([^/]*)/[^/]*$", 1)).alias("folder")
     return markdown_sink.numbered(files).select("file_doc_id", folder, F.md5("text").alias("text_md5"), "batch_number")
+
+
+def columns_sql(names):
+    """A row for each column of the tables, its values counted by what they can be read as."""
+    one = """SELECT '{c}' AS "column", count(v) AS n, count(v) FILTER (regexp_matches(v, '^\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{4}}$|^\\d{{4}}[/-]\\d{{1,2}}[/-]\\d{{1,2}}$')) AS dates,
+        count(TRY_CAST(v AS BIGINT)) AS whole, count(TRY_CAST(v AS DOUBLE)) AS numbers, any_value(kind) AS kind
+        FROM (SELECT nullif(trim({c}::VARCHAR), '') AS v, typeof({c}) AS kind FROM {t})"""
+    return " UNION ALL ".join(one.format(t=t, c=c) for t, c in names)
+
+
+KEYS_SQL = ", ".join(f"('{kind}', [{', '.join(map(repr, keys))}])" for kind, keys in tables.METADATA_KEYS.items())
+PATTERNS_SQL = ", ".join(f"({i}, '{kind}', '{p}')" for i, (kind, p) in enumerate((k, p) for k, ps in tables.FIELD_PATTERNS.items() for p in ps))
+ANALYZED = [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")] + [("documents", c) for c in ("lang", "source", "n_chars")]
+
+
+@query(
+    "z47_columns",
+    f"""
+    WITH c AS ({columns_sql(ANALYZED)}), k(kind, keys) AS (VALUES {KEYS_SQL}), p(i, kind, pattern) AS (VALUES {PATTERNS_SQL}),
+    m AS (SELECT "column", p.kind, length(regexp_extract(lower("column"), pattern)) / length("column") AS share, i FROM c CROSS JOIN p),
+    b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY share DESC, i) = 1),
+    s AS (SELECT "column", CASE WHEN share > 0 THEN kind ELSE 'other' END AS field_type, CASE WHEN share > 0 THEN round(share, 6) ELSE 0.1 END AS confidence FROM b)
+    SELECT s.*, coalesce(list_filter(keys, lambda x: contains(lower("column"), x) OR contains(x, lower("column")))[1],
+                         list_filter(keys, lambda x: len(list_filter(string_split(x, '_'), lambda y: NOT contains(lower("column"), y))) = 0)[1],
+                         regexp_replace(lower("column"), '[^a-z0-9]+', '_', 'g')) AS key,
+           CASE WHEN c.kind LIKE '%INT%' THEN 'integer' WHEN c.kind IN ('DOUBLE', 'FLOAT') OR c.kind LIKE 'DECIMAL%' THEN 'numeric' WHEN n = 0 THEN 'string'
+                WHEN dates >= 0.7 * n THEN 'date' WHEN whole = n THEN 'integer' WHEN numbers = n THEN 'numeric' ELSE 'string' END AS data_type, n
+    FROM s JOIN c USING ("column") LEFT JOIN k ON k.kind = s.field_type
+    """,
+)
+def columns(spark, sf_dir):
+    """Both tables' columns, each table read once."""
+    of = lambda name: tables.analyzed(table(spark, sf_dir, name).select(*[c for t, c in ANALYZED if t == name]))
+    return of("part").unionByName(of("documents"))

@@ -154,6 +154,49 @@ def data_type(df: DataFrame, column: str) -> str:
     return "date" if dates >= 0.7 * n else "integer" if whole == n else "numeric" if numbers == n else "string"
 
 
+def suggested_keys(scored: DataFrame) -> DataFrame:
+    """X4 as a plan: ``scored`` (column, field_type, ...) with key, as ``suggest_key`` gives it from the keys of the field type."""
+    low = F.lower("column")
+    keys = F.create_map(*[x for kind, names in METADATA_KEYS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
+    known = F.coalesce(F.try_element_at(keys, F.col("field_type")), F.array().cast("array<string>"))
+    d = scored.withColumn("__low", low).withColumn("__keys", known)
+    held = F.filter("__keys", lambda k: F.col("__low").contains(k) | k.contains(F.col("__low")))
+    parts = F.filter("__keys", lambda k: F.forall(F.split(k, "_"), lambda p: F.col("__low").contains(p)))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("__low", "[^a-zA-Z0-9ก-๙]+", "_"), "_+", "_"), "^_|_$", "")
+    return d.withColumn("key", F.coalesce(F.get(held, F.lit(0)), F.get(parts, F.lit(0)), plain)).drop("__low", "__keys")
+
+
+def analyzed(df: DataFrame) -> DataFrame:
+    """X3, X4, X5, Z47 for all columns by one aggregation: column, field_type, confidence, key, data_type and n, its values.
+
+    Text columns take their type from all their values that are not blank: a date if seven tenths are dates, a number if all are. Other columns have that of the schema.
+    """
+    kinds = dict(df.dtypes)
+
+    def votes(c: str) -> Column:
+        v = F.trim(F.col(f"`{c}`").cast("string"))
+        v = F.when(v != "", v)
+        n = F.count(v)
+        kind = kinds[c]
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            typed = F.lit("integer")
+        elif kind in ("double", "float") or kind.startswith("decimal"):
+            typed = F.lit("numeric")
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            typed = F.lit("date")
+        elif kind == "boolean":
+            typed = F.lit("boolean")
+        elif kind == "string":
+            dates, whole, numbers = F.count(parse_date(v)), F.count(v.try_cast("long")), F.count(v.try_cast("double"))
+            typed = F.when(n == 0, "string").when(dates >= 0.7 * n, "date").when(whole == n, "integer").when(numbers == n, "numeric").otherwise("string")
+        else:
+            typed = F.lit("string")
+        return F.struct(F.lit(c).alias("column"), typed.alias("data_type"), n.alias("n"))
+
+    found = df.agg(F.array(*map(votes, df.columns)).alias("v")).select(F.inline("v"))
+    return suggested_keys(score_names(found.select("column"))).join(found, "column")
+
+
 def parse_date(c: Column) -> Column:
     """d/m/y, d-m-y, y-m-d, y/m/d or yyyymmdd; a year over 2500 is of the Buddhist era."""
     forms = ((r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", (3, 2, 1)), (r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$", (1, 2, 3)), (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)))

@@ -26,6 +26,18 @@ def test_csv(spark, tmp_path):
     assert len(T.failed_rows(bad).collect()) == 2
 
 
+def test_columns_by_one_aggregation(spark, tmp_path):
+    rows = [("25/09/2567", "1", "1.5", "", None, "x"), ("2024-01-02", "-7", "2", " ", None, "1"), ("20240103", "30", "1e3", "", None, "2"), ("no date", "4", "5", "", None, "")]
+    df = spark.createDataFrame(rows, "owner_date string, deed_no string, `Land Value` string, blank string, nothing string, `my name` string").withColumn("whole", F.lit(3)).withColumn("list", F.array(F.lit(1)))
+    found = {r["column"]: r for r in T.analyzed(df).collect()}
+    assert {c: r["data_type"] for c, r in found.items()} == {"owner_date": "date", "deed_no": "integer", "Land Value": "numeric", "blank": "string", "nothing": "string", "my name": "string", "whole": "integer", "list": "string"}
+    assert {c: r["n"] for c, r in found.items()} == {"owner_date": 4, "deed_no": 4, "Land Value": 4, "blank": 0, "nothing": 0, "my name": 3, "whole": 4, "list": 4}
+    for c, r in found.items():
+        kind, confidence = T.score_name(c)
+        assert (r["field_type"], r["confidence"]) == (kind, round(confidence, 6))
+        assert r["key"] == T.suggest_key(c, T.METADATA_KEYS.get(kind, ()))
+
+
 def test_name_scores():
     assert T.score_name("land_id")[0] == "identifier" and T.score_name("zzz") == ("other", 0.1)
     assert T.suggest_key("Deed Type", ("deed_type",)) == "deed_type" and T.suggest_key("My Column", ()) == "my_column"
