@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Files of a table up to which their numbers are broadcast.
+FEW_FILES = 100_000
 
 #: The scratch folders of the ``tidy`` blocks around, innermost last.
 _open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
@@ -79,6 +82,28 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, key: str, name: str, keep: bool = False) -> DataFrame:
+    """``docs`` with a long ``key`` that tells its rows apart and is the same at each read.
+
+    Of a table read from Parquet that is the number of the row's file, by path,
+    and the row's place there, so nothing is copied. Anything else could come
+    out otherwise when it is read again, and is written to shared scratch.
+    """
+    at, file, no = None, *(free_name(c, docs) + key for c in ("file", "no"))
+    if docs._jdf.queryExecution().analyzed().children().isEmpty() and "_metadata" not in {c.lower() for c in docs.columns}:
+        try:
+            at = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(key))
+        except AnalysisException:
+            at = None  # no table of Parquet files
+    # the driver lists the files of a table in any case; one that is named twice is read twice
+    found = at.groupBy(file).agg(F.count("*"), F.max(key) + 1).collect() if at is not None else []
+    if at is None or any(n != end for _, n, end in found):
+        return cut(docs.withColumn(key, F.monotonically_increasing_id()), name, keep)
+    number = docs.sparkSession.createDataFrame(list(enumerate(sorted(r[0] for r in found))), f"`{no}` long, `{file}` string")
+    number = F.broadcast(number) if len(found) <= FEW_FILES else number
+    return at.join(number, file).select(*[F.col(f"`{c}`") for c in docs.columns], F.shiftleft(no, 33).bitwiseOR(F.col(key)).alias(key))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold ``rows`` rows, where the session still has Spark's own 10,000: of long texts those take hundreds of MB."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,8 +26,9 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
     before = now = None
     with tidy(links.sparkSession):
         links = cut(links, "links")
-        # links never become more than twice as many: a small table stays in few files, and the driver plans few tasks
+        # links never become more than twice as many: a small table stays in few files, and one of one file is one task's work, without shuffles
         files = max(1, 2 * links.count() // FILE_LINKS)
+        links = links.coalesce(1) if files == 1 else links
         while now is None or now != before:
             before = now
             both = links.union(links.select("b", "a")).toDF("u", "v")
@@ -38,5 +39,6 @@ def components(links: DataFrame, kind: str = "long") -> DataFrame:
             low = large.groupBy("b").agg(F.min("a").alias("m"))
             small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("l"))
             links = cut(small.select("l.*").where("a < b").distinct().coalesce(files), "links")
+            links = links.coalesce(1) if files == 1 else links
             now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return cut(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "components", keep=True)

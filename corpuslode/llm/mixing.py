@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import cut, free_name, tidy
+from corpuslode.llm.common import cut, free_name, keyed, tidy
 
 MAX_REPEATS = 3
 BLOCKS = 65_536
@@ -232,11 +232,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows that the mix takes, as often as it takes them, with the columns of ``docs`` and, if named, the shard.
 
     Each shard is a run of partitions of its own, which hold it in a random
-    order. The rows are written once with a key, so that what is planned is
-    what is returned. ``options``: those of ``mix``.
+    order. Rows have a key that each read gives again, so that what is planned
+    is what is returned. ``options``: those of ``mix``.
     """
     key, shard, place, part = (free_name(c, docs) for c in ("row", "shard", "place", "part"))
-    whole = cut(docs.withColumn(key, F.monotonically_increasing_id()), "mix-keyed")
+    whole = keyed(docs, key, "mix-keyed")
     plan = mix(whole, id_col, text_col, source_col, key, **options)
     rows = plan.rows.select(F.col("row").alias(key), F.col("shard").alias(shard), F.col("place").alias(place), F.col("part").alias(part))
     out = whole.join(rows, key).repartitionById(plan.parts, part).sortWithinPartitions(place)

@@ -58,7 +58,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import bounded_batches, cut, free_name, slices, tidy
+from corpuslode.llm.common import bounded_batches, cut, free_name, keyed, slices, tidy
 from corpuslode.llm.components import components
 
 SHINGLE = 3
@@ -436,7 +436,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bounded_batches(docs.sparkSession)
     key = free_name("row", docs)
     with tidy(docs.sparkSession):
-        whole = cut(docs.withColumn(key, F.monotonically_increasing_id()), "copies-rows", keep=True)
+        whole = keyed(docs, key, "copies-rows", keep=True)
         rows = whole.select(F.col(key).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         nodes = cut(_nodes(rows), "copies-nodes")
         ranks, nodes = nodes.select("node", "rank"), nodes.select("node", "prints")
