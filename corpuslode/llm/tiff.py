@@ -315,18 +315,18 @@ def encode(payload: bytes, page_rows: int = PAGE_ROWS) -> bytes:
 
 
 def pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """One row per page of each file: its id, page, width, height, samples and error."""
+    """One row per page of each file: its id, of any type, page, width, height, samples and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = [(key, *page) for page in read(data)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [b.column(0).type, *types], strict=True)], names)
 
     d = files.selectExpr(f"`{id_col}` AS id", f"`{data_col}` AS data")
     names = ["id", "page", "width", "height", "samples", "error"]
-    types = [pa.int64() if dict(d.dtypes)["id"] == "bigint" else None, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, page int, width int, height int, samples binary, error string")
 
 

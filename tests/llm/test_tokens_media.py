@@ -193,6 +193,14 @@ def test_tiff_damage(spark):
     assert {(r["id"], r["error"] is None) for r in tiff.pages(files, "k", "f").collect()} == {(1, True), (2, False)}
 
 
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string", "date", "decimal(9,2)", "binary"])
+def test_tiff_ids_of_any_type(spark, kind):
+    files = spark.createDataFrame([("1", bytearray(tiff.encode(b"a" * 5760))), (None, bytearray(tiff.encode(b"b" * 576)))], "k string, f binary")
+    files = files.selectExpr("date'2020-01-01' AS k" if kind == "date" else f"CAST(k AS {kind}) AS k", "f")
+    got = tiff.pages(files, "k", "f")
+    assert dict(got.dtypes)["id"] == kind and got.where("error IS NULL").count() == 4
+
+
 def test_tiff_big_endian():
     """A hand-made big-endian file: short tags, two samples a pixel, no compression."""
     import struct
