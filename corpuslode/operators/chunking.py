@@ -32,7 +32,12 @@ def _bound(value: Column, body) -> Column:
 
 
 def packed(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
-    """Whole sentences up to ``size`` words; a chunk begins with the last sentences of the one before, ``overlap`` words at most.
+    """The chunks of ``packed_sentences`` as texts."""
+    return F.transform(packed_sentences(text, size, overlap), lambda x: F.array_join(x, " "))
+
+
+def packed_sentences(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
+    """Chunks as arrays of their sentences: whole sentences up to ``size`` words; a chunk begins with the last sentences of the one before, ``overlap`` words at most.
 
     A fold over the row's own sentences: nothing is shuffled and no Python runs.
     A sentence over ``size`` words is a chunk of its own.
@@ -65,7 +70,7 @@ def packed(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Colu
         first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), spans.alias("out"))
         last = lambda state: F.concat(state["out"], F.array(F.struct(state["start"].alias("a"), F.size(s).alias("b"))))
         found = F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), first, step, last)
-        return F.when(F.size(s) > 0, F.transform(found, lambda x: F.array_join(F.slice(s, x["a"] + 1, x["b"] - x["a"]), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
+        return F.when(F.size(s) > 0, F.transform(found, lambda x: F.slice(s, x["a"] + 1, x["b"] - x["a"]))).otherwise(F.expr("CAST(array() AS array<array<string>>)"))
 
     return _bound(sentences(text), pack)
 
@@ -131,14 +136,40 @@ def longest_chunk(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
 
 
+def section_rows(chunks: DataFrame, **options) -> DataFrame:
+    """The longest stored chunk of each document, parsed again into section chunks, a row each with a node id.
+
+    Ties go to the text that is last by code points; null texts count as absent,
+    and a document without any text has its key information only. ``options``:
+    those of ``section_chunks``.
+    """
+    rows = section_chunks(longest_chunk(chunks), **options)
+    return rows.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("section"), F.col("chunk_index").cast("string")).alias("node_id"), "*")
+
+
 def sentence_windows(docs: DataFrame, window: int = WINDOW, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per sentence, with the sentences up to ``window`` before and behind it.
+    """One row per sentence of the whole text, with the sentences up to ``window`` before and behind it.
 
     The window is cut out of the document's own array, so nothing is shuffled.
     """
+    return _windows(docs.select(*keys, sentences(F.col("text")).alias("__s")), window, keys)
+
+
+def base_windows(docs: DataFrame, window: int = WINDOW, keys: Sequence[str] = ("doc_id",), size: int = BASE_SIZE, overlap: int = BASE_OVERLAP) -> DataFrame:
+    """Sentence windows behind a base split.
+
+    Whole sentences are packed to base chunks of ``size`` words with ``overlap``
+    words in common. Each sentence of a base chunk is a row, and no window goes
+    beyond its base chunk; sentences in an overlap come once for each. All in
+    the row, without a shuffle. Null and empty texts give no rows.
+    """
+    d = docs.select(*keys, F.posexplode(packed_sentences(F.col("text"), size, overlap)).alias("base_index", "__s"))
+    return _windows(d, window, [*keys, "base_index"])
+
+
+def _windows(d: DataFrame, window: int, keys: Sequence[str]) -> DataFrame:
     s = F.col("__s")
     around = F.array_join(F.slice(s, F.greatest(F.col("sentence_index") + 1 - window, F.lit(1)), F.least(F.col("sentence_index"), F.lit(window)) + window + 1), " ")
-    d = docs.select(*keys, sentences(F.col("text")).alias("__s"))
     d = d.select(*keys, "__s", F.posexplode("__s").alias("sentence_index", "text"))
     return d.select(*keys, "sentence_index", "text", around.alias("window_text"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslode.functions import values as V
+from corpuslode.functions.vectors import embedder
 from corpuslode.operators import chunking as C
 from corpuslode.operators import filters as L
 from corpuslode.operators import metadata as M
@@ -521,6 +522,54 @@ def sentence_windows(spark, sf_dir):
     return C.sentence_windows(table(spark, sf_dir, "documents")).select("doc_id", "sentence_index", "text", F.md5("window_text").alias("window_md5"))
 
 
+def packed_sql(source: str, size: int, overlap: int) -> str:
+    """CTEs w, p and r: the sentences ``s`` of each text of ``source`` (doc_id, text), and chunk ``no`` of them from ``a`` to before ``b``."""
+    return rf"""
+    w AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \t\n\v\f\r]+'))) AS w FROM (SELECT doc_id, {SENTENCES} AS s FROM {source})),
+    p AS (SELECT doc_id, s, w, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(w[1:i]), 0)) AS p FROM w WHERE len(w) > 0),
+    r AS (
+      SELECT doc_id, 0 AS no, 0::BIGINT AS a, coalesce(list_filter(range(1, len(w)), lambda x: p[x + 2] - p[1] > {size})[1], len(w)) AS b FROM p
+      UNION ALL
+      SELECT doc_id, no + 1, a2, coalesce(list_filter(range(b + 1, len(w)), lambda x: p[x + 2] - p[a2 + 1] > {size})[1], len(w))
+      FROM (SELECT *, CASE WHEN p[b + 1] - p[j + 1] + w[b + 1] <= {size} THEN j ELSE b END AS a2 FROM (
+        SELECT r.doc_id, r.no, r.b, p.p, p.w, list_filter(range(r.a, r.b + 1), lambda j: p.p[r.b + 1] - p.p[j + 1] <= {overlap})[1] AS j FROM r JOIN p USING (doc_id) WHERE r.b < len(p.w))))"""
+
+
+@query(
+    "c5_base_windows",
+    f"""
+    WITH RECURSIVE {packed_sql("documents", 1024, 20)},
+    c AS (SELECT doc_id, no, s[a + 1:b] AS s FROM r JOIN p USING (doc_id)), i AS (SELECT doc_id, no, s, unnest(range(0, len(s))) AS i FROM c)
+    SELECT doc_id, no::INT AS base_index, i::INT AS sentence_index, md5(s[i + 1]) AS text_md5, md5(array_to_string(s[greatest(i - 2, 1):i + 4], ' ')) AS window_md5 FROM i
+    """,
+)
+def base_windows(spark, sf_dir):
+    return C.base_windows(table(spark, sf_dir, "documents")).select("doc_id", "base_index", "sentence_index", F.md5("text").alias("text_md5"), F.md5("window_text").alias("window_md5"))
+
+
+@query(
+    "c8_section_rows",
+    rf"""
+    WITH RECURSIVE t AS (SELECT source AS doc_id, '## {HEADERS["deed_info"]}' || chr(10) || arg_max(text, struct_pack(n := length(text), t := text)) AS text FROM documents GROUP BY source),
+    h AS (SELECT doc_id, text AS whole, regexp_replace(split_part(split_part(text, '## {HEADERS["deed_info"]}', 2), '##', 1), {STRIP}) AS text FROM t),
+    l AS (
+      SELECT doc_id, 'deed_info' AS section, '## {HEADERS["deed_info"]}' || chr(10) AS header, text, CASE WHEN length(text) > 1024 THEN 'section_part' ELSE 'section' END AS kind FROM h WHERE length(text) >= 50
+      UNION ALL SELECT doc_id, 'full_document', '', whole, 'fallback' FROM h WHERE length(text) < 50),
+    long AS (SELECT * FROM l WHERE kind <> 'section'), {packed_sql("long", 512, 50)},
+    c AS (
+      SELECT doc_id, no + 1 AS chunk_index, kind AS chunk_type, section, header || array_to_string(s[a + 1:b], ' ') AS text FROM r JOIN p USING (doc_id) JOIN long USING (doc_id)
+      UNION ALL SELECT doc_id, 1, kind, section, header || text FROM l WHERE kind = 'section'
+      UNION ALL SELECT doc_id, 0, 'key_info', 'key_info', '{C.KEY_INFO_MISSING}' FROM t)
+    SELECT doc_id || '_section_' || chunk_index AS node_id, doc_id, chunk_type, section, length(text)::INT AS text_length, 64 AS embedding_dim, md5(text) AS text_md5 FROM c
+    """,
+)
+def section_rows(spark, sf_dir):
+    """The longest text of each source under a header, parsed again, each section chunk an embedding row."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit(f"## {HEADERS['deed_info']}\n"), "text").alias("text"))
+    rows = M.embedding_rows(C.section_rows(d, titles=HEADERS), embedder(), "section")
+    return rows.select("node_id", "doc_id", "chunk_type", "section", "text_length", "embedding_dim", F.md5("text").alias("text_md5"))
+
+
 @query("c5_turn_windows", "SELECT conv_id, turn, md5(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ')) AS window_md5 FROM conversations")
 def turn_windows(spark, sf_dir):
     return C.row_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", F.md5("window_text").alias("window_md5"))

@@ -241,3 +241,22 @@ def test_stats_of_nothing(spark):
 def test_best_strategy_leaves_failures_out(spark):
     r = spark.createDataFrame([("a", 1.0, 0, 0.0, "x"), ("b", 5.0, 3, 0.5, None), ("c", 4.0, 2, 0.9, None)], "strategy string, latency_ms double, n_results int, mean_score double, error string")
     assert [A.best_strategy(r, how).first()["strategy"] for how in ("fastest", "most_results", "best")] == ["c", "b", "c"]
+
+
+def test_base_windows_stay_in_their_base_chunk(spark):
+    text = " ".join(f"one two three s{i}." for i in range(10))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a\nb. c")], "doc_id int, text string")
+    got = {}
+    for r in C.base_windows(docs, window=1, size=12, overlap=4).orderBy("base_index", "sentence_index").collect():
+        got.setdefault((r["doc_id"], r["base_index"]), []).append((r["text"].split()[-1], r["window_text"]))
+    assert {d for d, _ in got} == {1, 4}
+    assert [x for x, _ in got[1, 0]] == ["s0.", "s1.", "s2."] and [x for x, _ in got[1, 1]] == ["s2.", "s3.", "s4."]
+    assert got[1, 1][0][1] == "one two three s2. one two three s3."
+    assert [x for x, _ in got[4, 0]] == ["a", "b.", "c"]
+
+
+def test_section_rows_parse_the_longest_chunk_again(spark):
+    body = "x" * 60
+    chunks = spark.createDataFrame([("d", f"## A\n{body}\n## B\nshort"), ("d", "other"), ("e", None)], "doc_id string, text string")
+    got = C.section_rows(chunks, titles={"a": "A", "b": "B"}).orderBy("node_id").collect()
+    assert [(r["node_id"], r["section"]) for r in got] == [("d_section_0", "key_info"), ("d_section_1", "a"), ("e_section_0", "key_info")]
