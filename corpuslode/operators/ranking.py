@@ -104,6 +104,21 @@ def search_many(nodes: DataFrame, queries: DataFrame, k: int = TOP_K, digits: in
     return top(pairs.select("query_id", "node_id", F.round("score", digits).alias("score")), k, by=["query_id"])
 
 
+def search_by_strategies(parts: dict[str, DataFrame], strategies: dict[str, Sequence[str]], queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best nodes of each query under each strategy, in one plan: strategy, query_id, node_id, score, rank.
+
+    ``parts``: disjoint sets of nodes (node_id, embedding). A strategy searches
+    some of them. Each node is scored once for a query, however many strategies
+    search it: a strategy's best are among the k best of each of its parts.
+    """
+    found = None
+    for name, nodes in parts.items():
+        of = F.array(*[F.lit(s) for s, names in strategies.items() if name in names]).cast("array<string>")
+        hits = search_many(nodes, queries, k).select(of.alias("of"), "query_id", "node_id", "score")
+        found = hits if found is None else found.unionByName(hits)
+    return top(found.select(F.explode("of").alias("strategy"), "query_id", "node_id", "score"), k, by=["strategy", "query_id"])
+
+
 def in_windows(hits: DataFrame) -> DataFrame:
     """Hits with the text of their window, where they have one, in place of their own."""
     return hits.withColumn("text", F.coalesce("window_text", "text")).drop("window_text")

@@ -228,6 +228,12 @@ def strategy_stats(results: DataFrame) -> DataFrame:
     )
 
 
+def strategy_query_stats(hits: DataFrame) -> DataFrame:
+    """Hits, best and mean score of each strategy and query (``search_by_strategies``); scores are summed in millionths."""
+    total = F.sum(F.round(F.col("score") * 1_000_000).cast("long"))
+    return hits.groupBy("strategy", "query_id").agg(F.count("*").alias("n"), F.max("score").alias("top_score"), F.round(total / F.count("*") / 1_000_000, 6).alias("mean_score"))
+
+
 def best_strategy(results: DataFrame, how: str = "best") -> DataFrame:
     """Fastest, with most results, or of best mean score; failed strategies do not take part, ties go by name.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslode.functions.keywords import STOP_WORDS, frequency_score, query_keywords
-from corpuslode.functions.vectors import cosine, embedder
+from corpuslode.functions.vectors import embedder
 from corpuslode.operators import ranking as R
+from corpuslode.operators import stats as A
 from corpuslode.operators.filters import by_values
 from corpuslode.operators.chunking import longest_chunk, row_windows
 from corpuslode.operators.metadata import embedding_rows, preview, tagged
@@ -141,11 +142,12 @@ def two_level_small(spark, sf_dir):
     """,
 )
 def nearest_description(spark, sf_dir):
-    # one description per class, as a classifier has; each row meets them all
-    c = centroids(spark, sf_dir).select(F.col("label").alias("predicted"), "centre")
-    s = nodes(spark, sf_dir).crossJoin(c).select("node_id", "label", "predicted", F.round(cosine(F.col("embedding"), F.col("centre")), 6).alias("score"))
-    best = s.groupBy("node_id", "label").agg(F.max(F.struct("score", (-F.col("predicted")).alias("p"))).alias("b"))
-    return best.select("node_id", "label", (-F.col("b.p")).alias("predicted"), "b.score")
+    # the rows ask, the descriptions are searched
+    c = centroids(spark, sf_dir).select(F.col("label").alias("node_id"), F.col("centre").alias("embedding"))
+    n = nodes(spark, sf_dir)
+    best = R.search_many(c, n.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("vector")), 1)
+    best = best.select(F.col("query_id").alias("node_id"), F.col("node_id").alias("predicted"), "score")
+    return n.select("node_id", "label").join(best, "node_id")
 
 
 @query("r8_rrf", f"SELECT *, row_number() OVER (ORDER BY score DESC, node_id)::INT AS rank FROM (SELECT node_id, round(sum(1 / (60 + rank)), 9) AS score FROM {lists_sql()} GROUP BY node_id)")
@@ -356,6 +358,26 @@ def all_strategies(spark, sf_dir):
     })
 
 
+STRATEGIES = {"direct": ["first", "second", "rest"], "filtered": ["first", "second"], "section": ["first"]}
+
+
+@query(
+    "z32_strategies_by_query",
+    """
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+    a AS (SELECT 'direct' AS strategy, * FROM s UNION ALL SELECT 'filtered', * FROM s WHERE label IN (1, 2) UNION ALL SELECT 'section', * FROM s WHERE label = 1),
+    h AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, node_id) <= 5)
+    SELECT strategy, query_id, count(*) AS n, max(score) AS top_score, round(sum(CAST(round(score * 1000000) AS BIGINT)) / count(*) / 1000000, 6) AS mean_score FROM h GROUP BY ALL
+    """,
+)
+def strategies_by_query(spark, sf_dir):
+    """A table of queries under three strategies, each node scored once."""
+    n = nodes(spark, sf_dir)
+    parts = {"first": n.where("label = 1"), "second": n.where("label = 2"), "rest": n.where("label IS NULL OR label NOT IN (1, 2)")}
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return A.strategy_query_stats(R.search_by_strategies(parts, STRATEGIES, asked))
+
+
 def hashed_sql(name: str, source: str, text: str = "text") -> str:
     """Vectors of hashed words for each row of ``source`` (id, text): id, v."""
     return rf"""
