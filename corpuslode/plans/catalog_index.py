@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.operators import candidates, inference, keyword_index, vector_index
+from corpuslode.operators import candidates, inference, keyword_index, range_index, vector_index
 from corpuslode.operators.filters import Filter
 from corpuslode.plans import catalog_search  # noqa: F401  its SQL is used here
+from corpuslode.plans.catalog_stats import LOG, log
 from corpuslode.registry import ORACLES, query, table
-from corpuslode.sources import markdown_sink, tables
+from corpuslode.sources import log_store, markdown_sink, tables
 from corpuslode.sources.files import read_markdown, workspace
 
 
@@ -173,3 +178,56 @@ def columns(spark, sf_dir):
     """Both tables' columns, each table read once."""
     of = lambda name: tables.analyzed(table(spark, sf_dir, name).select(*[c for t, c in ANALYZED if t == name]))
     return of("part").unionByName(of("documents"))
+
+
+def ordered_fields(spark, sf_dir):
+    path = workspace(spark, "ranges")
+    nodes = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "node_id")
+    range_index.write(nodes, path, ["o_totalprice", "o_custkey"], zone_rows=2_000)
+    return path
+
+
+@query("f3_range_index", "SELECT o_orderkey AS node_id FROM orders WHERE o_totalprice > 150000.5 AND o_custkey <= 700.5")
+def range_search(spark, sf_dir):
+    """two comparisons, each from the zones of its own field."""
+    return range_index.where(spark, ordered_fields(spark, sf_dir), [Filter("o_totalprice", 150000.5, "GT"), Filter("o_custkey", 700.5, "LTE")])
+
+
+@query("f4_range_index_or", "SELECT o_orderkey AS node_id FROM orders WHERE o_totalprice < 20000 OR o_custkey IN (4, 7, 11)")
+def range_search_or(spark, sf_dir):
+    return range_index.where(spark, ordered_fields(spark, sf_dir), [Filter("o_totalprice", 20000, "LT"), Filter("o_custkey", [4, 7, 11], "IN")], "or")
+
+
+# Comparisons whose nodes are counted.
+COMPARED = [("o_totalprice", ">", 100000), ("o_totalprice", ">=", 250000.5), ("o_totalprice", "<", 50000), ("o_custkey", "<=", 900), ("o_custkey", ">", -1), ("o_custkey", "<", 0)]
+
+
+@query("a16_range_counts", " UNION ALL ".join(f"SELECT '{f} {o} {v}' AS asked, count(*) AS n FROM orders WHERE {f} {o} {v}" for f, o, v in COMPARED))
+def range_counts(spark, sf_dir):
+    """Sizes of candidate sets by the zones' sizes; of the values only those of the zone at a bound are read."""
+    path = ordered_fields(spark, sf_dir)
+    names = {">": "GT", ">=": "GTE", "<": "LT", "<=": "LTE"}
+    counted = [range_index.count(spark, path, Filter(f, v, names[o])).select(F.lit(f"{f} {o} {v}").alias("asked"), "n") for f, o, v in COMPARED]
+    return reduce(DataFrame.union, counted)
+
+
+@query(
+    "s30_daily_store",
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS day, strategy, count(*) AS n, count(error) AS errors, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM {LOG}
+        WHERE ts::DATE >= (SELECT max(ts)::DATE FROM events) - 7 GROUP BY ALL""",
+)
+def daily_store(spark, sf_dir):
+    """The entries arrive by a stream in several batches, are compacted by day, and days more than seven before the last are dropped."""
+    path = workspace(spark, "daily")
+    e = log(spark, sf_dir)
+    arriving = e.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("query", F.lit("")).withColumn("timestamp", F.lit("")).withColumn("confidence", F.lit(0.5))
+    arriving.repartition(6).write.parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/arriving").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arriving")
+    log_store.append_stream(stream, f"{path}/days", f"{path}/checkpoint").awaitTermination()
+    log_store.compact(spark, f"{path}/days")
+    log_store.sweep(spark, f"{path}/days")
+    last = log_store.read(spark, f"{path}/days").agg(F.max("day")).first()[0]
+    if last is not None:
+        log_store.drop_days(spark, f"{path}/days", last - datetime.timedelta(days=7))
+    kept = log_store.read(spark, f"{path}/days").groupBy("day", "strategy")
+    return kept.agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.sum("prompt_tokens").alias("prompt_tokens")).withColumn("day", F.col("day").cast("string"))
