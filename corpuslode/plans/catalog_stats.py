@@ -10,7 +10,7 @@ from corpuslode.operators import filters as L
 from corpuslode.operators import stats as A
 from corpuslode.operators.filters import by_values
 from corpuslode.registry import query, table
-from corpuslode.sources import files
+from corpuslode.sources import files, markdown_sink
 from corpuslode.sources import tables as S
 from corpuslode.streaming.logs import to_parquet, windowed
 
@@ -299,8 +299,10 @@ def csv_with_broken_lines(spark, sf_dir):
 def markdown_files(spark, sf_dir):
     """A file for each document, in folders, read back whole."""
     path = files.workspace(spark, "markdown")
-    files.write_markdown(table(spark, sf_dir, "documents"), path, "source")
-    return files.read_markdown_folders(spark, path).select("folder", F.col("document").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+    markdown_sink.write(table(spark, sf_dir, "documents"), path, "source")
+    # where several texts have one id, a hash stands behind it
+    doc_id = F.regexp_extract("file_name", r"^(.+?)(-[0-9a-f]{12})?\.md$", 1).cast("long").alias("doc_id")
+    return markdown_sink.read(spark, path).select("folder", doc_id, F.md5("text").alias("text_md5"))
 
 
 @query(

@@ -35,3 +35,31 @@ def test_numbers_are_those_of_one_window(spark, n):
     files = spark.range(n).select(F.concat(F.lit("p/"), F.md5(F.col("id").cast("string"))).alias("file_path"), "id")
     found = sorted(map(tuple, M.numbered(files).select("id", "batch_number").collect()))
     assert found == sorted(map(tuple, in_batches(files).select("id", "batch_number").collect())) and len(found) == n
+
+
+def test_tasks_list_and_read_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "READ_BYTES", 40)
+    monkeypatch.setattr(M, "LISTED", 2)
+    rows = [(i, f"text {i}\r\n" * (i % 5), f"?{i % 3}") for i in range(30)]
+    path = str(tmp_path / "md")
+    M.write(spark.createDataFrame(rows, "doc_id long, text string, province string"), path)
+    (tmp_path / "md" / "_0" / ".draft.md-1").write_text("half")
+    found = M.read(spark, path, size=4)
+    assert {(r["folder"], r["file_doc_id"], r["text"], r["file_size"]) for r in found.collect()} == {(f"_{g[1:]}", str(i), t, len(t)) for i, t, g in rows}
+    # no scan plans the files one by one, and paths are numbered as by one window
+    assert not [f for f in found.inputFiles() if f.endswith(".md")]
+    by_path = sorted(found.select("file_path", "batch_number").collect())
+    assert [r["batch_number"] for r in by_path] == [i // 4 + 1 for i in range(30)]
+
+
+@pytest.mark.parametrize("name", ["s19_markdown_files"])
+def test_queries_plan_no_scan_of_files(spark, sf_dir, name):
+    import corpuslode.plans.catalog  # noqa: F401
+    from corpuslode.registry import QUERIES
+
+    assert len(QUERIES[name](spark, sf_dir).inputFiles()) < 200  # one for each document before
+
+
+def test_no_files(spark, tmp_path):
+    M.write(spark.createDataFrame([], "doc_id long, text string, province string"), str(tmp_path / "md"))
+    assert M.read(spark, str(tmp_path / "md"), size=20).collect() == []
