@@ -52,7 +52,7 @@ def test_tasks_list_and_read_the_files(spark, tmp_path, monkeypatch):
     assert [r["batch_number"] for r in by_path] == [i // 4 + 1 for i in range(30)]
 
 
-@pytest.mark.parametrize("name", ["s19_markdown_files"])
+@pytest.mark.parametrize("name", ["s19_markdown_files", "s6_markdown_batches"])
 def test_queries_plan_no_scan_of_files(spark, sf_dir, name):
     import corpuslode.plans.catalog  # noqa: F401
     from corpuslode.registry import QUERIES
