@@ -96,3 +96,20 @@ def test_empty_vector_index(spark, tmp_path):
     V.write(nodes, str(tmp_path / "v"))
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<double>")
     assert V.search(spark, str(tmp_path / "v"), asked).collect() == []
+
+
+def test_words_are_counted_in_the_row(spark):
+    from corpuslode.functions.keywords import counted
+
+    given = [(["b", "a", "b", "ab", "b"],), ([],), (None,), (["x"],)]
+    found = [r[0] for r in spark.createDataFrame(given, "t array<string>").select(counted(F.col("t"))).collect()]
+    assert [x and [tuple(y) for y in x] for x in found] == [[("a", 1), ("ab", 1), ("b", 3)], [], None, [("x", 1)]]
+
+
+def test_blocks_of_a_folder_are_the_work_of_several_tasks(spark, sf_dir, tmp_path, small_groups, monkeypatch):
+    monkeypatch.setattr(K, "TASK_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text")
+    K.write(docs, str(tmp_path / "k"))
+    blocks = spark.read.parquet(str(tmp_path / "k" / "blocks"))
+    assert max(len(list((tmp_path / "k" / "blocks").glob(f"folder={i}/*.parquet"))) for i in range(3)) > 1  # one for each folder before
+    assert blocks.groupBy("term", "g").count().where("count > 1").count() == 0
