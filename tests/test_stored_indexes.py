@@ -106,6 +106,16 @@ def test_words_are_counted_in_the_row(spark):
     assert [x and [tuple(y) for y in x] for x in found] == [[("a", 1), ("ab", 1), ("b", 3)], [], None, [("x", 1)]]
 
 
+def test_postings_are_shuffled_once_at_most(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text")
+    whole = rows(R.postings(docs).withColumn("weight", F.round("weight", 9)))
+    monkeypatch.setattr(R, "FREQUENT", 3)
+    found = R.postings(docs)
+    # no shuffle deals postings out to count them
+    assert "node_id" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
+    assert rows(found.withColumn("weight", F.round("weight", 9))) == whole
+
+
 def test_blocks_of_a_folder_are_the_work_of_several_tasks(spark, sf_dir, tmp_path, small_groups, monkeypatch):
     monkeypatch.setattr(K, "TASK_TOKENS", 20_000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text")
