@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from corpuslode.operators.filters import Filter, predicate
 
-ZONE_ROWS = 4_000_000
+#: Rows of a zone, and zones up to which smaller ones are made.
+ZONE_ROWS, MOST_ZONES = 4_000_000, 256
 
 
 def write(nodes: DataFrame, path: str, fields: Sequence[str], id_col: str = "node_id", zone_rows: int = ZONE_ROWS) -> None:
@@ -28,7 +29,8 @@ def write(nodes: DataFrame, path: str, fields: Sequence[str], id_col: str = "nod
     sizes = nodes.agg(*[F.count(F.col(f"`{f}`")) for f in fields]).first()
     for field, n in zip(fields, sizes, strict=True):
         some = nodes.select(F.col(f"`{field}`").alias("value"), F.col(f"`{id_col}`").alias("node_id")).where(F.col("value").isNotNull())
-        placed = some.repartitionByRange(max(1, ceil(n / zone_rows)), "value", "node_id").withColumn("zone", F.spark_partition_id())
+        zone = max(zone_rows, min(ZONE_ROWS, ceil(n / MOST_ZONES)))
+        placed = some.repartitionByRange(max(1, ceil(n / zone)), "value", "node_id").withColumn("zone", F.spark_partition_id())
         placed.sortWithinPartitions("zone", "value", "node_id").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/{field}/values")
         stored = spark.read.schema(placed.schema).parquet(f"{path}/{field}/values")
         zones = stored.groupBy("zone").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("node_id").alias("first_id"), F.count("*").alias("n"))

@@ -62,6 +62,19 @@ def test_no_rows(spark, tmp_path):
     assert R.count(spark, str(tmp_path), Filter("x", 1, "GT")).first()["n"] == 0
 
 
+def test_zones_do_not_grow_in_number_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "MOST_ZONES", 12)
+    nodes = spark.range(3000).selectExpr("id AS node_id", "id * 7 % 1000 AS x")
+    R.write(nodes, str(tmp_path), ["x"], zone_rows=5)
+    assert 8 <= len(list((tmp_path / "x" / "values").glob("zone=*"))) <= 12  # 600 before
+    for f in (Filter("x", 400, "GT"), Filter("x", [3, 999], "IN"), Filter("x", 17.5, "LTE")):
+        expected = ids(where(nodes, [f]))
+        assert ids(R.search(spark, str(tmp_path), f)) == expected and R.count(spark, str(tmp_path), f).first()["n"] == len(expected)
+    monkeypatch.setattr(R, "ZONE_ROWS", 100)  # zones that are large enough stay so
+    R.write(nodes, str(tmp_path / "more"), ["x"], zone_rows=5)
+    assert 20 <= len(list((tmp_path / "more" / "x" / "values").glob("zone=*"))) <= 30
+
+
 DAY = 86400.0
 
 
