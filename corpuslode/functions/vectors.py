@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
@@ -41,9 +41,19 @@ def hash_vector(text: str | None, size: int = DIMENSIONS) -> list[float]:
     return (v / n if n else v).astype("float32").tolist()
 
 
+def bounded_batches(spark: SparkSession | None, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold ``rows`` rows and about ``size`` bytes, where the session still has Spark's own limits: else a worker's memory grows with texts and partitions."""
+    if spark is None:
+        return
+    for name, own, most in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == own:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 def embedder(model: Callable[[str | None], list[float]] | None = None):
     """A column function that embeds texts, by ``model`` or by hashed words."""
     model = model or hash_vector
+    bounded_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
