@@ -21,11 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslode.operators.ranking import TOP_K, top
+from corpuslode.functions.vectors import bounded_batches
+from corpuslode.operators.ranking import PACK, TOP_K, top
 
 #: Vectors that centres are fitted on at most, centres at most, and moves of the centres.
 SAMPLE_ROWS, MOST_CENTRES, MOVES = 20_000, 1024, 4
 PART_ROWS = 4096
+#: Queries that meet a part in one product, and bounds of a batch.
+STEP, BOUNDS = 256, 8192
 #: Clusters opened for a query before there is a similarity to reach.
 FIRST_CLUSTERS = 2
 #: Radians that a bound is wider, for vectors kept in single precision.
@@ -69,6 +72,7 @@ def write(nodes: DataFrame, path: str, key: str = "node_id", column: str = "embe
     Vectors without length, null ones, and those of another size than the first centre are not in it: they have no similarity.
     """
     spark = nodes.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(centres(nodes, column, most))  # at most ``most`` vectors
     kind = dict(nodes.dtypes)[key]
 
@@ -110,24 +114,36 @@ def _bounds(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
             x, ok = _unit(b.column("vector"))
             if not len(x) or not len(ids) or x.shape[1] != c.shape[1]:
                 continue
-            angle = np.arccos(np.clip(x @ c.T, -1, 1)) - radius - SLACK
-            bound = np.cos(np.clip(angle, 0, np.pi))
-            asked = b.column("query_id").filter(pa.array(ok)).take(pa.array(np.repeat(np.arange(len(x)), len(ids))))
-            q = pa.array(x.tolist()).take(pa.array(np.repeat(np.arange(len(x)), len(ids))))
-            yield pa.RecordBatch.from_arrays([asked, q, pa.array(np.tile(np.array(ids, np.int32), len(x))), pa.array(bound.ravel())], ["query_id", "q", "cluster", "bound"])
+            asked = b.column("query_id").filter(pa.array(ok))
+            step = max(1, BOUNDS // len(ids))
+            for i in range(0, len(x), step):
+                y = x[i : i + step]
+                angle = np.arccos(np.clip(y @ c.T, -1, 1)) - radius - SLACK
+                bound = np.cos(np.clip(angle, 0, np.pi))
+                of = pa.array(np.repeat(np.arange(len(y)), len(ids)))
+                q = pa.array(y.tolist()).take(of)
+                yield pa.RecordBatch.from_arrays([asked.slice(i, len(y)).take(of), q, pa.array(np.tile(np.array(ids, np.int32), len(y))), pa.array(bound.ravel())], ["query_id", "q", "cluster", "bound"])
 
     return queries.select("query_id", "vector").mapInArrow(run, f"query_id {kind}, q array<double>, cluster int, bound double")
 
 
-def _opened(spark: SparkSession, path: str, chosen: DataFrame, k: int, digits: int) -> DataFrame:
-    """The k best of the chosen clusters (query_id, q, cluster), for each query and part."""
+def _packs(queries: DataFrame) -> int:
+    return max(1, -(-queries.count() // PACK))
+
+
+def _opened(spark: SparkSession, path: str, chosen: DataFrame, k: int, digits: int, packs: int) -> DataFrame:
+    """The k best of the chosen clusters (query_id, q, cluster), for each query and part.
+
+    A part meets the queries of its cluster pack by pack, so no row holds all queries.
+    """
     kind = spark.read.parquet(f"{path}/kind").first()["kind"]
     # an index of no vectors has no file that tells their schema
     stored = spark.read.schema(f"part int, ids array<{kind}>, values array<double>, cluster int").parquet(f"{path}/vectors")
     # clusters that no query opens are folders that no task reads
     wanted = [r[0] for r in chosen.select("cluster").distinct().collect()]
     kinds = dict(chosen.dtypes)["query_id"], kind
-    asked = chosen.groupBy("cluster").agg(F.collect_list("query_id").alias("qs"), F.flatten(F.collect_list("q")).alias("qv"))
+    chosen = chosen.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)))
+    asked = chosen.groupBy("cluster", "pack").agg(F.collect_list("query_id").alias("qs"), F.flatten(F.collect_list("q")).alias("qv"))
     met = stored.where(F.col("cluster").isin(wanted)).join(asked, "cluster").select("ids", "values", "qs", "qv")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,21 +151,23 @@ def _opened(spark: SparkSession, path: str, chosen: DataFrame, k: int, digits: i
             for i in range(b.num_rows):
                 n, v, q, qv = (b.column(c)[i].values for c in range(4))
                 x, y = v.to_numpy().reshape(len(n), -1), qv.to_numpy().reshape(len(q), -1)
-                s = np.floor((y @ x.T) * 10.0**digits + 0.5) / 10.0**digits
                 place = pc.rank(n, tiebreaker="first").to_numpy()
-                order = np.stack([np.lexsort((place, -row))[:k] for row in s])
-                of = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([q.take(pa.array(of)), n.take(pa.array(order.ravel())), pa.array(s[of, order.ravel()])], ["query_id", "node_id", "score"])
+                for j in range(0, len(y), STEP):
+                    s = np.floor((y[j : j + STEP] @ x.T) * 10.0**digits + 0.5) / 10.0**digits
+                    order = np.stack([np.lexsort((place, -row))[:k] for row in s])
+                    of = np.repeat(np.arange(len(s)), order.shape[1])
+                    yield pa.RecordBatch.from_arrays([q.take(pa.array(of + j)), n.take(pa.array(order.ravel())), pa.array(s[of, order.ravel()])], ["query_id", "node_id", "score"])
 
     return met.mapInArrow(best, f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
 
 
 def choose(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
     """All pairs of a query and a cluster, with open: whether a search opens it."""
+    bounded_batches(spark)
     bounds = _bounds(spark, path, queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cluster")
     numbered = bounds.withColumn("i", F.row_number().over(order))
-    first = _opened(spark, path, numbered.where(F.col("i") <= FIRST_CLUSTERS), k, digits)
+    first = _opened(spark, path, numbered.where(F.col("i") <= FIRST_CLUSTERS), k, digits, _packs(queries))
     reached = top(first, k, by=["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     # a similarity is rounded, so a bound half a unit below may reach it
     return numbered.join(reached, "query_id", "left").withColumn("open", F.expr(f"least IS NULL OR bound + {0.5 * 10.0**-digits} >= least"))
@@ -157,7 +175,7 @@ def choose(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K, d
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
     """For each query (query_id, vector) its k most similar nodes, as ``ranking.search_many`` finds them."""
-    return top(_opened(spark, path, choose(spark, path, queries, k, digits).where("open"), k, digits), k, by=["query_id"])
+    return top(_opened(spark, path, choose(spark, path, queries, k, digits).where("open"), k, digits, _packs(queries)), k, by=["query_id"])
 
 
 def opened(spark: SparkSession, path: str, queries: DataFrame, k: int = TOP_K) -> DataFrame:

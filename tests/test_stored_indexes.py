@@ -123,3 +123,31 @@ def test_blocks_of_a_folder_are_the_work_of_several_tasks(spark, sf_dir, tmp_pat
     blocks = spark.read.parquet(str(tmp_path / "k" / "blocks"))
     assert max(len(list((tmp_path / "k" / "blocks").glob(f"folder={i}/*.parquet"))) for i in range(3)) > 1  # one for each folder before
     assert blocks.groupBy("term", "g").count().where("count > 1").count() == 0
+
+
+def test_no_row_holds_all_queries_and_batches_are_small(spark, tmp_path, monkeypatch):
+    from pyspark.sql import SparkSession
+
+    monkeypatch.setattr(V, "PACK", 16)
+    monkeypatch.setattr(V, "STEP", 5)
+    monkeypatch.setattr(V, "BOUNDS", 40)
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, embedding array<double>")
+    asked = nodes.where("node_id % 2 = 0").selectExpr("node_id AS query_id", "embedding AS vector")
+    path = str(tmp_path / "v")
+    V.write(nodes, path)
+    largest: list[int] = []
+    run = type(nodes).mapInArrow
+
+    def seen(self, f, schema, *more):
+        if "qv" in self.columns:
+            largest.append(self.agg(F.max(F.size("qs"))).first()[0])
+        return run(self, f, schema, *more)
+
+    monkeypatch.setattr(type(nodes), "mapInArrow", seen)
+    found = rows(V.search(spark, path, asked))
+    monkeypatch.setattr(type(nodes), "mapInArrow", run)
+    assert max(largest) < 40  # 150 before
+    assert found == rows(R.search_many(nodes, asked))
+    bounds = SparkSession.getActiveSession().conf
+    assert int(bounds.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and bounds.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304b"
