@@ -161,7 +161,8 @@ def links(fps: DataFrame) -> DataFrame:
     entries = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _key(i, _segment(one, i), _segment(one, i + 1)).alias("key")) for i in range(SEGMENTS)])).alias("e"))
     entries = entries.select("fp", "e.*")
     sizes = entries.groupBy("key").agg(F.count("*").alias("n"))
-    entries = cut(entries.join(sizes, "key"), "simhash-index")
+    # Spark sizes an explode like what goes into it, and would broadcast millions of rows: where one is joined, the join is a merge
+    entries = cut(entries.join(sizes.hint("merge"), "key"), "simhash-index")
     look = [F.lit(0), *[F.lit(1 << b) for b in range(WIDTH)]]
     looks = F.flatten(F.array(*[F.array(*[_key(i, _segment(one, i), _segment(one, i + 1).bitwiseXOR(x)) for x in look]) for i in range(SEGMENTS)]))
     asked = fps.select(one.alias("a"), F.explode(looks).alias("key"))
@@ -169,7 +170,7 @@ def links(fps: DataFrame) -> DataFrame:
     # the first start that has a chain
     at = F.shiftright("key", 32)
     first = F.coalesce(*[F.when(_chain(a, b, i), F.lit(i)) for i in range(SEGMENTS)])
-    few = asked.join(entries.where(F.col("n") <= HOT).select("key", "fp"), "key").where((a < b) & (first == at)).select("a", F.col("fp").alias("b"))
+    few = asked.join(entries.where(F.col("n") <= HOT).select("key", "fp").hint("merge"), "key").where((a < b) & (first == at)).select("a", F.col("fp").alias("b"))
 
     # entries that many share: those found under any of the 17 forms of a hot key meet its own fingerprints, block by block
     hot = entries.where(F.col("n") > HOT).select("key", "fp", "n")
@@ -189,10 +190,10 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _hot(entries: DataFrame) -> tuple[DataFrame, bool]:
-    """The keys of entries (key, n) and whether there are any; broadcast if they are few, so that what does not look there is not shuffled."""
+    """The keys of entries (key, n) and whether there are any; broadcast if they are few, so that what does not look there is not shuffled, else merged."""
     keys = cut(entries.groupBy("key").agg(F.first("n").alias("n")), "simhash-hot")
     n = keys.count()
-    return (F.broadcast(keys) if n <= FEW_ENTRIES else keys), n > 0
+    return (F.broadcast(keys) if n <= FEW_ENTRIES else keys.hint("merge")), n > 0
 
 
 def _blocks(own: DataFrame, guests: DataFrame, by: str) -> DataFrame:
@@ -300,7 +301,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
     whole = joined.select(F.col("of").alias("node"), "prints")
     entries = _index(whole, 1).distinct().withColumn("key", key)
-    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key"), "copies-index")
+    entries = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key"), "copies-index")
     asked = _index(whole, RING_WIDTH + 1)
     many = max(HOT, 8 * whole.count() >> 2 * RING_WIDTH)  # a key of 2 * RING_WIDTH bits that is no exception in a large table either
     few = entries.where(F.col("n") <= many).select("key", F.col("node").alias("b"), F.col("at").alias("g"))

@@ -65,6 +65,28 @@ def test_op2_links(spark, hot, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_components(rows)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_op2_broadcasts_nothing_exploded(spark, docs, few, monkeypatch):
+    """Spark sizes an explode like what goes into it: at 0.58 GB it broadcast 19 million rows of 283,076 fingerprints."""
+    monkeypatch.setattr(simhash, "HOT", 0)
+    monkeypatch.setattr(simhash, "FEW_ENTRIES", few)
+    plans = {}
+
+    def note(name, df):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name, **more: note(name, df) or cut(df, name, **more))
+    monkeypatch.setattr(simhash, "components", lambda links: note("links", links) or components(links))
+    few_docs = docs.where("doc_id < 20")
+    simhash.near_duplicates(few_docs).count()
+    assert "SortMergeJoin" in plans["simhash-index"] and "BroadcastExchange" not in plans["simhash-index"]
+    # only keys that were counted are broadcast
+    assert "SortMergeJoin" in plans["links"] and plans["links"].count("BroadcastExchange") == (1 if few else 0)
+    simhash.keep_one(few_docs).count()
+    assert "SortMergeJoin" in plans["copies-index"] and "BroadcastExchange" not in plans["copies-index"]
+
+
 def test_op2_odd(odd, nothing):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 11 and all(r["fp"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
