@@ -21,6 +21,12 @@ def test_query(name, spark, sf_dir, duck):
         assert found[1]
 
 
+def test_text_search_asks_every_passage(spark, sf_dir):
+    asked = {r["item_id"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    found = QUERIES["u1_text_search"](spark, sf_dir).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == dict.fromkeys(asked, 5) and len(asked) == 40
+
+
 def test_entry(spark):
     import __spark_entry__
 
